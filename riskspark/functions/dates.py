@@ -3,7 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riskspark.functions.numeric import lookup
 from riskspark.functions.values import DEFAULT_NOTE_YEAR, MONTH_NUMBERS
 
 # Fixed patterns. The narrow slash form only knows one-digit months, so 12/05 reads as 2/05.
@@ -37,7 +36,8 @@ def parse_note_date(token: Column, default_year: int = DEFAULT_NOTE_YEAR) -> Col
     word = r"(?i)^([a-z]+)\s+(\d{1,2})(?:\s+(\d{4}))?"
     short_year = _extract(raw, slash, 3).cast("int")
     slash_year = F.when(short_year < 100, short_year + 2000).otherwise(short_year).cast("string")
-    month = lookup(F.lower(_extract(raw, word, 1)), MONTH_NUMBERS).cast("string")
+    months = F.create_map(*[F.lit(str(v)) for pair in MONTH_NUMBERS.items() for v in pair])  # folds to a literal
+    month = F.try_element_at(months, F.lower(_extract(raw, word, 1)))
     return (
         F.when(raw.rlike(iso), to_date(_extract(raw, iso, 1), _extract(raw, iso, 2), _extract(raw, iso, 3)))
         .when(raw.rlike(slash), to_date(F.coalesce(slash_year, year_default),

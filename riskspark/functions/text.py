@@ -41,9 +41,25 @@ def keep(*items: Column) -> Column:
     return F.array_compact(F.array(*items)).cast(EMPTY_STRINGS)
 
 
+def _hundredths_of_millions(value: Column) -> Column:
+    """value / 1e6 to two digits, rounded as the binary quotient and not as its decimal text.
+
+    They differ only halfway between two results. There the sign of the exact residual
+    (quotient * 1e6 - value) decides, computed from the quotient's upper and lower half.
+    """
+    quotient = value / 1e6
+    scaled = quotient * 134217729.0
+    high = scaled - (scaled - quotient)
+    product = quotient * 1e6
+    residual = (product - value) + ((high * 1e6 - product) + (quotient - high) * 1e6)
+    below = F.floor(value / 1e4)
+    halfway = F.when(residual > 0, below + 1).when(residual < 0, below).otherwise(below + below % 2)
+    return F.when(value % 10_000 == 5_000, halfway).otherwise(F.round(value / 1e4)) / 100
+
+
 def money_short(amount: Column) -> Column:
     value = amount.cast("double")
-    return (F.when(value >= 1e6, F.format_string("$%.2fM", F.bround(value / 1e6, 2)))
+    return (F.when(value >= 1e6, F.format_string("$%.2fM", _hundredths_of_millions(value)))
             .when(value >= 1e3, F.format_string("$%.0fK", F.bround(value / 1e3, 0)))
             .otherwise(F.format_string("$%.0f", F.bround(value, 0))))
 

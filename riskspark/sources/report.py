@@ -68,4 +68,4 @@ def export_columns(accounts: DataFrame) -> DataFrame:
 
 
 def export_csv(accounts: DataFrame, path: str) -> None:
-    export_columns(accounts).write.mode("errorifexists").option("header", True).csv(path)
+    export_columns(accounts).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)

@@ -12,10 +12,11 @@ from riskspark.operators.resolve import resolve_notes
 from riskspark.sources.notes import scan_note_blocks
 
 
-def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    # a malformed key or amount must stop the job, not turn into NULL
+def _csv(spark: SparkSession, path: str, schema, multi_line: bool = False) -> DataFrame:
+    # a malformed key or amount must stop the job, not turn into NULL; quotes are doubled inside
+    # quoted fields
     return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .option("multiLine", False).csv(path))
+            .option("escape", '"').option("multiLine", multi_line).csv(path))
 
 
 def _number(text: Column) -> Column:
@@ -34,7 +35,7 @@ def scan_usage(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_tickets(spark: SparkSession, path: str) -> DataFrame:
     """Tickets by header name; a ticket_id column is kept where the file has one."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
     ticket_id = F.col("ticket_id").cast("long") if "ticket_id" in raw.columns else F.lit(None).cast("long")
     return raw.select(
         ticket_id.alias("ticket_id"),
@@ -48,8 +49,9 @@ def no_tickets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.TICKETS)
 
 
-def scan_nps(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, schemas.NPS_FILE).select(
+def scan_nps(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Set `multi_line` where comments hold line breaks; such files cannot be split among tasks."""
+    return _csv(spark, path, schemas.NPS_FILE, multi_line).select(
         "account_id", _number(F.col("score")).alias("score"),
         F.coalesce("verbatim_comment", F.lit("")).alias("verbatim_comment"))
 
