@@ -14,23 +14,24 @@ KEYWORDS = [*[("negative", k) for k in NEGATIVE_KEYWORDS], *[("positive", k) for
 BIT = {entry: i for i, entry in enumerate(KEYWORDS)}
 
 
-def _mask(tests: list[tuple[int, Column]]) -> Column:
-    total = F.lit(0).cast("long")
-    for bit, test in tests:
-        total = total + F.when(test, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
-    return total
+def _mask(tests: list[tuple[int, str]]) -> Column:
+    return F.expr(" + ".join(["0L"] + [f"IF({test}, {1 << bit}L, 0L)" for bit, test in tests]))
+
+
+def _literal(text: str) -> str:
+    return "r'" + text + "'"  # keywords and their patterns hold no quotes
 
 
 def _word(keyword: str) -> str:
     return re.escape(keyword.strip())
 
 
-def inside_mask(text: Column, word_boundary: bool = False) -> Column:
-    """Keywords found inside one lower-cased note."""
-    def test(keyword: str) -> Column:
+def inside_mask(text: str, word_boundary: bool = False) -> Column:
+    """Keywords found inside the lower-cased note in column `text`."""
+    def test(keyword: str) -> str:
         if word_boundary:
-            return text.rlike(rf"(?U)(?<!\w){_word(keyword)}(?!\w)")
-        return F.contains(text, F.lit(keyword))
+            return f"{text} RLIKE {_literal(rf'(?U)(?<!\w){_word(keyword)}(?!\w)')}"
+        return f"contains({text}, {_literal(keyword)})"
     return _mask([(i, test(k)) for i, (_, k) in enumerate(KEYWORDS)])
 
 
@@ -44,23 +45,35 @@ def _spaced(word_boundary: bool) -> list[tuple[int, str, str]]:
     return parts
 
 
-def tail_mask(text: Column, word_boundary: bool = False) -> Column:
+def tail_mask(text: str, word_boundary: bool = False) -> Column:
     """Keywords whose part before the blank ends this note."""
-    edge = lambda left: text.rlike(rf"(?U)(?<!\w){re.escape(left)}$") if word_boundary else text.endswith(left)
+    def edge(left: str) -> str:
+        if word_boundary:
+            return f"{text} RLIKE {_literal(rf'(?U)(?<!\w){re.escape(left)}$')}"
+        return f"endswith({text}, {_literal(left)})"
     return _mask([(i, edge(left)) for i, left, _ in _spaced(word_boundary)])
 
 
-def head_mask(text: Column, word_boundary: bool = False) -> Column:
+def head_mask(text: str, word_boundary: bool = False) -> Column:
     """Keywords whose part after the blank opens this note."""
-    edge = lambda right: text.rlike(rf"(?U)^{re.escape(right)}(?!\w)") if word_boundary and right else text.startswith(right)
+    def edge(right: str) -> str:
+        if word_boundary:
+            return f"{text} RLIKE {_literal(rf'(?U)^{re.escape(right)}(?!\w)')}"
+        return f"startswith({text}, {_literal(right)})"
     return _mask([(i, edge(right)) for i, _, right in _spaced(word_boundary)])
 
 
-def hit(mask: Column, kind: str, keyword: str) -> Column:
-    return mask.bitwiseAND(F.lit(1 << BIT[(kind, keyword)]).cast("long")) != 0
+def hit(mask: str, kind: str, keyword: str) -> str:
+    """SQL condition: the keyword's bit is set in column `mask`."""
+    return f"({mask} & {1 << BIT[(kind, keyword)]}L) <> 0"
 
 
-def hits(mask: Column, kind: str) -> Column:
+def hits(mask: str, kind: str) -> Column:
     """The keywords of one kind that were found, in list order."""
-    return F.array_compact(F.array(*[
-        F.when(hit(mask, k, word), word) for k, word in KEYWORDS if k == kind])).cast("array<string>")
+    return flagged([(hit(mask, k, word), _literal(word)) for k, word in KEYWORDS if k == kind])
+
+
+def flagged(pairs: list[tuple[str, str]]) -> Column:
+    """Array of the values whose condition holds, in order."""
+    items = ", ".join(f"IF({condition}, {value}, NULL)" for condition, value in pairs)
+    return F.expr(f"CAST(array_compact(array({items})) AS ARRAY<STRING>)")

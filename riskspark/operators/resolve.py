@@ -15,6 +15,8 @@ from riskspark.scratch import stored
 EXPLICIT_ID = r"(?i)(?:acct|#|account)\s*(\d{4})"
 # A token carried by more names than this is matched through grouped names instead of one by one.
 COMMON_TOKEN_NAMES = 1000
+# Names compared with one header in one step of the character comparison.
+NAMES_PER_CELL = 512
 
 
 def explicit_id(block: Column) -> Column:
@@ -139,14 +141,24 @@ def _character_pairs(heads: DataFrame, names: DataFrame, cutoff: float) -> DataF
     last = F.least(F.floor(length / near), F.lit(hi)).cast("int")
     head_profiles = (heads.select("profile").distinct().where(first <= last)
                      .withColumn("name_len", F.explode(F.sequence(first, last))))
-    name_profiles = names.select("profile", "len").distinct()
+    name_profiles = (names.groupBy("profile", "len").agg(F.count(F.lit(1)).alias("n"))
+                     .withColumn("cells", F.ceil(F.col("n") / NAMES_PER_CELL).cast("int")))
     viable = (head_profiles.alias("hp")
               .join(name_profiles.alias("np"), F.col("hp.name_len") == F.col("np.len"))
               .where(score_ceiling("hp.profile", "np.profile") >= cutoff)
-              .select(F.col("hp.profile").alias("h_profile"), F.col("np.profile").alias("n_profile")))
-    return (viable.alias("v")
-            .join(heads.alias("h"), F.col("v.h_profile") == F.col("h.profile"))
-            .join(names.alias("n"), F.col("v.n_profile") == F.col("n.profile"))
+              .select(F.col("hp.profile").alias("h_profile"), F.col("np.profile").alias("n_profile"), "cells"))
+    # Many names may share a profile: they are cut into cells and every header visits each cell.
+    # The fixed partition count keeps the few but costly rows from being packed into one task.
+    spark = names.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    visits = (viable.join(heads.withColumnRenamed("profile", "h_profile"), "h_profile")
+              .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+              .withColumn("profile", F.col("h_profile"))
+              .repartition(parts, "n_profile", "cell"))
+    cells = names.join(name_profiles.select("profile", "cells"), "profile").withColumn(
+        "cell", F.pmod(F.xxhash64("joined"), F.col("cells")).cast("int"))
+    return (visits.alias("h")
+            .join(cells.alias("n"), (F.col("h.n_profile") == F.col("n.profile")) & (F.col("h.cell") == F.col("n.cell")))
             .where(score_ceiling("h.profile", "n.profile") >= F.col("h.floor")))
 
 

@@ -3,9 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.functions.keywords import head_mask, hit, hits, inside_mask, tail_mask
+from riskspark.functions.keywords import flagged, head_mask, hit, hits, inside_mask, tail_mask
 from riskspark.functions.numeric import clip01
-from riskspark.functions.text import keep
 from riskspark.functions.values import (
     KEYWORD_TOTAL, MAX_FLAGS, MAX_POSITIVES, NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS,
 )
@@ -20,11 +19,12 @@ def keyword_masks(notes: DataFrame, word_boundary: bool = False) -> DataFrame:
     neighbouring notes; neighbours are found inside chunks of note positions first and between
     chunk ends second, so an account with most of the notes is spread over many tasks.
     """
-    text = F.lower("raw_text")
-    marked = notes.where(F.col("account_id").isNotNull()).select(
-        "account_id", "note_pos", F.floor(F.col("note_pos") / NOTES_PER_CHUNK).alias("chunk"),
-        inside_mask(text, word_boundary).alias("inside"),
-        tail_mask(text, word_boundary).alias("tail"), head_mask(text, word_boundary).alias("head"))
+    marked = (
+        notes.where(F.col("account_id").isNotNull())
+        .select("account_id", "note_pos", F.floor(F.col("note_pos") / NOTES_PER_CHUNK).alias("chunk"),
+                F.lower("raw_text").alias("text"))
+        .select("account_id", "note_pos", "chunk", inside_mask("text", word_boundary).alias("inside"),
+                tail_mask("text", word_boundary).alias("tail"), head_mask("text", word_boundary).alias("head")))
     in_chunk = Window.partitionBy("account_id", "chunk").orderBy("note_pos")
     across = lambda tail, nxt: F.col(tail).bitwiseAND(F.coalesce(nxt, F.lit(0).cast("long")))
     chunks = (
@@ -42,25 +42,24 @@ def keyword_masks(notes: DataFrame, word_boundary: bool = False) -> DataFrame:
 
 
 def keyword_hits(notes: DataFrame, word_boundary: bool = False) -> DataFrame:
-    mask = F.col("mask")
     return keyword_masks(notes, word_boundary).select(
-        "account_id", *[hits(mask, kind).alias(kind)
+        "account_id", *[hits("mask", kind).alias(kind)
                         for kind in ("negative", "positive", "competitor", "executive")])
 
 
 def note_signals(notes: DataFrame, word_boundary: bool = False) -> DataFrame:
     """Risk flags, positive signals, concern, action and risk score of every account with notes."""
-    mask = F.col("mask")
-    rivals = F.array_join(hits(mask, "competitor"), ", ")
-    flags = keep(*[
-        F.when(hit(mask, "negative", k),
-               F.concat(F.lit(flag + " ("), F.when(rivals == "", "unnamed").otherwise(rivals), F.lit(")"))
-               if k == "competitor" else F.lit(flag))
-        for k, flag in NEGATIVE_KEYWORDS.items()])
-    positives = keep(*[F.when(hit(mask, "positive", k), flag) for k, flag in POSITIVE_KEYWORDS.items()])
-    found = keyword_masks(notes, word_boundary).select(
-        "account_id", "notes", rivals.alias("rivals"), flags.alias("flags"), positives.alias("positives"),
-        F.trim(F.get(hits(mask, "executive"), F.lit(0))).alias("executive_keyword"))
+    def labels(kind: str, table: dict[str, str]) -> list[tuple[str, str]]:
+        return [(hit("mask", kind, k), "concat('Competitor mention (', if(rivals = '', 'unnamed', rivals), ')')"
+                 if k == "competitor" else f"'{label}'") for k, label in table.items()]
+
+    found = (
+        keyword_masks(notes, word_boundary)
+        .withColumn("rivals", F.array_join(hits("mask", "competitor"), ", "))
+        .select("account_id", "notes", "rivals",
+                flagged(labels("negative", NEGATIVE_KEYWORDS)).alias("flags"),
+                flagged(labels("positive", POSITIVE_KEYWORDS)).alias("positives"),
+                F.trim(F.get(hits("mask", "executive"), F.lit(0))).alias("executive_keyword")))
     balance = (F.size("positives") - F.size("flags")) / KEYWORD_TOTAL
     code = (F.when(F.col("rivals") != "", "competitor").when(F.size("flags") > 0, "risk")
             .when(F.size("positives") > 0, "positive"))

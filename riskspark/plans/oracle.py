@@ -293,7 +293,7 @@ ORACLE = {
     "e9_text_cap": "SELECT account_id, substr(lines, 1, 1500) AS note_text FROM txts",
     "g1_note_date_token": f"""SELECT note_pos, nullif(regexp_extract({FIRST_LINE}, '({ISO}|(?:1[0-2]|0?[1-9])/\\d{{1,2}}|{WORD})', 1), '') AS token,
       nullif(regexp_extract({FIRST_LINE}, '({ISO}|0?[1-9]/\\d{{1,2}}|{WORD})', 1), '') AS narrow_token FROM v_note_texts""",
-    "g2_parse_note_date": f"""SELECT o_orderkey, CASE WHEN k IN (0, 2, 3, 5) THEN make_date(y, m, d)
+    "g2_parse_note_date": f"""SELECT o_orderkey, CASE WHEN k IN (0, 3, 5) THEN make_date(y, m, d) WHEN k = 2 THEN make_date(2000 + y % 100, m, d)
       WHEN k IN (1, 4) AND NOT (m = 2 AND d = 29) THEN make_date(2026, m, d) END AS note_date FROM ({DATED})""",
     "g3_days_to_renewal": f"SELECT account_id, {DAYS} AS days_to_renewal FROM v_accounts",
     "g4_renewal_urgency": f"SELECT account_id, {URGENCY.format(d=DAYS)} AS urgency FROM v_accounts",

@@ -15,7 +15,7 @@ from riskspark.plans import renewals
 from riskspark.scratch import scratch_dir, stored
 from riskspark.sources import policy, report, tables
 from riskspark.sources.notes import scan_note_blocks
-from riskspark.sources.standins import REF, standin, standin_tables
+from riskspark.sources.standins import REF, raw, standin, standin_tables
 
 QUERIES = {}
 PORTFOLIO_COLUMNS = ["account_id", "account_name", "arr", "contract_end_date", "plan_tier", "industry",
@@ -530,7 +530,7 @@ def dated_orders(spark, sf) -> DataFrame:
     """The order dates written in eight styles, two of them impossible."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
     fmt = lambda pattern: F.date_format(d, pattern)
-    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", (
+    return raw(spark, sf, "orders").select("o_orderkey", (
         F.when(k == 0, fmt("yyyy-MM-dd")).when(k == 1, fmt("M/d")).when(k == 2, fmt("MM/dd/yy"))
         .when(k == 3, fmt("M/d/yyyy")).when(k == 4, fmt("MMM d")).when(k == 5, F.lower(fmt("MMMM d yyyy")))
         .when(k == 6, "2/30").otherwise("soon 12")).alias("token"))
@@ -567,13 +567,13 @@ def sdk_variants(spark, sf) -> DataFrame:
     version = F.when(k == 0, names[0])
     for i, name in enumerate(names[1:], 1):
         version = version.when(k == i, name)
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", version.alias("version"))
+    return raw(spark, sf, "events").select("event_id", version.alias("version"))
 
 
 @query
 def g7_clip_round(spark, sf):
     part = F.col("l_extendedprice") * F.col("l_discount") / 5000 - 0.2
-    return spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(
+    return raw(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         r6(F.avg(clip01(part))).alias("mean_clipped"), F.round(F.avg(clip01(part)), 1).alias("one_digit"),
         F.count_if(clip01(part) == 1).alias("at_top"), F.count_if(clip01(part) == 0).alias("at_bottom"))
 
@@ -600,7 +600,7 @@ def h1_clean_header(spark, sf):
 
 @query
 def h2_has_non_english(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select(
+    return raw(spark, sf, "documents").select(
         "doc_id", text.has_non_english(F.col("text")).alias("has_non_english"))
 
 
@@ -650,10 +650,10 @@ def h9_breakdown_map(spark, sf):
 @query
 def h10_json_text_to_list(spark, sf):
     doc = F.col("text")
-    raw = (F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array(doc, F.lit("second"))))
-           .when(F.col("doc_id") % 3 == 1, doc).otherwise("[]"))
-    items = text.json_text_to_list(raw)
-    return spark.read.parquet(f"{sf}/documents.parquet").select(
+    given = (F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array(doc, F.lit("second"))))
+             .when(F.col("doc_id") % 3 == 1, doc).otherwise("[]"))
+    items = text.json_text_to_list(given)
+    return raw(spark, sf, "documents").select(
         "doc_id", F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("items"))
 
 
@@ -668,7 +668,7 @@ def reply_texts(spark, sf) -> DataFrame:
              .when(i % 6 == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nbye")))
              .when(i % 6 == 2, F.concat(F.lit("Sure. "), body, F.lit(" Done.")))
              .when(i % 6 == 3, F.concat(F.lit("x "), loose)).when(i % 6 == 4, F.lit("I cannot help.")).otherwise(""))
-    return spark.read.parquet(f"{sf}/documents.parquet").select(i.alias("account_id"), reply.alias("reply"))
+    return raw(spark, sf, "documents").select(i.alias("account_id"), reply.alias("reply"))
 
 
 @query
@@ -681,8 +681,8 @@ def h11_reply_to_struct(spark, sf):
 @query
 def h12_sentiment_to_risk(spark, sf):
     sentiment = F.when(F.col("toxic").isNotNull(), (F.col("quality") + F.col("doc_id") % 7 / 7.0) / 2)
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    labels = raw(spark, sf, "labels")
+    docs = raw(spark, sf, "documents").select("doc_id")
     return docs.join(labels, "doc_id", "left").select("doc_id", r6(A.sentiment_to_risk(sentiment)).alias("risk"))
 
 

@@ -83,7 +83,21 @@ V_NOTES = "SELECT note_pos, conv_id AS account_id, raw_text FROM v_note_texts"
 
 VIEWS = {"v_accounts": V_ACCOUNTS, "v_usage": V_USAGE, "v_tickets": V_TICKETS, "v_nps": V_NPS,
          "v_note_texts": V_NOTE_TEXTS, "v_notes": V_NOTES}
-RAW = ["region", "nation", "customer", "orders", "lineitem", "events", "documents", "conversations"]
+# declared, so that building a query reads no file footers
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
 
 SPARK_DIALECT = {"days": "datediff(shipped, CAST(o_orderdate AS DATE))"}
 DUCKDB_DIALECT = {"days": "date_diff('day', CAST(o_orderdate AS DATE), shipped)"}
@@ -96,14 +110,19 @@ def view_sql(name: str, dialect: dict[str, str]) -> str:
     return text
 
 
+def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(RAW[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table; its inputs are inlined as sub-queries, no session view is left behind."""
+    """One derived table; inputs are passed as data frames, so no session view is left behind."""
     text = view_sql(name, SPARK_DIALECT)
     for view in VIEWS:
         text = re.sub(rf"\bFROM {view}\b", f"FROM ({view_sql(view, SPARK_DIALECT)}) {view}", text)
-    for table in RAW:
-        text = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 parquet.`{sf_dir}/{table}.parquet` {table}", text)
-    return spark.sql(text)
+    used = [t for t in RAW if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)]
+    for table in used:
+        text = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}} {table}", text)
+    return spark.sql(text, **{t: raw(spark, sf_dir, t) for t in used})
 
 
 def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
