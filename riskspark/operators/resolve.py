@@ -55,7 +55,7 @@ def _scored(pairs: DataFrame, floor: Column) -> DataFrame:
     shared, total = F.col("_shared"), F.col("_h_len") + F.col("_n_len")
     by_tokens = subset_scores(shared, F.col("_h_len"), F.col("_n_len"))
     weighed = split.withColumn("_by_tokens", by_tokens).withColumn(
-        "_worth", F.col("_ceiling") >= F.greatest("_floor", "_by_tokens"))
+        "_worth", (F.col("_by_tokens") < 100.0) & (F.col("_ceiling") >= F.greatest("_floor", "_by_tokens")))
     rest = lambda of, without: F.when(
         F.col("_worth"), F.array_join(F.array_except(of, without), " ")).otherwise("")
     compared = weighed.withColumn("_lcs", lcs_length(rest("_h", "_n"), rest("_n", "_h")))
