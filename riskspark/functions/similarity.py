@@ -46,24 +46,34 @@ def score_ceiling(left: str, right: str) -> Column:
     return 200.0 * total / (F.col(f"{left}.len") + F.col(f"{right}.len"))
 
 
-def _lcs(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
+def _letter_positions(text: str) -> dict[str, int]:
     where: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(text):
         where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
+    return where
+
+
+def _lcs(size: int, where: dict[str, int], other: str) -> int:
+    """Longest common subsequence with a text of `size` letters, one bit per letter."""
+    full = row = (1 << size) - 1
+    for ch in other:
         hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
 
 
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence, pair by pair."""
-    return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+    """Length of the longest common subsequence, pair by pair; the left text often repeats."""
+    positions: dict[str, dict[str, int]] = {}
+    out = []
+    for x, y in zip(a, b):
+        where = positions.get(x)
+        if where is None:
+            where = positions[x] = _letter_positions(x)
+        out.append(_lcs(len(x), where, y) if x and y else 0)
+    return pd.Series(out, dtype="int32")
 
 
 # keeps the optimizer from evaluating it once more for every filter on the score

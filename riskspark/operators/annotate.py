@@ -15,6 +15,7 @@ from riskspark.operators.insights import (
 from riskspark.operators.narrative import with_narrative
 from riskspark.operators.scoring import by_risk, score_accounts
 from riskspark.operators.signals import note_signals
+from riskspark.scratch import stored, task_count
 
 NOTE_FIELDS = ("account_id long, csm_sentiment_score double, risk_flags array<string>, "
                "positive_signals array<string>, key_stakeholder_concern string, "
@@ -32,7 +33,7 @@ Annotator = Callable[[dict], dict]
 def annotate(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_schema: str,
              partitions: int | None = None) -> DataFrame:
     """Apply `fn` to Arrow batches. Rows are spread round-robin first, so no key owns a task."""
-    spread = df.repartition(partitions) if partitions else df.repartition()
+    spread = df.repartition(partitions or task_count(df.sparkSession))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,9 +65,10 @@ def _columns(fields: str) -> list[str]:
 def annotate_notes(accounts: DataFrame, notes: DataFrame, fn: Annotator | None = None) -> DataFrame:
     """Signals per account with notes. `fn` sees the row with its `csm_notes_raw` list.
 
+    Only the key of `accounts` is read, so pass the plain account rows and not a computed table.
     An account with more notes than one row can hold is annotated by the rules, over all of them.
     """
-    ours = notes.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
+    ours = notes.join(accounts.select("account_id"), "account_id", "left_semi")
     by_rules = lambda rows: note_signals(rows).select(*_columns(NOTE_FIELDS))
     if fn is None:
         return by_rules(ours)
@@ -149,6 +151,17 @@ def annotate_nps(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
 
 # --- account narratives ---------------------------------------------------------
 
+def translate(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
+    """Comment columns on every row: annotated where the comment is not English, else defaults."""
+    if fn is not None:
+        return annotation_lookup(accounts, annotate_nps(non_english(accounts), fn), NPS_DEFAULTS())
+    comment = F.coalesce("verbatim_comment", F.lit(""))
+    foreign = F.coalesce("has_non_english", F.lit(False)) & (F.regexp_replace(comment, r"(?U)\s", "") != "")
+    defaults = NPS_DEFAULTS()  # expressions on the row itself: no join needed
+    return accounts.withColumns({**defaults, "detected_language": F.when(foreign, "unknown").otherwise(
+        defaults["detected_language"])})
+
+
 def annotate_accounts(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
     """Narratives for High and Medium rows; `fn` sees the briefing and the flat columns."""
     targets = actionable(accounts)
@@ -265,10 +278,16 @@ def annotate_portfolio(accounts: DataFrame, fn: Annotator | None = None) -> Data
 
 def analyse(renewing: DataFrame, notes: DataFrame, note_fn: Annotator | None = None,
             nps_fn: Annotator | None = None, account_fn: Annotator | None = None) -> DataFrame:
-    """Annotate notes and comments, refresh the scores with them, then add narratives."""
-    rows = annotation_lookup(renewing, annotate_notes(renewing, notes, note_fn), NOTE_DEFAULTS())
-    rows = annotation_lookup(rows, annotate_nps(non_english(rows), nps_fn), NPS_DEFAULTS())
-    rows = score_accounts(rows)
+    """Annotate notes and comments, refresh the scores with them, then add narratives.
+
+    `notes` should hold no more accounts than `renewing`. With the built-in rules the account
+    rows are computed once; a caller's function reads them again, so they are stored before it.
+    """
+    found = note_signals(notes) if note_fn is None else annotate_notes(
+        notes.select("account_id").distinct(), notes, note_fn)
+    rows = annotation_lookup(renewing, found, NOTE_DEFAULTS())
+    rows = score_accounts(translate(rows if nps_fn is None else stored(rows), nps_fn))
     if account_fn is not None:
+        rows = stored(rows)
         rows = rows.join(briefings(rows, notes), "account_id", "left")
     return narrate(rows, account_fn)

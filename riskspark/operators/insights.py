@@ -57,14 +57,24 @@ def csm_concentration_accounts(accounts: DataFrame) -> DataFrame:
     return actionable(accounts).join(F.broadcast(top), "csm_name")
 
 
+def _conditions() -> dict[str, Column]:
+    return {
+        INSIGHTS[0]: on_sunset_sdk(F.col("latest_sdk_version")),
+        INSIGHTS[1]: F.coalesce("silent_churn_flag", F.lit(False)),
+        INSIGHTS[2]: F.col("risk_tier").isin(*ACTIONABLE) & F.col("csm_name").isNotNull(),
+        INSIGHTS[3]: F.coalesce((F.col("plan_tier") == "Enterprise")
+                                & (F.coalesce(F.col("nps_score"), F.lit(10.0)) <= 6), F.lit(False)),
+    }
+
+
 def insight_members(accounts: DataFrame) -> DataFrame:
-    """(insight_code, account_id, account_name): as many rows as there are affected accounts."""
-    def of(code: str, rows: DataFrame) -> DataFrame:
-        return rows.select(F.lit(code).alias("insight_code"), "account_id", "account_name", "arr")
-    return (of("sunset_renewal", v3_renewing(accounts))
-            .unionByName(of("silent_cluster", silent_rows(accounts)))
-            .unionByName(of("csm_concentration", csm_concentration_accounts(accounts)))
-            .unionByName(of("enterprise_detractors", enterprise_detractors(accounts))))
+    """(insight_code, account_id, account_name, arr): as many rows as there are affected accounts."""
+    top = csm_concentration(accounts).select("csm_name", F.lit(True).alias("_top"))  # one row
+    conditions = _conditions()
+    conditions[INSIGHTS[2]] = conditions[INSIGHTS[2]] & F.coalesce("_top", F.lit(False))
+    codes = F.array_compact(F.array(*[F.when(cond, code) for code, cond in conditions.items()]))
+    return (accounts.join(F.broadcast(top), "csm_name", "left")
+            .select(F.explode(codes).alias("insight_code"), "account_id", "account_name", "arr"))
 
 
 def tier_totals(accounts: DataFrame) -> DataFrame:
@@ -110,19 +120,24 @@ def _insight_text(code: Column) -> dict[str, Column]:
 def portfolio_insights(accounts: DataFrame) -> DataFrame:
     """Up to four rows (insight_code, n, arr, csm_name, texts); an insight nobody has is left out.
 
-    All but the CSM insight come from one pass over the accounts.
+    One pass over the accounts: sums per CSM first, everything else from those few rows.
     """
-    flags = {INSIGHTS[0]: on_sunset_sdk(F.col("latest_sdk_version")),
-             INSIGHTS[1]: F.coalesce("silent_churn_flag", F.lit(False)),
-             INSIGHTS[3]: F.coalesce((F.col("plan_tier") == "Enterprise")
-                                     & (F.coalesce(F.col("nps_score"), F.lit(10.0)) <= 6), F.lit(False))}
-    totals = accounts.agg(F.array(*[
-        F.struct(F.lit(code).alias("insight_code"), F.count_if(cond).alias("n"),
-                 F.sum(F.when(cond, F.col("arr"))).alias("arr")) for code, cond in flags.items()]).alias("rows"))
-    counted = (totals.select(F.inline("rows")).where("n > 0")
-               .withColumn("csm_name", F.lit(None).cast("string")))
-    owner = csm_concentration(accounts).select(F.lit(INSIGHTS[2]).alias("insight_code"), "n", "arr", "csm_name")
-    rows = counted.unionByName(owner)
+    conditions = _conditions()
+    per_csm = accounts.groupBy("csm_name").agg(
+        *[F.count_if(cond).alias(f"n_{code}") for code, cond in conditions.items()],
+        *[F.sum(F.when(cond, F.col("arr"))).alias(f"arr_{code}") for code, cond in conditions.items()])
+    owner = INSIGHTS[2]
+    totals = per_csm.agg(
+        *[F.sum(f"{part}_{code}").alias(f"{part}_{code}") for code in INSIGHTS if code != owner for part in ("n", "arr")],
+        F.min(F.when(F.col(f"n_{owner}") > 0, F.struct(
+            (-F.col(f"n_{owner}")).alias("neg"), "csm_name", F.col(f"arr_{owner}").alias("arr")))).alias("_top"))
+    no_csm = F.lit(None).cast("string")
+    row = lambda code: (
+        F.struct(F.lit(code).alias("insight_code"), (-F.col("_top.neg")).alias("n"), F.col("_top.arr").alias("arr"),
+                 F.col("_top.csm_name").alias("csm_name")) if code == owner else
+        F.struct(F.lit(code).alias("insight_code"), F.col(f"n_{code}").alias("n"), F.col(f"arr_{code}").alias("arr"),
+                 no_csm.alias("csm_name")))
+    rows = totals.select(F.inline(F.array(*[row(code) for code in INSIGHTS]))).where("n > 0")
     return rows.withColumns(_insight_text(F.col("insight_code")))
 
 

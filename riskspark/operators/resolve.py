@@ -9,7 +9,7 @@ from riskspark.functions.similarity import (
 )
 from riskspark.functions.text import clean_header
 from riskspark.functions.values import DEFAULT_NOTE_YEAR, SIMILARITY_CUTOFF
-from riskspark.scratch import stored
+from riskspark.scratch import stored, task_count
 
 # Fixed pattern: an account id named as such anywhere in the note.
 EXPLICIT_ID = r"(?i)(?:acct|#|account)\s*(\d{4})"
@@ -149,12 +149,10 @@ def _character_pairs(heads: DataFrame, names: DataFrame, cutoff: float) -> DataF
               .select(F.col("hp.profile").alias("h_profile"), F.col("np.profile").alias("n_profile"), "cells"))
     # Many names may share a profile: they are cut into cells and every header visits each cell.
     # The fixed partition count keeps the few but costly rows from being packed into one task.
-    spark = names.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     visits = (viable.join(heads.withColumnRenamed("profile", "h_profile"), "h_profile")
               .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
               .withColumn("profile", F.col("h_profile"))
-              .repartition(parts, "n_profile", "cell"))
+              .repartition(task_count(names.sparkSession), "n_profile", "cell"))
     cells = names.join(name_profiles.select("profile", "cells"), "profile").withColumn(
         "cell", F.pmod(F.xxhash64("joined"), F.col("cells")).cast("int"))
     return (visits.alias("h")

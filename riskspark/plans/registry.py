@@ -723,7 +723,7 @@ def i4_score_all(spark, sf):
 @query
 def i5_rescore(spark, sf):
     t = standin_tables(spark, sf)
-    rows = A.annotation_lookup(renewals.renewing_accounts(t), signals.note_signals(t.notes), A.NOTE_DEFAULTS())
+    rows = A.annotation_lookup(renewals.renewing_accounts(t), signals.note_signals(renewals.renewing_notes(t)), A.NOTE_DEFAULTS())
     return scoring.by_risk(scoring.score_accounts(rows)).select(
         "account_id", *r6s("csm_sentiment_score", "risk_score", "base_score"), "risk_tier")
 
@@ -784,7 +784,7 @@ def j4_annotate_portfolio(spark, sf):
 @query
 def j5_briefing_table(spark, sf):
     t = standin_tables(spark, sf)
-    return A.briefings(A.analyse(renewals.renewing_accounts(t), t.notes), t.notes)
+    return A.briefings(renewals.analysed_renewals(t), renewals.renewing_notes(t))
 
 
 @query
@@ -804,6 +804,5 @@ def j7_enrich_missing(spark, sf):
 @query
 def j8_analyse_portfolio(spark, sf):
     t = standin_tables(spark, sf)
-    rows = A.analyse(renewals.renewing_accounts(t), t.notes)
-    return rows.select("account_id", *r6s("csm_sentiment_score", "risk_score"), "risk_tier", "detected_language",
+    return renewals.analysed_renewals(t).select("account_id", *r6s("csm_sentiment_score", "risk_score"), "risk_tier", "detected_language",
                        *joined("risk_flags"), (F.col("narrative_summary") != "").alias("has_text"))

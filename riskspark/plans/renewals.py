@@ -26,6 +26,18 @@ def renewing_accounts(tables: Tables, window_days: int = RENEWAL_DAYS,
     return score_accounts(build_features(tables, due), weights)
 
 
+def renewing_notes(tables: Tables, window_days: int = RENEWAL_DAYS) -> DataFrame:
+    """Notes of the renewing accounts only, so no other text is searched."""
+    due = filter_renewing(tables.accounts, tables.reference_date, window_days)
+    return tables.notes.join(due.select("account_id"), "account_id", "left_semi")
+
+
+def analysed_renewals(tables: Tables, window_days: int = RENEWAL_DAYS, note_fn=None, nps_fn=None,
+                      account_fn=None) -> DataFrame:
+    return analyse(renewing_accounts(tables, window_days), renewing_notes(tables, window_days),
+                   note_fn, nps_fn, account_fn)
+
+
 def ranked_renewals(tables: Tables, window_days: int = RENEWAL_DAYS) -> DataFrame:
     return by_risk(renewing_accounts(tables, window_days))
 
@@ -33,7 +45,7 @@ def ranked_renewals(tables: Tables, window_days: int = RENEWAL_DAYS) -> DataFram
 def run_report(tables: Tables, path: str, window_days: int = RENEWAL_DAYS, fmt: str = "parquet",
                note_fn=None, nps_fn=None, account_fn=None, portfolio_fn=None) -> None:
     """Score, annotate and publish. The analysed accounts are stored once for all four outputs."""
-    rows = analyse(renewing_accounts(tables, window_days), tables.notes, note_fn, nps_fn, account_fn)
+    rows = analysed_renewals(tables, window_days, note_fn, nps_fn, account_fn)
     rows = stored(with_lists(rows, tables))
     write_report(rows, annotate_portfolio(rows, portfolio_fn), path, tables.reference_date, window_days, fmt)
 

@@ -1,4 +1,4 @@
-"""Where a job may put intermediate tables."""
+"""Where a job may put intermediate tables, and how wide it may spread costly rows."""
 
 import os
 import tempfile
@@ -25,3 +25,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for rows that are small but costly; a fixed count is not packed together at run time."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
