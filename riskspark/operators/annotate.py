@@ -257,8 +257,8 @@ def annotate_portfolio(accounts: DataFrame, fn: Annotator | None = None) -> Data
     """Insight rows. `fn` gets totals plus `portfolio_text` and returns {"insights": [...]}"""
     if fn is None:
         return portfolio_insights(accounts)
-    facts = tier_totals(accounts).withColumn("k", F.lit(1)).join(  # one row each
-        portfolio_lines(accounts).withColumn("k", F.lit(1)), "k").drop("k")
+    parts = tier_totals(accounts).unionByName(portfolio_lines(accounts), allowMissingColumns=True)
+    facts = parts.agg(*[F.max(c).alias(c) for c in parts.columns])  # one row from two one-row frames
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         columns = ["title", "observation", "why_non_obvious", "action", "affected_accounts"]
