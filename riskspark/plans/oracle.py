@@ -351,7 +351,7 @@ ORACLE = {
     "j3_annotate_account": f"SELECT account_id, risk_tier, {RISKY} AS has_text, {BIG(N_TEXTS(DRIVERS))} AS n_drivers, {BIG(N_TEXTS(ACTIONS))} AS n_actions FROM due",
     "j4_annotate_portfolio": f"""SELECT insight_code, CASE insight_code WHEN 'sunset_renewal' THEN 'Forced SDK migration meets renewal' WHEN 'silent_cluster' THEN 'Good surveys over falling usage'
       WHEN 'csm_concentration' THEN 'Most at-risk accounts sit with ' || csm_name ELSE 'Enterprise detractors' END AS title, n, arr FROM ({INSIGHT_ROWS})""",
-    "j6_portfolio_lines": f"""SELECT string_agg(line, chr(10) ORDER BY risk_score DESC, account_id) AS portfolio_text FROM (
+    "j6_portfolio_lines": f"""SELECT coalesce(string_agg(line, chr(10) ORDER BY risk_score DESC, account_id), '') AS portfolio_text FROM (
       SELECT risk_score, account_id, concat_ws(' | ', account_name, 'ARR ' || {FULL('arr')}, 'tier ' || risk_tier, 'sdk ' || coalesce(latest_sdk_version, '?'),
         'csm ' || csm_name, 'industry ' || industry, 'region ' || region, 'silent ' || CAST(silent_churn_flag AS VARCHAR), 'critical ' || p1_open_count,
         'nps ' || coalesce(CAST(nps_score AS VARCHAR), '?')) AS line
