@@ -250,8 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], totals.get(1, 0) / max(1, totals.get(0, 0)))
 
 
-def scored(docs: DataFrame, model: dict, keep=("doc_id",)) -> DataFrame:
-    """The kept columns and score."""
+def scored(docs: DataFrame, model: dict, keep=("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and the score under the given name."""
     def setup():
         net, evidence, (slope, offset) = model["net"], model["evidence"], model["calibration"]
         state = {"index": {}, "gates": np.zeros((0, 6 * HIDDEN), np.float32)}
@@ -278,7 +278,7 @@ def scored(docs: DataFrame, model: dict, keep=("doc_id",)) -> DataFrame:
             for at in range(0, len(owner), 1024):
                 z = forward(net, gates[ids[place[at:at + 1024]]], there[at:at + 1024])[0]
                 np.maximum.at(best, owner[at:at + 1024], z)
-            return {"score": sigmoid(slope * best.astype(float) + offset)}
+            return {name: sigmoid(slope * best.astype(float) + offset)}
         return run
 
-    return map_texts(docs, setup, "score double", keep=keep)
+    return map_texts(docs, setup, f"{name} double", keep=keep)
