@@ -4,6 +4,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,7 +20,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "16g")
-             .config("spark.sql.shuffle.partitions", CPUS).getOrCreate())
+             .config("spark.sql.shuffle.partitions", CPUS)
+             .config("spark.checkpoint.dir", os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="riskspark-bench-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from riskspark.plans import registry as q
     from riskspark.plans.renewals import ranked_renewals

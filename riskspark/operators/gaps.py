@@ -1,7 +1,6 @@
 """Find what a report still lacks, fill only that, and keep the progress."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import is_real_narrative
@@ -42,6 +41,12 @@ def report_audit(report: DataFrame, rows: int = 8) -> DataFrame:
         "account_id", "account_name", "risk_tier", real.alias("has_narrative"), (~_lacks("risk_flags")).alias("has_flags"))
 
 
+def _holds_files(spark: SparkSession, folder: str) -> bool:
+    """Whether an earlier run stored anything here; errors of reading it are not taken for absence."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _resumed(todo: DataFrame, path: str | None, step: str, work) -> DataFrame:
     """Run `work` for the keys and inputs `path` does not hold yet, append, and return all for `todo`.
 
@@ -52,11 +57,10 @@ def _resumed(todo: DataFrame, path: str | None, step: str, work) -> DataFrame:
         return work(todo).drop("_input")
     spark, folder = todo.sparkSession, f"{path}/{step}"
     keys = todo.select("account_id", "_input").distinct()
-    try:
+    missing = todo
+    if _holds_files(spark, folder):
         done = spark.read.parquet(folder).select("account_id", "_input")
         missing = todo.join(done, ["account_id", "_input"], "left_anti")
-    except AnalysisException:  # nothing stored yet
-        missing = todo
     fresh = work(missing).drop("_input").join(keys, "account_id")
     fresh.write.mode("append").parquet(folder)
     return (spark.read.schema(fresh.schema).parquet(folder)
@@ -74,7 +78,10 @@ def enrich_missing(report: DataFrame, notes: DataFrame, progress: str | None = N
         todo = with_gaps(rows).where(need).withColumn("_input", F.xxhash64(*inputs))
         return upsert_by_id(rows, _resumed(todo, progress, step, work), list(defaults))
 
-    rows = fill(report, "needs_notes", STEPS[0], NOTE_DEFAULTS(), ["account_id", "note_count"],
+    # Independent of the order in which notes are read, and changed by any text or place.
+    seen = notes.groupBy("account_id").agg(F.sum(F.xxhash64("note_pos", "raw_text").cast("decimal(38,0)")).alias("_notes"))
+    report = report.join(seen, "account_id", "left")
+    rows = fill(report, "needs_notes", STEPS[0], NOTE_DEFAULTS(), ["account_id", "note_count", "_notes"],
                 lambda t: annotate_notes(t, notes, note_fn))
     rows = fill(rows, "needs_translation", STEPS[1], NPS_DEFAULTS(), ["verbatim_comment", "nps_score"],
                 lambda t: annotate_nps(t, nps_fn))
@@ -88,4 +95,4 @@ def enrich_missing(report: DataFrame, notes: DataFrame, progress: str | None = N
             briefings(todo, notes), "account_id", "left"), account_fn)
 
     return fill(rows, "needs_narrative", STEPS[2], NARRATIVE_DEFAULTS(),
-                ["risk_score", "risk_flags", "positive_signals", "days_to_renewal"], narratives)
+                ["risk_score", "risk_flags", "positive_signals", "days_to_renewal", "_notes"], narratives).drop("_notes")

@@ -51,9 +51,9 @@ def _scored(pairs: DataFrame, floor: Column) -> DataFrame:
         F.col("n.account_name").alias("account_name"), F.col("h.tokens").alias("_h"), F.col("n.tokens").alias("_n"),
         F.col("h.len").alias("_h_len"), F.col("n.len").alias("_n_len"), floor.alias("_floor"),
         joined_length(F.array_intersect("h.tokens", "n.tokens")).alias("_shared"),
-        score_ceiling("h.profile", "n.profile").alias("_ceiling"))
+        F.round(score_ceiling("h.profile", "n.profile"), 9).alias("_ceiling"))
     shared, total = F.col("_shared"), F.col("_h_len") + F.col("_n_len")
-    by_tokens = subset_scores(shared, F.col("_h_len"), F.col("_n_len"))
+    by_tokens = F.round(subset_scores(shared, F.col("_h_len"), F.col("_n_len")), 9)
     weighed = split.withColumn("_by_tokens", by_tokens).withColumn(
         "_worth", (F.col("_by_tokens") < 100.0) & (F.col("_ceiling") >= F.greatest("_floor", "_by_tokens")))
     rest = lambda of, without: F.when(
@@ -145,7 +145,7 @@ def _character_pairs(heads: DataFrame, names: DataFrame, cutoff: float) -> DataF
                      .withColumn("cells", F.ceil(F.col("n") / NAMES_PER_CELL).cast("int")))
     viable = (head_profiles.alias("hp")
               .join(name_profiles.alias("np"), F.col("hp.name_len") == F.col("np.len"))
-              .where(score_ceiling("hp.profile", "np.profile") >= cutoff)
+              .where(F.round(score_ceiling("hp.profile", "np.profile"), 9) >= cutoff)
               .select(F.col("hp.profile").alias("h_profile"), F.col("np.profile").alias("n_profile"), "cells"))
     # Many names may share a profile: they are cut into cells and every header visits each cell.
     # The fixed partition count keeps the few but costly rows from being packed into one task.
@@ -157,7 +157,7 @@ def _character_pairs(heads: DataFrame, names: DataFrame, cutoff: float) -> DataF
         "cell", F.pmod(F.xxhash64("joined"), F.col("cells")).cast("int"))
     return (visits.alias("h")
             .join(cells.alias("n"), (F.col("h.n_profile") == F.col("n.profile")) & (F.col("h.cell") == F.col("n.cell")))
-            .where(score_ceiling("h.profile", "n.profile") >= F.col("h.floor")))
+            .where(F.round(score_ceiling("h.profile", "n.profile"), 9) >= F.col("h.floor")))
 
 
 def resolve_fuzzy(notes: DataFrame, accounts: DataFrame, order: str = "account_id",

@@ -1,22 +1,16 @@
 """Where a job may put intermediate tables, and how wide it may spread costly rows."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
-
-    Only a local session without that setting falls back to a folder of this machine.
-    """
+    """A fresh folder below the shared folder that the session names; without one there is no fallback."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="riskspark-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(base, f"riskspark-{uuid.uuid4().hex}")
 
 

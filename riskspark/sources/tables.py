@@ -26,11 +26,11 @@ def _number(text: Column) -> Column:
 
 def scan_accounts(spark: SparkSession, path: str) -> DataFrame:
     return (_csv(spark, path, schemas.ACCOUNTS_FILE)
-            .withColumn("contract_end_date", F.to_date("contract_end_date")))
+            .withColumn("contract_end_date", F.try_to_date("contract_end_date")))
 
 
 def scan_usage(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, schemas.USAGE_FILE).withColumn("month", F.to_date("month", "yyyy-MM"))
+    return _csv(spark, path, schemas.USAGE_FILE).withColumn("month", F.try_to_date("month", "yyyy-MM"))
 
 
 def scan_tickets(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +40,7 @@ def scan_tickets(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         ticket_id.alias("ticket_id"),
         F.col("account_id").cast("long").alias("account_id"),
-        F.to_date("created_date").alias("created_date"),
+        F.try_to_date("created_date").alias("created_date"),
         "priority", "status", "subject",
         _number(F.col("resolution_time_hours")).alias("resolution_time_hours"))
 

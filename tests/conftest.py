@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,8 @@ def session() -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").appName("tests")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-             .config("spark.sql.adaptive.enabled", "true").getOrCreate())
+             .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskspark-tests-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -188,3 +188,14 @@ def test_word_boundaries(spark):
     strict = {r["account_id"]: r for r in signals.keyword_hits(df, word_boundary=True).collect()}
     assert loose[1] == ["cto"] and strict[1]["executive"] == [] and strict[2]["executive"] == ["cto"]
     assert strict[3]["negative"] == ["no show"]
+
+
+@pytest.mark.parametrize("common", [0, 1, 1000])
+def test_equal_scores_go_to_the_earlier_account(spark, common):
+    """A ceiling rounded otherwise than the score would lose the earlier of two equal matches."""
+    from riskspark.operators.resolve import similarity_matches
+    heads = spark.createDataFrame([("abc xy",)], "header string")
+    accounts = spark.createDataFrame([(1, "bcx"), (2, "abc qqqqqqq")], "account_id long, account_name string")
+    for rows in (accounts, accounts.where("account_id = 1")):
+        found = similarity_matches(heads, rows, common_names=common, cutoff=60.0).collect()
+        assert [r["account_id"] for r in found] == [1]

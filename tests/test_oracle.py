@@ -30,4 +30,5 @@ def test_entry_is_ranked(spark):
 
 
 def test_only_similarity_and_prose_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == {"c7_resolve_fuzzy", "c9_resolve_notes", "j5_briefing_table"}
+    from riskspark.plans.registry import QUERIES as OWN
+    assert set(OWN) - set(ORACLE) == {"c7_resolve_fuzzy", "c9_resolve_notes", "j5_briefing_table"}
