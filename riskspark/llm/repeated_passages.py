@@ -134,7 +134,8 @@ def matches(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other of every retained suffix's matches; positions in words, end exclusive."""
     spark = docs.sparkSession
     every = stored(suffixes(docs))
-    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Written before the join: both sides are then exchanged for it, and a key of a third of all suffixes can be split.
+    often = stored(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     found = stored(_with_context(docs, every.join(often, "key").select("key", "doc_id", "place")))
     order = ["key", "after", "before", "doc_id", "place"]
     tasks = max(spark.sparkContext.defaultParallelism, -(-found.count() // PARTITION_ROWS))
