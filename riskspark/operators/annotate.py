@@ -12,6 +12,8 @@ from riskspark.functions.values import BRIEFING_NOTE_CHARS, NEUTRAL_SENTIMENT, P
 from riskspark.operators.insights import (
     actionable, high_only, portfolio_insights, tier_totals,
 )
+from riskspark.operators.lists import chunked, owned
+from riskspark.operators.merge import same_keys
 from riskspark.operators.narrative import with_narrative
 from riskspark.operators.scoring import by_risk, score_accounts
 from riskspark.operators.signals import note_signals
@@ -20,9 +22,12 @@ from riskspark.scratch import stored, task_count
 NOTE_FIELDS = ("account_id long, csm_sentiment_score double, risk_flags array<string>, "
                "positive_signals array<string>, key_stakeholder_concern string, "
                "csm_recommended_action string")
-NPS_FIELDS = ("account_id long, english_translation string, detected_language string, "
+NOTE_CALL_FIELDS = NOTE_FIELDS + ", chunk_no long, notes long"
+NOTES_PER_CALL = 100
+RESPONSE = ["account_id", "nps_score", "verbatim_comment"]
+NPS_FIELDS = ("account_id long, nps_score double, verbatim_comment string, english_translation string, detected_language string, "
               "nps_key_themes array<string>, sentiment_alignment string, alignment_note string")
-NARRATIVE_FIELDS = ("account_id long, narrative_summary string, narrative_risk_drivers array<string>, "
+NARRATIVE_FIELDS = ("account_id long, nps_score double, verbatim_comment string, narrative_summary string, narrative_risk_drivers array<string>, "
                     "narrative_actions array<string>, narrative_urgency string")
 REPLY_FIELDS = ("sentiment_score string, risk_flags array<string>, positive_signals array<string>, "
                 "key_stakeholder_concern string, recommended_action string")
@@ -42,8 +47,9 @@ def annotate(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_sche
     return spread.mapInPandas(run, out_schema)
 
 
-def row_annotator(fn: Annotator, failed: Annotator, columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Batch function from a per-row one; a row whose call raises gets `failed` instead."""
+def row_annotator(fn: Annotator, failed: Annotator, columns: list[str],
+                  keys: list[str] = ["account_id"]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Batch function from a per-row one; a row whose call raises gets `failed` instead. `keys` stay as they are."""
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in batch.to_dict("records"):
@@ -51,7 +57,7 @@ def row_annotator(fn: Annotator, failed: Annotator, columns: list[str]) -> Calla
                 result = fn(row)
             except Exception:
                 result = failed(row)
-            out.append({c: row["account_id"] if c == "account_id" else result.get(c) for c in columns})
+            out.append({c: row[c] if c in keys else result.get(c) for c in columns})
         return pd.DataFrame(out, columns=columns)
     return run
 
@@ -62,23 +68,53 @@ def _columns(fields: str) -> list[str]:
 
 # --- notes -------------------------------------------------------------------
 
-def annotate_notes(accounts: DataFrame, notes: DataFrame, fn: Annotator | None = None) -> DataFrame:
-    """Signals per account with notes. `fn` sees the row with its `csm_notes_raw` list.
+def annotate_notes(accounts: DataFrame, notes: DataFrame, fn: Annotator | None = None,
+                   notes_per_call: int = NOTES_PER_CALL) -> DataFrame:
+    """Signals per account with notes, by the rules or by `fn`.
 
+    `fn` sees rows (account_id, chunk_no, csm_notes_raw): every account's notes in order, in lists
+    of `notes_per_call`, the last one shorter. `merge_note_calls` makes one row of its answers.
     Only the key of `accounts` is read, so pass the plain account rows and not a computed table.
-    An account with more notes than one row can hold is annotated by the rules, over all of them.
     """
-    ours = notes.join(accounts.select("account_id"), "account_id", "left_semi")
-    by_rules = lambda rows: note_signals(rows).select(*_columns(NOTE_FIELDS))
+    ours = owned(notes, accounts)
     if fn is None:
-        return by_rules(ours)
-    from riskspark.operators.features import join_notes
+        return note_signals(ours).select(*_columns(NOTE_FIELDS))
     neutral = lambda row: {"csm_sentiment_score": NEUTRAL_SENTIMENT, "risk_flags": [], "positive_signals": []}
-    listed = join_notes(accounts.select("account_id").distinct(), notes)
-    inline = listed.where(F.size("csm_notes_raw") > 0).select("account_id", "csm_notes_raw")
-    oversize = listed.where(F.col("csm_notes_raw").isNull()).select("account_id")
-    return (annotate(inline, row_annotator(fn, neutral, _columns(NOTE_FIELDS)), NOTE_FIELDS)
-            .unionByName(by_rules(ours.join(oversize, "account_id", "left_semi"))))
+    calls = chunked(ours, "account_id", "note_pos", "raw_text", "csm_notes_raw", notes_per_call).withColumn(
+        "notes", F.size("csm_notes_raw").cast("long"))
+    return merge_note_calls(annotate(calls, row_annotator(
+        fn, neutral, _columns(NOTE_CALL_FIELDS), ["account_id", "chunk_no", "notes"]), NOTE_CALL_FIELDS))
+
+
+def merge_note_calls(calls: DataFrame) -> DataFrame:
+    """One row per account: mean score weighted by notes, distinct labels in order, first concern and first action.
+
+    An answer without a score counts for nothing in the mean. Labels are made distinct by a mergeable
+    aggregation before any list is built; the answers are read once.
+    """
+    place = lambda i: F.struct(F.col("chunk_no").alias("chunk_no"), i.cast("int").alias("i"))
+    part = lambda kind, value, at, score, weight: F.struct(
+        F.lit(kind).alias("kind"), value.alias("value"), at.alias("at"), score.alias("score"), weight.alias("weight"))
+    none, number = F.lit(None).cast("double"), F.lit(None).cast("long")
+    labels = lambda kind, c: F.transform(F.coalesce(F.col(c), empty_list()), lambda x, i: part(kind, x, place(i), none, number))
+    first = F.lit(0)
+    score = F.col("csm_sentiment_score")
+    parts = F.concat(
+        labels("flag", "risk_flags"), labels("positive", "positive_signals"),
+        F.array(part("concern", F.col("key_stakeholder_concern"), place(first), none, number),
+                part("action", F.col("csm_recommended_action"), place(first), none, number),
+                part("score", score.cast("string"), place(first), score, F.when(score.isNotNull(), F.col("notes")))))
+    merged = calls.select("account_id", F.inline(parts)).groupBy("account_id", "kind", "value").agg(
+        F.min("at").alias("at"), F.first("score").alias("score"), F.sum("weight").alias("weight"))
+    known = F.col("value").isNotNull()
+    only = lambda kind, c: F.when((F.col("kind") == kind) & known, c)
+    listed = lambda kind: F.array_sort(F.collect_list(only(kind, F.struct("at", "value"))))["value"]
+    early = lambda kind: F.min(only(kind, F.struct("at", "value")))["value"]
+    mean = F.round(F.sum(F.col("score") * F.col("weight")) / F.sum(F.when(F.col("score").isNotNull(), F.col("weight"))), 4)
+    return merged.groupBy("account_id").agg(
+        F.when(F.min("score") == F.max("score"), F.min("score")).otherwise(mean).alias("csm_sentiment_score"),
+        listed("flag").alias("risk_flags"), listed("positive").alias("positive_signals"),
+        early("concern").alias("key_stakeholder_concern"), early("action").alias("csm_recommended_action"))
 
 
 def notes_from_replies(replies: DataFrame) -> DataFrame:
@@ -114,14 +150,18 @@ NARRATIVE_DEFAULTS = lambda: {
 }
 
 
-def annotation_lookup(base: DataFrame, found: DataFrame, defaults: dict[str, Column]) -> DataFrame:
-    """Left join of at most one annotation per account, with a default where there is none."""
-    fresh = found.select("account_id", *[F.col(c).alias(f"_new_{c}") for c in defaults],
+def annotation_lookup(base: DataFrame, found: DataFrame, defaults: dict[str, Column],
+                      keys: list[str] = ["account_id"]) -> DataFrame:
+    """Left join of at most one annotation per key, with a default where there is none.
+
+    Keys after the first match where both are NULL, too.
+    """
+    fresh = found.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_new_{c}") for c in defaults],
                          F.lit(True).alias("_found"))
-    joined = base.drop(*[c for c in defaults if c in base.columns]).join(fresh, "account_id", "left")
+    joined = base.drop(*[c for c in defaults if c in base.columns]).join(fresh, same_keys(keys), "left")
     missing = F.col("_found").isNull()
     return (joined.withColumns({c: F.when(missing, d).otherwise(F.col(f"_new_{c}")) for c, d in defaults.items()})
-            .drop("_found", *[f"_new_{c}" for c in defaults]))
+            .drop("_found", *[f"_key_{k}" for k in keys], *[f"_new_{c}" for c in defaults]))
 
 
 # --- survey comments -----------------------------------------------------------
@@ -131,13 +171,15 @@ def non_english(accounts: DataFrame) -> DataFrame:
 
 
 def annotate_nps(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
-    """One annotation per account of the given rows: by default the comment itself, language unknown."""
-    latest = accounts.groupBy("account_id").agg(
-        F.max(F.struct("nps_score", "verbatim_comment")).alias("s")).select("account_id", "s.*")
+    """One annotation per distinct response (account, score, comment) of the given rows.
+
+    By default the comment itself, language unknown; `fn` sees the response.
+    """
+    responses = accounts.select(*RESPONSE).distinct()
     comment = F.coalesce("verbatim_comment", F.lit(""))
     blank = F.regexp_replace(comment, r"(?U)\s", "") == ""
-    defaults = latest.select(
-        "account_id", F.when(blank, "").otherwise(comment).alias("english_translation"),
+    defaults = responses.select(
+        *RESPONSE, F.when(blank, "").otherwise(comment).alias("english_translation"),
         F.when(blank, "en").otherwise("unknown").alias("detected_language"),
         empty_list().alias("nps_key_themes"), F.lit("consistent").alias("sentiment_alignment"),
         F.lit("").alias("alignment_note"), blank.alias("_blank"))
@@ -145,7 +187,7 @@ def annotate_nps(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
         return defaults.drop("_blank")
     failed = lambda row: {"english_translation": row["verbatim_comment"], "detected_language": "unknown",
                           "nps_key_themes": [], "sentiment_alignment": "consistent", "alignment_note": ""}
-    called = annotate(latest.where(~blank), row_annotator(fn, failed, _columns(NPS_FIELDS)), NPS_FIELDS)
+    called = annotate(responses.where(~blank), row_annotator(fn, failed, _columns(NPS_FIELDS), RESPONSE), NPS_FIELDS)
     return called.unionByName(defaults.where("_blank").drop("_blank"))
 
 
@@ -154,7 +196,7 @@ def annotate_nps(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
 def translate(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
     """Comment columns on every row: annotated where the comment is not English, else defaults."""
     if fn is not None:
-        return annotation_lookup(accounts, annotate_nps(non_english(accounts), fn), NPS_DEFAULTS())
+        return annotation_lookup(accounts, annotate_nps(non_english(accounts), fn), NPS_DEFAULTS(), RESPONSE)
     comment = F.coalesce("verbatim_comment", F.lit(""))
     foreign = F.coalesce("has_non_english", F.lit(False)) & (F.regexp_replace(comment, r"(?U)\s", "") != "")
     defaults = NPS_DEFAULTS()  # expressions on the row itself: no join needed
@@ -163,8 +205,8 @@ def translate(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
 
 
 def annotate_accounts(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
-    """Narratives for High and Medium rows; `fn` sees the briefing and the flat columns."""
-    targets = actionable(accounts)
+    """A narrative per High or Medium response row; `fn` sees the briefing and the flat columns."""
+    targets = actionable(accounts).dropDuplicates(RESPONSE)
     if fn is None:
         return with_narrative(targets).select(*_columns(NARRATIVE_FIELDS))
     failed = lambda row: {
@@ -173,35 +215,40 @@ def annotate_accounts(accounts: DataFrame, fn: Annotator | None = None) -> DataF
         "narrative_actions": ["Review account signals manually"],
         "narrative_urgency": f"Contract ends {row['contract_end_date']}."}
     return annotate(targets.drop("signals", "signal_breakdown"),
-                    row_annotator(fn, failed, _columns(NARRATIVE_FIELDS)), NARRATIVE_FIELDS)
+                    row_annotator(fn, failed, _columns(NARRATIVE_FIELDS), RESPONSE), NARRATIVE_FIELDS)
 
 
 def narrate(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
     """Narrative columns on every row, empty on Low rows."""
     if fn is not None:
-        return annotation_lookup(accounts, annotate_accounts(accounts, fn), NARRATIVE_DEFAULTS())
+        return annotation_lookup(accounts, annotate_accounts(accounts, fn), NARRATIVE_DEFAULTS(), RESPONSE)
     low = ~F.col("risk_tier").isin("High", "Medium")
     texts = with_narrative(accounts)  # expressions on the row itself: no join needed
     return texts.withColumns({c: F.when(low, d).otherwise(F.col(c)) for c, d in NARRATIVE_DEFAULTS().items()})
 
 
 def first_note_text(notes: DataFrame, chars: int = BRIEFING_NOTE_CHARS) -> DataFrame:
-    """The first `chars` characters of each account's notes joined by newlines.
+    """The first `chars` characters of each account's notes joined by newlines, and `note_chars`, the length of all.
 
-    A non-blank note adds at least two characters, so the first chars/2+1 notes decide; the
+    A note adds at least its newline, so the first chars + 1 notes that have a text decide; the
     ranking limit runs before the shuffle and no account brings more than that.
     """
     w = Window.partitionBy("account_id").orderBy("note_pos")
-    return (notes.where(F.col("account_id").isNotNull())
-            .select("account_id", "note_pos", F.substring("raw_text", 1, chars).alias("text"))
-            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= chars // 2 + 1)
+    texts = notes.where(F.col("account_id").isNotNull() & F.col("raw_text").isNotNull())
+    lengths = texts.groupBy("account_id").agg((F.sum(F.length("raw_text") + 1) - 1).alias("note_chars"))
+    return (texts.select("account_id", "note_pos", F.substring("raw_text", 1, chars).alias("text"))
+            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= chars + 1)
             .groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("note_pos", "text"))).alias("t"))
-            .select("account_id", F.substring(F.array_join("t.text", "\n"), 1, chars).alias("note_text")))
+            .select("account_id", F.substring(F.array_join("t.text", "\n"), 1, chars).alias("note_text"))
+            .join(lengths, "account_id"))
+
 
+def with_briefing(accounts: DataFrame, notes: DataFrame, note_chars: int = BRIEFING_NOTE_CHARS) -> DataFrame:
+    """Every row with one text for a reader or an annotator, `briefing`.
 
-def briefings(accounts: DataFrame, notes: DataFrame) -> DataFrame:
-    """One text per account for a reader or an annotator."""
-    shown = accounts.join(first_note_text(notes), "account_id", "left")
+    It shows the first `note_chars` characters of the notes; the column `note_chars` has the length of all.
+    """
+    shown = accounts.join(first_note_text(notes, note_chars), "account_id", "left")
     translation = F.when(F.coalesce("english_translation", F.lit("")) != "", F.col("english_translation"))
     line = lambda label, value: F.concat(F.lit(label + ": "), F.coalesce(value.cast("string"), F.lit("n/a")))
     listed = lambda c: F.array_join(F.coalesce(F.col(c), empty_list()), "; ")
@@ -228,7 +275,11 @@ def briefings(accounts: DataFrame, notes: DataFrame) -> DataFrame:
         line("Notes", F.col("note_text")),
         line("Flags", listed("risk_flags")), line("Positives", listed("positive_signals")),
         line("Concern", F.col("key_stakeholder_concern")))
-    return shown.select("account_id", text.alias("briefing"))
+    return shown.select(*accounts.columns, text.alias("briefing"), F.coalesce("note_chars", F.lit(0)).alias("note_chars"))
+
+
+def briefings(accounts: DataFrame, notes: DataFrame, note_chars: int = BRIEFING_NOTE_CHARS) -> DataFrame:
+    return with_briefing(accounts, notes, note_chars).select("account_id", "briefing", "note_chars")
 
 
 # --- portfolio -------------------------------------------------------------------
@@ -277,7 +328,8 @@ def annotate_portfolio(accounts: DataFrame, fn: Annotator | None = None) -> Data
 # --- everything ------------------------------------------------------------------
 
 def analyse(renewing: DataFrame, notes: DataFrame, note_fn: Annotator | None = None,
-            nps_fn: Annotator | None = None, account_fn: Annotator | None = None) -> DataFrame:
+            nps_fn: Annotator | None = None, account_fn: Annotator | None = None,
+            note_chars: int = BRIEFING_NOTE_CHARS) -> DataFrame:
     """Annotate notes and comments, refresh the scores with them, then add narratives.
 
     `notes` should hold no more accounts than `renewing`. With the built-in rules the account
@@ -289,5 +341,5 @@ def analyse(renewing: DataFrame, notes: DataFrame, note_fn: Annotator | None = N
     rows = score_accounts(translate(rows if nps_fn is None else stored(rows), nps_fn))
     if account_fn is not None:
         rows = stored(rows)
-        rows = rows.join(briefings(rows, notes), "account_id", "left")
+        return narrate(with_briefing(rows, notes, note_chars), account_fn).drop("briefing", "note_chars")
     return narrate(rows, account_fn)

@@ -11,7 +11,7 @@ from riskspark.functions.values import (
     MISSING_NPS_RISK, MISSING_SUPPORT_RISK, MISSING_USAGE_RISK, NEUTRAL_SENTIMENT,
     SILENT_MIN_DECLINE, SILENT_MIN_NPS,
 )
-from riskspark.operators.lists import attach_list, left_join_many
+from riskspark.operators.lists import attach_count, left_join_many, owned
 from riskspark.operators.surveys import nps_features
 from riskspark.operators.tickets import ticket_features, ticket_subjects
 from riskspark.operators.usage import month_positions, usage_features, usage_series
@@ -56,37 +56,41 @@ def derive_flags(joined: DataFrame, ref: date) -> DataFrame:
 def build_features(tables: Tables, accounts: DataFrame | None = None) -> DataFrame:
     """Every source reduced to one row per account, then joined on that one key.
 
-    `accounts` may be a filtered account table; the joins are left joins from it.
+    `accounts` may be a filtered account table: rows of other accounts are dropped below the
+    aggregates, and the joins are left joins from it.
     Surveys join last: they may repeat accounts, and nothing is shuffled after them.
     """
     base = tables.accounts if accounts is None else accounts
     joined = (base
-              .join(usage_features(tables.usage, tables.unique_months), "account_id", "left")
-              .join(ticket_features(tables.tickets, tables.reference_date), "account_id", "left")
-              .join(note_counts(tables.notes), "account_id", "left"))
-    joined = join_surveys(joined, nps_features(tables.nps), tables.unique_surveys)
+              .join(usage_features(owned(tables.usage, accounts), tables.unique_months), "account_id", "left")
+              .join(ticket_features(owned(tables.tickets, accounts), tables.reference_date), "account_id", "left")
+              .join(note_counts(owned(tables.notes, accounts)), "account_id", "left"))
+    joined = join_surveys(joined, nps_features(owned(tables.nps, accounts)), tables.unique_surveys)
     return (derive_flags(fill_defaults(joined), tables.reference_date)
             .withColumn("csm_sentiment_score", F.lit(NEUTRAL_SENTIMENT)))
 
 
-def join_notes(base: DataFrame, notes: DataFrame) -> DataFrame:
-    """Array of an account's note texts in file order."""
-    return attach_list(base, notes.select("account_id", "note_pos", "raw_text"), "account_id",
-                       ["note_pos"], "raw_text", "csm_notes_raw")
+def account_notes(notes: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """The notes of the accounts, one row each; `note_pos` gives the order of the log."""
+    return owned(notes, accounts).where(F.col("account_id").isNotNull()).select("account_id", "note_pos", "raw_text")
 
 
-def join_subjects(base: DataFrame, tables: Tables) -> DataFrame:
-    subjects = ticket_subjects(tables.tickets, tables.reference_date)
-    return attach_list(base, subjects, "account_id", ["created_date", "ticket_id"], "subject",
-                       "ticket_subjects")
+def account_subjects(tables: Tables, accounts: DataFrame | None = None) -> DataFrame:
+    """Distinct ticket subjects of the accounts, in order of the ticket that first carried each."""
+    return ticket_subjects(owned(tables.tickets, accounts), tables.reference_date)
 
 
-def join_series(base: DataFrame, tables: Tables) -> DataFrame:
-    points = usage_series(month_positions(tables.usage, tables.unique_months))
-    points = points.select("account_id", "pos", F.struct("month", "api_calls").alias("point"))
-    return attach_list(base, points, "account_id", ["pos"], "point", "api_calls_series")
+def account_series(tables: Tables, accounts: DataFrame | None = None) -> DataFrame:
+    """Monthly points of the accounts, in order of `pos`."""
+    return usage_series(month_positions(owned(tables.usage, accounts), tables.unique_months))
 
 
-def with_lists(features: DataFrame, tables: Tables) -> DataFrame:
-    """Nested columns for the report; leave them out of jobs that only score."""
-    return join_series(join_subjects(join_notes(features, tables.notes), tables), tables)
+def account_lists(tables: Tables, accounts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a report lists per account, as datasets of rows: no account row grows with its items."""
+    return {"account_notes": account_notes(tables.notes, accounts),
+            "account_subjects": account_subjects(tables, accounts),
+            "account_series": account_series(tables, accounts)}
+
+
+def with_subject_count(features: DataFrame, subjects: DataFrame) -> DataFrame:
+    return attach_count(features, subjects, "account_id", "ticket_subject_count")

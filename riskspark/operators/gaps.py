@@ -1,18 +1,20 @@
 """Find what a report still lacks, fill only that, and keep the progress."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import is_real_narrative
 from riskspark.operators.annotate import (
-    Annotator, NARRATIVE_DEFAULTS, NOTE_DEFAULTS, NPS_DEFAULTS, annotate_accounts, annotate_nps,
-    annotate_notes, briefings,
+    Annotator, NARRATIVE_DEFAULTS, NOTE_DEFAULTS, NPS_DEFAULTS, RESPONSE, annotate_accounts, annotate_notes,
+    annotate_nps, annotate_portfolio, with_briefing,
 )
-from riskspark.operators.merge import upsert_by_id
+from riskspark.operators.merge import same_keys, upsert_by_id
 from riskspark.operators.narrative import with_narrative
 from riskspark.operators.scoring import by_risk, score_accounts
+from riskspark.scratch import holds_files, stored
 
 STEPS = ("notes", "comments", "narratives")
+CALL_BATCHES = 8
 
 
 def _lacks(items: str) -> Column:
@@ -28,43 +30,52 @@ def with_gaps(report: DataFrame) -> DataFrame:
     })
 
 
-def gap_counts(report: DataFrame) -> DataFrame:
+def _any(rows: DataFrame) -> Column:
+    """Whether there is any row, as a value that Spark computes with the query."""
+    return rows.agg((F.count(F.lit(1)) > 0).alias("found")).scalar()
+
+
+def gap_counts(report: DataFrame, insights: DataFrame) -> DataFrame:
+    """Accounts and what they lack; `needs_insights` is 1 where the report has no insight row."""
     return with_gaps(report).agg(
         F.count(F.lit(1)).alias("accounts"),
-        *[F.count_if(c).alias(c) for c in ("needs_narrative", "needs_notes", "needs_translation")])
+        *[F.count_if(c).alias(c) for c in ("needs_narrative", "needs_notes", "needs_translation")]).withColumn(
+        "needs_insights", (~_any(insights)).cast("long"))
 
 
-def report_audit(report: DataFrame, rows: int = 8) -> DataFrame:
+def report_audit(report: DataFrame, insights: DataFrame, rows: int = 8) -> DataFrame:
     text = F.coalesce("narrative_summary", F.lit(""))
     real = (text != "") & ~F.contains(text, F.lit("narrative generation failed"))
     return by_risk(report).limit(rows).select(
-        "account_id", "account_name", "risk_tier", real.alias("has_narrative"), (~_lacks("risk_flags")).alias("has_flags"))
-
+        "account_id", "account_name", "risk_tier", real.alias("has_narrative"),
+        (~_lacks("risk_flags")).alias("has_flags"), _any(insights).alias("has_insights"))
 
-def _holds_files(spark: SparkSession, folder: str) -> bool:
-    """Whether an earlier run stored anything here; errors of reading it are not taken for absence."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-
-def _resumed(todo: DataFrame, path: str | None, step: str, work) -> DataFrame:
+def _resumed(todo: DataFrame, path: str | None, step: str, keys: list[str], batches: int, work) -> DataFrame:
     """Run `work` for the keys and inputs `path` does not hold yet, append, and return all for `todo`.
 
-    Results are keyed by account and input hash: a retried or repeated run adds nothing twice
-    and an account whose input changed is done again.
+    Results are keyed by row key and input hash: a retried or repeated run adds nothing twice
+    and a row whose input changed is done again. Each of the `batches` is stored when it is done,
+    so a run that fails later loses one batch of calls.
     """
     if path is None:
         return work(todo).drop("_input")
     spark, folder = todo.sparkSession, f"{path}/{step}"
-    keys = todo.select("account_id", "_input").distinct()
+    done_keys = [F.col(k).alias(f"_key_{k}") for k in [*keys, "_input"]]
+    wanted = todo.select(*keys, "_input").distinct()
     missing = todo
-    if _holds_files(spark, folder):
-        done = spark.read.parquet(folder).select("account_id", "_input")
-        missing = todo.join(done, ["account_id", "_input"], "left_anti")
-    fresh = work(missing).drop("_input").join(keys, "account_id")
-    fresh.write.mode("append").parquet(folder)
+    if holds_files(spark, folder):
+        done = spark.read.parquet(folder).select(*done_keys)
+        missing = todo.join(done, same_keys([*keys, "_input"]), "left_anti")
+    missing = stored(missing) if batches > 1 else missing
+    for batch in range(batches):
+        part = missing if batches == 1 else missing.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == batch)
+        inputs = part.select(*done_keys).distinct()
+        fresh = work(part).drop("_input").join(inputs, same_keys(keys)).withColumnRenamed("_key__input", "_input")
+        fresh = fresh.drop(*[f"_key_{k}" for k in keys])
+        fresh.write.mode("append").parquet(folder)
     return (spark.read.schema(fresh.schema).parquet(folder)
-            .join(keys, ["account_id", "_input"], "left_semi").dropDuplicates(["account_id"]).drop("_input"))
+            .join(wanted.select(*done_keys), same_keys([*keys, "_input"]), "left_semi").dropDuplicates(keys).drop("_input"))
 
 
 def enrich_missing(report: DataFrame, notes: DataFrame, progress: str | None = None,
@@ -74,25 +85,31 @@ def enrich_missing(report: DataFrame, notes: DataFrame, progress: str | None = N
 
     `progress` names a folder for finished annotations, so an interrupted run resumes.
     """
-    def fill(rows: DataFrame, need: str, step: str, defaults: dict, inputs: list[str], work) -> DataFrame:
-        todo = with_gaps(rows).where(need).withColumn("_input", F.xxhash64(*inputs))
-        return upsert_by_id(rows, _resumed(todo, progress, step, work), list(defaults))
+    def fill(rows: DataFrame, need: str, step: str, defaults: dict, keys: list[str], inputs: list[str], fn, work) -> DataFrame:
+        todo = with_gaps(rows).where(need).withColumn("_input", F.xxhash64(*inputs)).dropDuplicates(keys)
+        found = _resumed(todo, progress, step, keys, CALL_BATCHES if fn else 1, work)
+        return upsert_by_id(rows, found, list(defaults), keys)
 
     # Independent of the order in which notes are read, and changed by any text or place.
     seen = notes.groupBy("account_id").agg(F.sum(F.xxhash64("note_pos", "raw_text").cast("decimal(38,0)")).alias("_notes"))
     report = report.join(seen, "account_id", "left")
-    rows = fill(report, "needs_notes", STEPS[0], NOTE_DEFAULTS(), ["account_id", "note_count", "_notes"],
-                lambda t: annotate_notes(t, notes, note_fn))
-    rows = fill(rows, "needs_translation", STEPS[1], NPS_DEFAULTS(), ["verbatim_comment", "nps_score"],
-                lambda t: annotate_nps(t, nps_fn))
+    rows = fill(report, "needs_notes", STEPS[0], NOTE_DEFAULTS(), ["account_id"], ["account_id", "note_count", "_notes"],
+                note_fn, lambda t: annotate_notes(t, notes, note_fn))
+    rows = fill(rows, "needs_translation", STEPS[1], NPS_DEFAULTS(), RESPONSE, ["verbatim_comment", "nps_score"],
+                nps_fn, lambda t: annotate_nps(t, nps_fn))
     rows = score_accounts(rows)
 
     def narratives(todo: DataFrame) -> DataFrame:
         # every gap is filled here, Low rows too
         if account_fn is None:
-            return with_narrative(todo).select("account_id", *NARRATIVE_DEFAULTS())
-        return annotate_accounts(todo.withColumn("risk_tier", F.lit("High")).join(
-            briefings(todo, notes), "account_id", "left"), account_fn)
+            return with_narrative(todo).select(*RESPONSE, *NARRATIVE_DEFAULTS())
+        return annotate_accounts(with_briefing(todo.withColumn("risk_tier", F.lit("High")), notes), account_fn)
+
+    return fill(rows, "needs_narrative", STEPS[2], NARRATIVE_DEFAULTS(), RESPONSE,
+                ["risk_score", "risk_flags", "positive_signals", "days_to_renewal", "_notes"],
+                account_fn, narratives).drop("_notes")
+
 
-    return fill(rows, "needs_narrative", STEPS[2], NARRATIVE_DEFAULTS(),
-                ["risk_score", "risk_flags", "positive_signals", "days_to_renewal", "_notes"], narratives).drop("_notes")
+def fill_insights(insights: DataFrame, rows: DataFrame, fn: Annotator | None = None) -> DataFrame:
+    """The insights of the report where it has any, else new ones from its filled rows."""
+    return annotate_portfolio(rows, fn) if insights.isEmpty() else insights

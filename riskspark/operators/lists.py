@@ -1,28 +1,40 @@
-"""Nested lists on account rows, without ever gathering an unbounded group."""
+"""Items that belong to an account, without ever gathering an unbounded group."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-INLINE_ITEMS = 10_000
+CELL_POSITIONS = 4096
 
 
-def attach_list(base: DataFrame, items: DataFrame, key: str, order: list[str], value: str,
-                name: str, max_items: int = INLINE_ITEMS) -> DataFrame:
-    """Add array column `name` with the ordered `value`s of `items`, [] where there are none.
+def owned(items: DataFrame, base: DataFrame | None, key: str = "account_id") -> DataFrame:
+    """The rows of `items` whose key stands in `base`; without a base, all of them."""
+    return items if base is None else items.join(base.select(key), key, "left_semi")
 
-    A key with more than `max_items` rows keeps a NULL array and its true `<name>_count`;
-    its items stay whole in `items`, which is the table to join for such keys.
+
+def attach_count(base: DataFrame, items: DataFrame, key: str, name: str) -> DataFrame:
+    """Add the number of `items` per key, 0 where there are none. The items stay rows of their own table."""
+    counts = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    return base.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def chunked(items: DataFrame, key: str, position: str, value: str, name: str, size: int) -> DataFrame:
+    """Rows (key, chunk_no, `name`): arrays of at most `size` values in order of `position`, for every key alike.
+
+    `position` is a whole number that few rows of a key share. Values are numbered inside cells of
+    positions and shifted by the counted sizes of the cells before, so a key with most of the rows
+    is spread over many tasks.
     """
-    items = items.where(F.col(key).isNotNull())
-    counts = items.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_count"))
-    inline = items.join(counts.where(F.col(f"{name}_count") <= max_items), key)
-    arrays = inline.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))),
-                    lambda s: s["_v"]).alias(name))
-    empty = F.array().cast(arrays.schema[name].dataType)
-    return (base.join(counts, key, "left").join(arrays, key, "left")
-            .withColumn(name, F.when(F.col(f"{name}_count").isNull(), empty).otherwise(F.col(name)))
-            .withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0))))
+    rows = items.where(F.col(key).isNotNull()).select(
+        key, F.coalesce(F.col(position), F.lit(-1)).alias("_pos"), F.col(value).alias("_v"))
+    rows = rows.withColumn("_cell", F.floor(F.col("_pos") / CELL_POSITIONS))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = rows.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_size")).select(
+        key, "_cell", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(key, "_cell").orderBy("_pos", F.xxhash64("_v"))
+    rank = F.col("_shift") + F.col("_rn")
+    return (rows.withColumn("_rn", F.row_number().over(inside) - 1).join(shifts, [key, "_cell"])
+            .select(key, F.floor(rank / size).alias("chunk_no"), F.struct(rank.alias("rank"), "_v").alias("_item"))
+            .groupBy(key, "chunk_no").agg(F.array_sort(F.collect_list("_item"))["_v"].alias(name)))
 
 
 def left_join_many(base: DataFrame, many: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Keyed merge with the semantics of an id-keyed dictionary."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,18 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
             .select(key, order, "_r.*"))
 
 
-def upsert_by_id(base: DataFrame, updates: DataFrame, columns: list[str], key: str = "account_id") -> DataFrame:
+def same_keys(keys: list[str]) -> Column:
+    """Join condition of `keys` with their `_key_` copies; all but the first also match NULL with NULL."""
+    found = F.col(keys[0]) == F.col(f"_key_{keys[0]}")
+    for k in keys[1:]:
+        found = found & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return found
+
+
+def upsert_by_id(base: DataFrame, updates: DataFrame, columns: list[str], keys: list[str] = ["account_id"]) -> DataFrame:
     """Replace only `columns` where `updates` (one row per key) has the key; unknown keys are ignored."""
-    fresh = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
-    joined = base.join(fresh, key, "left")
+    fresh = updates.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
+    joined = base.join(fresh, same_keys(keys), "left")
     merged = {c: F.when(F.col("_hit").isNotNull(), F.col(f"_new_{c}"))
               .otherwise(F.col(c) if c in base.columns else F.lit(None)) for c in columns}
-    return joined.withColumns(merged).drop("_hit", *[f"_new_{c}" for c in columns])
+    return joined.withColumns(merged).drop("_hit", *[f"_key_{k}" for k in keys], *[f"_new_{c}" for c in columns])

@@ -203,7 +203,8 @@ ORACLE = {
     "a5_scan_note_blocks": f"SELECT row_number() OVER (ORDER BY note_pos) - 1 AS note_pos, regexp_replace(raw_text, {WS}, '', 'g') AS raw_text FROM v_notes",
     "a6_sdk_policy_table": f"""SELECT DISTINCT sdk_version, {sdk_case('sdk_version')} AS sdk_risk_score,
       CASE WHEN starts_with(sdk_version, 'v3') THEN 'SDK v3.x (SUNSET)' WHEN sdk_version IN ('v4.0.0', 'v4.1.0') THEN 'SDK v4.0/v4.1'
-      WHEN sdk_version = 'v4.2.3' THEN 'SDK v4.2.x' WHEN starts_with(sdk_version, 'v4.3') THEN 'SDK v4.3.x' END AS policy_label FROM v_usage""",
+      WHEN sdk_version = 'v4.2.3' THEN 'SDK v4.2.x' WHEN starts_with(sdk_version, 'v4.3') THEN 'SDK v4.3.x' END AS policy_label,
+      CASE WHEN starts_with(sdk_version, 'v3') THEN DATE '2026-04-30' END AS sunset_date FROM v_usage""",
     "a7_table_bundle": f"""SELECT name, n, {REF} AS reference_date FROM (SELECT 'accounts' AS name, count(*) AS n FROM v_accounts
       UNION ALL SELECT 'usage', count(*) FROM v_usage UNION ALL SELECT 'tickets', count(*) FROM v_tickets
       UNION ALL SELECT 'nps', count(*) FROM v_nps UNION ALL SELECT 'notes', count(*) FROM v_notes)""",
@@ -211,6 +212,7 @@ ORACLE = {
     "a9_report_source": f"""SELECT {REF} AS reference_date, {BIG('90')} AS window_days, count(*) AS total_renewing, {BIG('sum(arr)')} AS total_arr_at_risk,
       count(*) FILTER (risk_tier = 'High') AS high_risk_count, count(*) FILTER (risk_tier = 'Medium') AS medium_risk_count,
       count(*) FILTER (risk_tier = 'Low') AS low_risk_count FROM due""",
+    "a9_report_insights": INSIGHT_ROWS,
     "a10_csv_export": "SELECT account_name, arr, contract_end_date, risk_score, risk_tier, plan_tier, latest_sdk_version, p1_open_count, silent_churn_flag FROM due",
     "b1_recent_tickets": "SELECT ticket_id, account_id, created_date, priority, status FROM recent",
     "b2_filter_renewing": f"SELECT account_id, contract_end_date, {r6s('risk_score')}, risk_tier FROM due",
@@ -220,7 +222,8 @@ ORACLE = {
     "b6_high_only": f"SELECT account_id, {r6s('risk_score')} FROM s WHERE risk_tier = 'High'",
     "b7_enrichment_gaps": """SELECT count(*) AS accounts, count(*) FILTER (account_id % 3 <> 2) AS needs_narrative,
       count(*) FILTER (NOT flagged AND has_csm_notes) AS needs_notes,
-      count(*) FILTER (coalesce(has_non_english, false) AND coalesce(english_translation, '') = '') AS needs_translation FROM gap""",
+      count(*) FILTER (coalesce(has_non_english, false) AND coalesce(english_translation, '') = '') AS needs_translation,
+      CASE WHEN EXISTS (FROM (""" + INSIGHT_ROWS + """)) THEN 0::BIGINT ELSE 1::BIGINT END AS needs_insights FROM gap""",
     "b8_is_real_narrative": "SELECT account_id, narrative_summary = 'A real text' AS is_real FROM gap",
     "b9_v3_renewing": f"SELECT account_id, latest_sdk_version FROM due WHERE {V3}",
     "b10_enterprise_detractors": f"SELECT account_id, nps_score FROM due WHERE {DETRACTOR}",
@@ -236,8 +239,8 @@ ORACLE = {
     "c3_join_nps": f"""SELECT account_id, region, nps_score, {r6s('nps_risk_score')} FROM v_accounts LEFT JOIN (
       SELECT account_id, nps_score, nps_risk_score FROM nf UNION ALL SELECT account_id, 10e0, {nps_case('10e0')} FROM nf WHERE account_id % 3 = 0) USING (account_id)""",
     "c4_join_defaults": f"SELECT account_id, p1_open_count, ticket_count_total, open_ticket_count, {r6s('usage_decline_score', 'support_health_score', 'nps_risk_score')} FROM s",
-    "c5_join_notes": """SELECT account_id, coalesce(t, '') AS csm_notes_raw, t IS NOT NULL AS has_csm_notes FROM v_accounts LEFT JOIN (
-      SELECT account_id, string_agg(raw_text, '|' ORDER BY note_pos) AS t FROM v_notes GROUP BY account_id) USING (account_id)""",
+    "c5_join_notes": """SELECT account_id, note_pos, raw_text, count(note_pos) OVER (PARTITION BY account_id) AS note_count, note_pos IS NOT NULL AS has_csm_notes
+      FROM v_accounts LEFT JOIN v_notes USING (account_id)""",
     "c6_resolve_explicit": f"SELECT note_pos, CAST({EXPLICIT} AS BIGINT) AS account_id, CAST({EXPLICIT} AS BIGINT) IN (SELECT account_id FROM v_accounts) AS id_known FROM v_note_texts WHERE {EXPLICIT} IS NOT NULL",
     "c8_resolve_first_word": r"""SELECT note_pos, account_id, account_name FROM (
       SELECT DISTINCT note_pos, unnest(regexp_extract_all(lower(raw_text), '[\p{L}\p{N}_]+')) AS w FROM v_note_texts)
@@ -253,9 +256,9 @@ ORACLE = {
     "d5_usage_series": "SELECT account_id, pos, month, api_calls FROM upos",
     "d6_ticket_weights": f"SELECT ticket_id, priority, status, {r6(f'{PRIORITY} * {STATUS}', 'weight')} FROM v_tickets",
     "d7_ticket_features": f"SELECT account_id, ticket_count_total, p1_open_count, open_ticket_count, {r6s('support_health_score', 'avg_resolution_hours')} FROM tf",
-    "d8_ticket_subjects": """SELECT account_id, coalesce(t, '') AS ticket_subjects FROM v_accounts LEFT JOIN (SELECT account_id, string_agg(subject, '|' ORDER BY first_date, first_id) AS t
-      FROM (SELECT account_id, subject, created_date AS first_date, ticket_id AS first_id FROM recent
-            QUALIFY row_number() OVER (PARTITION BY account_id, subject ORDER BY created_date, ticket_id) = 1) GROUP BY account_id) USING (account_id)""",
+    "d8_ticket_subjects": """SELECT account_id, count(subject) OVER (PARTITION BY account_id) AS ticket_subject_count, subject, created_date, ticket_id
+      FROM v_accounts LEFT JOIN (SELECT account_id, subject, created_date, ticket_id FROM recent
+            QUALIFY row_number() OVER (PARTITION BY account_id, subject ORDER BY created_date, ticket_id) = 1) USING (account_id)""",
     "d9_csm_concentration": f"SELECT csm_name, count(*) AS n, {BIG('sum(arr)')} AS arr FROM due WHERE {RISKY} AND csm_name = {TOP_CSM} GROUP BY csm_name",
     "d9_csm_concentration_accounts": f"SELECT csm_name, account_id, account_name FROM due WHERE {RISKY} AND csm_name = {TOP_CSM}",
     "d10_arr_by_csm": f"SELECT csm_name, {BIG('sum(arr)')} AS arr FROM due WHERE {RISKY} GROUP BY csm_name",
@@ -270,7 +273,7 @@ ORACLE = {
       UNION ALL SELECT 'tickets', count(*) FROM v_tickets UNION ALL SELECT 'nps_responses', count(*) FROM v_nps
       UNION ALL SELECT 'notes', count(*) FROM v_notes UNION ALL SELECT 'notes_with_account', count(account_id) FROM v_notes
       UNION ALL SELECT 'silent_flags', count(*) FILTER (silent_churn_flag) FROM s""",
-    "d17_report_audit": "SELECT account_id, account_name, risk_tier, account_id % 3 = 2 AS has_narrative, flagged AS has_flags FROM gap ORDER BY risk_score DESC, account_id LIMIT 8",
+    "d17_report_audit": "SELECT account_id, account_name, risk_tier, account_id % 3 = 2 AS has_narrative, flagged AS has_flags, EXISTS (FROM (" + INSIGHT_ROWS + ")) AS has_insights FROM gap ORDER BY risk_score DESC, account_id LIMIT 8",
     "d18_v3_exposure": f"SELECT count(*) AS n, {BIG('coalesce(sum(arr), 0)')} AS arr FROM due WHERE {V3}",
     "d19_silent_cluster": "SELECT count(*) AS n FROM due WHERE silent_churn_flag",
     "d20_detractor_exposure": f"SELECT count(*) AS n, {BIG('coalesce(sum(arr), 0)')} AS arr FROM due WHERE {DETRACTOR}",
@@ -290,7 +293,7 @@ ORACLE = {
     "e7_silent_spotlight": f"""SELECT account_id, account_name, {MONEY('arr')} AS arr_text, {NPS_TEXT.format('nps_score')} AS nps_text,
       {PCT.format('usage_decline_score')} AS decline_text, risk_tier, contract_end_date, csm_name FROM s WHERE silent_churn_flag""",
     "e8_head_views": "SELECT account_id, account_name, arr, contract_end_date, risk_score, risk_tier FROM due ORDER BY risk_score DESC, account_id LIMIT 15",
-    "e9_text_cap": "SELECT account_id, substr(lines, 1, 1500) AS note_text FROM txts",
+    "e9_text_cap": "SELECT account_id, substr(lines, 1, 1500) AS note_text, CAST(length(lines) AS BIGINT) AS note_chars FROM txts",
     "g1_note_date_token": f"""SELECT note_pos, nullif(regexp_extract({FIRST_LINE}, '({ISO}|(?:1[0-2]|0?[1-9])/\\d{{1,2}}|{WORD})', 1), '') AS token,
       nullif(regexp_extract({FIRST_LINE}, '({ISO}|0?[1-9]/\\d{{1,2}}|{WORD})', 1), '') AS narrow_token FROM v_note_texts""",
     "g2_parse_note_date": f"""SELECT o_orderkey, CASE WHEN k IN (0, 3, 5) THEN make_date(y, m, d) WHEN k = 2 THEN make_date(2000 + y % 100, m, d)
@@ -342,11 +345,25 @@ ORACLE = {
     "i6_executive_summary": f"""SELECT n AS total_renewing, h AS high_risk_count, n || ' accounts worth ' || {FULL('a')} || ' renew in the window: ' || h || ' High (' || {FULL('ha')} || '), ' || m || ' Medium (' || {FULL('ma')} || ').' AS executive_summary
       FROM (SELECT count(*) AS n, sum(arr) AS a, count(*) FILTER (risk_tier = 'High') AS h, coalesce(sum(arr) FILTER (risk_tier = 'High'), 0) AS ha,
       count(*) FILTER (risk_tier = 'Medium') AS m, coalesce(sum(arr) FILTER (risk_tier = 'Medium'), 0) AS ma FROM due)""",
-    "i7_note_signals": f"SELECT {NOTE_LISTS}, executive_keyword, action_code FROM sig",
+    "i7_note_signals": f"""SELECT {NOTE_LISTS}, executive_keyword, action_code, 'Notes mention a senior stakeholder: ' || executive_keyword AS key_stakeholder_concern,
+      CASE action_code WHEN 'competitor' THEN 'Set up an executive call about the rival offer: ' || rivals WHEN 'risk' THEN 'Raise with leadership: ' || lower(string_split(risk_flags, '|')[1])
+      WHEN 'positive' THEN 'Close the renewal paperwork and note the expansion interest' END AS csm_recommended_action FROM sig""",
     "i8_account_narrative": f"""SELECT account_id, coalesce(nullif({DRIVERS}, ''), 'composite') AS drivers, coalesce(nullif({ACTIONS}, ''), 'schedule_renewal') AS actions,
       CASE WHEN silent_churn_flag THEN 'silent_churn' WHEN usage_decline_score >= 0.5e0 THEN 'usage_decline' WHEN p1_open_count > 0 THEN 'open_p1' ELSE 'moderate' END AS summary,
       CASE WHEN days_to_renewal <= 30 THEN 'immediate' ELSE 'proactive' END AS urgency FROM due""",
     "j1_annotate_notes": f"SELECT {NOTE_LISTS} FROM sig WHERE account_id IN (SELECT account_id FROM v_accounts)",
+    "j1_annotate_notes_by_function": f"""WITH noted AS (SELECT account_id, raw_text, row_number() OVER (PARTITION BY account_id ORDER BY note_pos) - 1 AS i
+        FROM v_notes WHERE account_id IN (SELECT account_id FROM v_accounts)),
+      calls AS (SELECT account_id, i // 3 AS c, count(*) AS k FROM noted GROUP BY ALL),
+      flags AS (SELECT account_id, length(raw_text) || ' characters' AS v, min(i) AS i FROM noted GROUP BY ALL),
+      goods AS (SELECT account_id, k || ' notes' AS v, min(c) AS i FROM calls GROUP BY ALL)
+      SELECT account_id, {r6('CASE WHEN min(k) = max(k) THEN min(k) / 4e0 ELSE round(sum(k * k / 4e0) / sum(k), 4) END', 'csm_sentiment_score')},
+        (SELECT string_agg(v, '|' ORDER BY f.i) FROM flags f WHERE f.account_id = calls.account_id) AS risk_flags,
+        (SELECT string_agg(v, '|' ORDER BY g.i) FROM goods g WHERE g.account_id = calls.account_id) AS positive_signals,
+        'part 0' AS key_stakeholder_concern FROM calls GROUP BY account_id""",
+    "j2_annotate_nps_by_function": """SELECT DISTINCT account_id, nps_score, CASE WHEN trim(verbatim_comment, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN '' ELSE length(verbatim_comment) || ' characters' END AS english_translation,
+        CASE WHEN trim(verbatim_comment, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN 'en' ELSE CAST(CAST(nps_score AS BIGINT) AS VARCHAR) END AS detected_language
+      FROM (SELECT account_id, nps_score, verbatim_comment FROM nf WHERE nps_score IS NOT NULL UNION ALL SELECT account_id, 10e0, verbatim_comment FROM nf)""",
     "j2_annotate_nps": "SELECT account_id, verbatim_comment AS english_translation, 'unknown' AS detected_language, 'consistent' AS sentiment_alignment FROM due WHERE has_non_english",
     "j3_annotate_account": f"SELECT account_id, risk_tier, {RISKY} AS has_text, {BIG(N_TEXTS(DRIVERS))} AS n_drivers, {BIG(N_TEXTS(ACTIONS))} AS n_actions FROM due",
     "j4_annotate_portfolio": f"""SELECT insight_code, CASE insight_code WHEN 'sunset_renewal' THEN 'Forced SDK migration meets renewal' WHEN 'silent_cluster' THEN 'Good surveys over falling usage'

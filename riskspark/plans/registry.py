@@ -98,7 +98,7 @@ def a5_scan_note_blocks(spark, sf):
 
 @query
 def a6_sdk_policy_table(spark, sf):
-    return policy.apply_sdk_policy(standin(spark, sf, "v_usage").select("sdk_version")).drop("sunset_date")
+    return policy.apply_sdk_policy(standin(spark, sf, "v_usage").select("sdk_version"))
 
 
 @query
@@ -134,6 +134,14 @@ def a9_report_source(spark, sf):
         "total_arr_at_risk", "high_risk_count", "medium_risk_count", "low_risk_count")
 
 
+@query
+def a9_report_insights(spark, sf):
+    path = scratch_dir(spark)
+    rows = stored(due(spark, sf))
+    report.write_report(rows, insights.portfolio_insights(rows), path, REF, generated=REF)
+    return report.read_insights(spark, path, REF).select("insight_code", "n", "arr", "csm_name")
+
+
 @query
 def a10_csv_export(spark, sf):
     path = scratch_dir(spark)
@@ -199,7 +207,7 @@ def report_with_gaps(spark, sf) -> DataFrame:
 
 @query
 def b7_enrichment_gaps(spark, sf):
-    return gaps.gap_counts(report_with_gaps(spark, sf))
+    return gaps.gap_counts(report_with_gaps(spark, sf), insights.portfolio_insights(due(spark, sf)))
 
 
 @query
@@ -273,8 +281,10 @@ def c4_join_defaults(spark, sf):
 @query
 def c5_join_notes(spark, sf):
     t = standin_tables(spark, sf)
-    return FE.join_notes(t.accounts.select("account_id"), t.notes).select(
-        "account_id", *joined("csm_notes_raw"), (F.size("csm_notes_raw") > 0).alias("has_csm_notes"))
+    own = FE.account_notes(t.notes, t.accounts)
+    counts = FE.attach_count(t.accounts.select("account_id"), own, "account_id", "note_count")
+    return counts.join(own, "account_id", "left").select(
+        "account_id", "note_pos", "raw_text", "note_count", (F.col("note_count") > 0).alias("has_csm_notes"))
 
 
 def note_texts(spark, sf) -> DataFrame:
@@ -377,7 +387,8 @@ def d7_ticket_features(spark, sf):
 @query
 def d8_ticket_subjects(spark, sf):
     t = standin_tables(spark, sf)
-    return FE.join_subjects(t.accounts.select("account_id"), t).select("account_id", *joined("ticket_subjects"))
+    own = FE.account_subjects(t, t.accounts)
+    return FE.with_subject_count(t.accounts.select("account_id"), own).join(own, "account_id", "left")
 
 
 @query
@@ -430,7 +441,7 @@ def d16_load_audit(spark, sf):
 
 @query
 def d17_report_audit(spark, sf):
-    return gaps.report_audit(report_with_gaps(spark, sf))
+    return gaps.report_audit(report_with_gaps(spark, sf), insights.portfolio_insights(due(spark, sf)))
 
 
 @query
@@ -742,7 +753,7 @@ def i6_executive_summary(spark, sf):
 def i7_note_signals(spark, sf):
     return note_annotations(spark, sf).select(
         "account_id", *r6s("csm_sentiment_score"), *joined("risk_flags", "positive_signals"),
-        "executive_keyword", "action_code")
+        "executive_keyword", "action_code", "key_stakeholder_concern", "csm_recommended_action")
 
 
 @query
@@ -762,12 +773,35 @@ def j1_annotate_notes(spark, sf):
         "account_id", *r6s("csm_sentiment_score"), *joined("risk_flags", "positive_signals"))
 
 
+@query
+def j1_annotate_notes_by_function(spark, sf):
+    """A caller's function on lists of three notes."""
+    def fn(row):
+        texts = list(row["csm_notes_raw"])
+        return {"csm_sentiment_score": len(texts) / 4, "risk_flags": [f"{len(t)} characters" for t in texts],
+                "positive_signals": [f"{len(texts)} notes"], "key_stakeholder_concern": f"part {row['chunk_no']}"}
+
+    t = standin_tables(spark, sf)
+    return A.annotate_notes(t.accounts, t.notes, fn, notes_per_call=3).select(
+        "account_id", *r6s("csm_sentiment_score"), *joined("risk_flags", "positive_signals"), "key_stakeholder_concern")
+
+
 @query
 def j2_annotate_nps(spark, sf):
     rows = A.non_english(due(spark, sf))
     return A.annotate_nps(rows).select("account_id", "english_translation", "detected_language", "sentiment_alignment")
 
 
+@query
+def j2_annotate_nps_by_function(spark, sf):
+    """A caller's function on every response; each account answers twice."""
+    t = standin_tables(spark, sf)
+    twice = surveys.nps_features(t.nps.unionByName(t.nps.withColumn("score", F.lit(10.0))))
+    fn = lambda row: {"english_translation": f"{len(row['verbatim_comment'])} characters", "detected_language": f"{row['nps_score']:.0f}"}
+    found = A.annotate_nps(twice.where(F.col("nps_score").isNotNull()), fn)
+    return found.select("account_id", "nps_score", "english_translation", "detected_language")
+
+
 @query
 def j3_annotate_account(spark, sf):
     return A.narrate(due(spark, sf)).select(

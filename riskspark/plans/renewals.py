@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskspark.functions.values import RENEWAL_DAYS
 from riskspark.operators.annotate import analyse, annotate_portfolio
-from riskspark.operators.features import build_features, with_lists
-from riskspark.operators.gaps import enrich_missing
+from riskspark.operators.features import account_lists, account_subjects, build_features, with_subject_count
+from riskspark.operators.gaps import enrich_missing, fill_insights
 from riskspark.operators.scoring import by_risk, filter_renewing, score_accounts
-from riskspark.scratch import stored
-from riskspark.sources.report import export_csv, read_report, write_report
+from riskspark.scratch import holds_files, stored
+from riskspark.sources.report import LISTS, export_csv, read_insights, read_report, write_report
 from riskspark.sources.tables import Tables, load_tables
 
 
@@ -44,18 +44,26 @@ def ranked_renewals(tables: Tables, window_days: int = RENEWAL_DAYS) -> DataFram
 
 def run_report(tables: Tables, path: str, window_days: int = RENEWAL_DAYS, fmt: str = "parquet",
                note_fn=None, nps_fn=None, account_fn=None, portfolio_fn=None) -> None:
-    """Score, annotate and publish. The analysed accounts are stored once for all four outputs."""
+    """Score, annotate and publish. The analysed accounts are stored once for all outputs."""
     rows = analysed_renewals(tables, window_days, note_fn, nps_fn, account_fn)
-    rows = stored(with_lists(rows, tables))
-    write_report(rows, annotate_portfolio(rows, portfolio_fn), path, tables.reference_date, window_days, fmt)
+    due = filter_renewing(tables.accounts, tables.reference_date, window_days)
+    rows = stored(with_subject_count(rows, account_subjects(tables, due)))
+    write_report(rows, annotate_portfolio(rows, portfolio_fn), path, tables.reference_date, window_days, fmt,
+                 lists=account_lists(tables, due))
 
 
 def run_enrichment(spark: SparkSession, tables: Tables, path: str, out: str, progress: str | None = None,
-                   **annotators) -> None:
-    """Read a report, fill its gaps and write the result to a new place."""
-    report = read_report(spark, path, ref=tables.reference_date).drop("reference_date")
+                   portfolio_fn=None, **annotators) -> None:
+    """Read a report, fill its gaps and write the result to a new place.
+
+    Insights are made only where the report has none; its lists are passed on as they are.
+    """
+    ref = tables.reference_date
+    report = read_report(spark, path, ref=ref).drop("reference_date")
     rows = stored(enrich_missing(report, tables.notes, progress, **annotators))
-    write_report(rows, annotate_portfolio(rows), out, tables.reference_date)
+    lists = {name: read_report(spark, path, name, ref).drop("reference_date") for name in LISTS
+             if holds_files(spark, f"{path}/{name}/reference_date={ref}")}
+    write_report(rows, fill_insights(read_insights(spark, path, ref), rows, portfolio_fn), out, ref, lists=lists)
 
 
 def main(argv: list[str] | None = None) -> None:

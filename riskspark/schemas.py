@@ -31,6 +31,9 @@ SDK_POLICY = _schema(
 INSIGHT = _schema(
     ("title", _S), ("observation", _S), ("why_non_obvious", _S), ("action", _S),
     ("affected_accounts", T.ArrayType(_S)))
+STORED_INSIGHT = _schema(
+    ("insight_code", _S), ("n", _L), ("arr", _L), ("csm_name", _S), ("title", _S), ("observation", _S),
+    ("why_non_obvious", _S), ("action", _S), ("affected_accounts", T.ArrayType(_S)), ("reference_date", _S))
 PORTFOLIO = T.StructType([
     T.StructField("insights", T.ArrayType(INSIGHT)), T.StructField("executive_summary", _S)])
 META = _schema(

@@ -21,6 +21,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def holds_files(spark: SparkSession, folder: str) -> bool:
+    """Whether an earlier run stored anything here; errors of reading it are not taken for absence."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for rows that are small but costly; a fixed count is not packed together at run time."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

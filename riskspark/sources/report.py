@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from riskspark import schemas
 from riskspark.functions.values import EXPORT_COLUMNS, RENEWAL_DAYS
 from riskspark.operators.insights import insight_members, tier_totals
+from riskspark.scratch import holds_files
 
 PARTS = ("meta", "portfolio_insights", "insight_members", "accounts")
+LISTS = ("account_notes", "account_subjects", "account_series")
 
 
 def report_meta(accounts: DataFrame, ref: date, window_days: int = RENEWAL_DAYS,
@@ -22,16 +24,19 @@ def report_meta(accounts: DataFrame, ref: date, window_days: int = RENEWAL_DAYS,
 
 
 def write_report(accounts: DataFrame, insights: DataFrame, path: str, ref: date,
-                 window_days: int = RENEWAL_DAYS, fmt: str = "parquet", generated: date | None = None) -> None:
-    """Four datasets below `path`, each partitioned by reference date; other dates stay untouched.
+                 window_days: int = RENEWAL_DAYS, fmt: str = "parquet", generated: date | None = None,
+                 lists: dict[str, DataFrame] | None = None) -> None:
+    """Datasets below `path`, each partitioned by reference date; other dates stay untouched.
 
-    The insight's account names are a dataset of their own, so no row grows with the portfolio.
+    The insight's account names and the `lists` of the accounts (notes, subjects, monthly points)
+    are datasets of their own, so no row grows with the portfolio or with one account.
     """
     frames = {
         "meta": report_meta(accounts, ref, window_days, generated).drop("reference_date"),
         "portfolio_insights": insights,
         "insight_members": insight_members(accounts),
         "accounts": accounts,
+        **(lists or {}),
     }
     for name, frame in frames.items():
         (frame.withColumn("reference_date", F.lit(str(ref))).write.mode("overwrite")
@@ -46,6 +51,13 @@ def read_report(spark: SparkSession, path: str, part: str = "accounts", ref: dat
     return frame.where(F.col("reference_date") == str(ref)) if ref else frame
 
 
+def read_insights(spark: SparkSession, path: str, ref: date, fmt: str = "parquet") -> DataFrame:
+    """Insight rows of a report, none where they were never written. Read with every column they may have."""
+    if not holds_files(spark, f"{path}/portfolio_insights"):
+        return spark.createDataFrame([], schemas.STORED_INSIGHT).drop("reference_date")
+    return read_report(spark, path, "portfolio_insights", ref, fmt, schemas.STORED_INSIGHT).drop("reference_date")
+
+
 def account_json(accounts: DataFrame) -> DataFrame:
     """One JSON text per account: lists and structs nested, dates as text, missing values as null."""
     cols = [c for c in accounts.columns if c != "signals"]

@@ -55,11 +55,10 @@ FROM orders LEFT JOIN (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS shipp
 """
 
 V_NPS = """
-SELECT c_custkey AS account_id,
-       CASE WHEN c_custkey % 17 <> 0 THEN CAST((c_custkey * 7) % 11 AS DOUBLE) END AS score,
+SELECT doc_id AS account_id,
+       CASE WHEN doc_id % 17 <> 0 THEN CAST((doc_id * 7) % 11 AS DOUBLE) END AS score,
        coalesce(text, '') AS verbatim_comment
-FROM customer LEFT JOIN documents ON doc_id = c_custkey
-WHERE c_custkey % 5 <> 0
+FROM documents
 """
 
 # note headers in six styles, one in six of the last without any
@@ -77,7 +76,6 @@ SELECT conv_id * 1000 + turn AS note_pos, conv_id,
          ELSE concat('(#', lpad(CAST(conv_id AS STRING), 4, '0'), ') Apr 1, great QBR, budget approved{chr(10)}')
        END, text) AS raw_text
 FROM conversations LEFT JOIN (SELECT c_custkey, {_SEGMENT} AS segment FROM customer) c ON c_custkey = conv_id
-WHERE role = 'user'
 """
 V_NOTES = "SELECT note_pos, conv_id AS account_id, raw_text FROM v_note_texts"
 

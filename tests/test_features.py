@@ -29,17 +29,23 @@ def test_ticket_window_and_weights(spark):
     assert out[3]["support_health_score"] == 1.0
     subjects = tickets.ticket_subjects(spark.createDataFrame(data, TICKET), ref)
     base = spark.createDataFrame([(1,), (2,), (9,)], "account_id long")
-    lists_ = {r["account_id"]: r["ticket_subjects"] for r in lists.attach_list(
-        base, subjects, "account_id", ["created_date", "ticket_id"], "subject", "ticket_subjects").collect()}
-    assert lists_ == {1: ["a", "b"], 2: ["c"], 9: []}
-
-
-def test_oversize_list_is_null_with_its_count(spark):
-    base = spark.createDataFrame([(1,), (2,)], "account_id long")
-    items = spark.createDataFrame([(1, i, str(i)) for i in range(5)] + [(2, 0, "z")], "account_id long, o int, v string")
-    out = {r["account_id"]: (r["l"], r["l_count"]) for r in
-           lists.attach_list(base, items, "account_id", ["o"], "v", "l", max_items=3).collect()}
-    assert out == {1: (None, 5), 2: (["z"], 1)}
+    mine = lists.owned(subjects, base).orderBy("account_id", "created_date", "ticket_id").collect()
+    assert [(r["account_id"], r["subject"]) for r in mine] == [(1, "a"), (1, "b"), (2, "c")]
+    counted = lists.attach_count(base, subjects, "account_id", "n").collect()
+    assert {r["account_id"]: r["n"] for r in counted} == {1: 2, 2: 1, 9: 0}
+
+
+def test_chunks_hold_every_item_of_a_hot_key_in_order(spark):
+    """One key owns 50,000 items; gaps in the positions, a shared and a missing one lose nothing."""
+    hot = spark.range(50_000).select(F.lit(1).cast("long").alias("k"), (F.col("id") * 3).alias("p"), F.col("id").cast("string").alias("v"))
+    few = spark.createDataFrame([(2, 9, "b"), (2, 1, "a"), (2, None, "first"), (3, 5, "x"), (3, 5, None), (None, 1, "nobody")], "k long, p long, v string")
+    chunks = lists.chunked(hot.unionByName(few), "k", "p", "v", "items", 64).collect()
+    got = {}
+    for r in sorted(chunks, key=lambda r: (r["k"], r["chunk_no"])):
+        assert 1 <= len(r["items"]) <= 64 and r["chunk_no"] == len(got.get(r["k"], [])) // 64
+        got.setdefault(r["k"], []).extend(r["items"])
+    assert got[1] == [str(i) for i in range(50_000)] and got[2] == ["first", "a", "b"]
+    assert set(got) == {1, 2, 3} and sorted(got[3], key=str) == [None, "x"]
 
 
 @pytest.mark.parametrize("score,want", [(None, .5), (0.0, 1.0), (6.0, .5), (6.5, .35), (7.0, .3), (8.0, .2), (8.5, .1),

@@ -62,10 +62,29 @@ def test_own_note_annotator_and_its_failures(spark):
 
     got = {r["account_id"]: (r["csm_sentiment_score"], r["risk_flags"]) for r in A.annotate_notes(accounts, notes, fn).collect()}
     assert got == {1: (0.9, ["b", "a"]), 2: (0.5, [])}
+    each = {r["account_id"]: r["risk_flags"] for r in A.annotate_notes(accounts, notes, fn, notes_per_call=1).collect()}
+    assert each == {1: ["b", "a"], 2: []}
     merged = A.annotation_lookup(accounts, A.annotate_notes(accounts, notes, fn), A.NOTE_DEFAULTS()).orderBy("account_id").collect()
     assert [(r["csm_sentiment_score"], r["risk_flags"]) for r in merged] == [(0.9, ["b", "a"]), (0.5, []), (0.5, [])]
 
 
+def test_calls_of_one_account_are_merged(spark):
+    fields = A.NOTE_CALL_FIELDS
+    calls = spark.createDataFrame([
+        (1, 0.2, ["a", "b"], None, None, "call", 0, 3), (1, 0.8, ["b", "c", None], ["p"], "later", "wait", 1, 1),
+        (2, None, None, None, None, None, 0, 1)], fields)
+    got = {r["account_id"]: tuple(r)[1:] for r in A.merge_note_calls(calls).collect()}
+    assert got == {1: (0.35, ["a", "b", "c"], ["p"], "later", "call"), 2: (None, [], [], None, None)}
+
+
+def test_every_response_of_an_account_keeps_its_own_annotation(spark):
+    rows = spark.createDataFrame([(1, 2.0, "mauvais"), (1, 9.0, "tres bien"), (1, None, "sans"), (1, None, "sans"), (2, 3.0, None)],
+                                 "account_id long, nps_score double, verbatim_comment string").withColumn("has_non_english", F.lit(True))
+    got = A.translate(rows, lambda row: {"english_translation": row["verbatim_comment"].upper(), "detected_language": "fr"})
+    assert sorted((r["account_id"], r["verbatim_comment"] or "", r["english_translation"]) for r in got.collect()) == [
+        (1, "mauvais", "MAUVAIS"), (1, "sans", "SANS"), (1, "sans", "SANS"), (1, "tres bien", "TRES BIEN"), (2, "", "")]
+
+
 def test_own_comment_annotator(spark):
     rows = spark.createDataFrame([(1, 5.0, "bon"), (2, 5.0, " "), (3, None, "bad")], "account_id long, nps_score double, verbatim_comment string")
 
@@ -140,9 +159,23 @@ def test_report_round_trip(spark, bundle, due, tmp_path):
     some = report.account_json(back.limit(3)).first()
     parsed = json.loads(some["json"])
     assert parsed["account_id"] == some["account_id"] and isinstance(parsed["boosters_applied"], list)
-    renewals.run_enrichment(spark, bundle, path, str(tmp_path / "filled"))
+    renewals.run_enrichment(spark, bundle, path, str(tmp_path / "filled"), portfolio_fn=lambda facts: 1 / 0)
     filled = report.read_report(spark, str(tmp_path / "filled"), ref=REF)
-    assert gaps.gap_counts(filled).first()["needs_narrative"] == 0
+    kept = report.read_insights(spark, str(tmp_path / "filled"), REF)
+    counts = gaps.gap_counts(filled, kept).first()
+    assert counts["needs_narrative"] == 0 and counts["needs_insights"] == 0
+    assert kept.count() == len(found)  # the report had its insights: the function was not asked
+    for name in report.LISTS:
+        one, two = (report.read_report(spark, p, name, REF).count() for p in (path, str(tmp_path / "filled")))
+        assert one == two
+
+
+def test_insights_are_made_where_there_are_none(spark, due, tmp_path):
+    none = report.read_insights(spark, str(tmp_path / "nothing"), REF)
+    assert gaps.gap_counts(gaps.with_gaps(due.withColumns({**A.NARRATIVE_DEFAULTS(), **A.NOTE_DEFAULTS(), **A.NPS_DEFAULTS()})), none).first()["needs_insights"] == 1
+    made = gaps.fill_insights(none, due)
+    assert made.count() == insights.portfolio_insights(due).count() > 0
+    assert gaps.fill_insights(made.limit(1), due).count() == 1
 
 
 def test_document_in_the_exchange_format(spark, tmp_path):
@@ -187,8 +220,10 @@ def test_files_to_report(spark, tmp_path):
     r = report.read_report(spark, out).first()
     assert r["account_id"] == 1 and r["verbatim_comment"] == 'fine, "really"' and r["silent_churn_flag"]
     assert r["risk_flags"] == ["Cancellation language used"] and r["latest_sdk_version"] == "v3.2"
-    assert r["csm_notes_raw"] == ["4/1 Acme Corp\nThey will cancel"] and r["ticket_count_total"] == 0
-    assert [p["api_calls"] for p in r["api_calls_series"]] == [100, 50, 10]
+    notes = report.read_report(spark, out, "account_notes").collect()
+    assert [(n["account_id"], n["raw_text"]) for n in notes] == [(1, "4/1 Acme Corp\nThey will cancel")] and r["ticket_count_total"] == 0
+    series = report.read_report(spark, out, "account_series").orderBy("pos").collect()
+    assert [p["api_calls"] for p in series] == [100, 50, 10] and r["ticket_subject_count"] == 0
     scores = tables.scan_nps(spark, str(tmp_path / "nps.csv")).orderBy("account_id").collect()
     assert [(s["score"], s["verbatim_comment"]) for s in scores] == [(8.0, 'fine, "really"'), (None, "")]
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns[0] == "account_name"
