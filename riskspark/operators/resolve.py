@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.dates import note_date_token, parse_note_date
 from riskspark.functions.similarity import (
-    joined_length, lcs_length, profile, score_ceiling, subset_scores, token_set,
+    joined_length, lcs_length, letter_bits, letter_ceiling, profile, score_ceiling, subset_scores, token_set,
 )
 from riskspark.functions.text import clean_header
 from riskspark.functions.values import DEFAULT_NOTE_YEAR, SIMILARITY_CUTOFF
@@ -15,8 +15,9 @@ from riskspark.scratch import stored, task_count
 EXPLICIT_ID = r"(?i)(?:acct|#|account)\s*(\d{4})"
 # A token carried by more names than this is matched through grouped names instead of one by one.
 COMMON_TOKEN_NAMES = 1000
-# Names compared with one header in one step of the character comparison.
+# Names and headers that meet in one cell of the character comparison.
 NAMES_PER_CELL = 512
+HEADS_PER_CELL = 4096
 
 
 def explicit_id(block: Column) -> Column:
@@ -51,7 +52,7 @@ def _scored(pairs: DataFrame, floor: Column) -> DataFrame:
         F.col("n.account_name").alias("account_name"), F.col("h.tokens").alias("_h"), F.col("n.tokens").alias("_n"),
         F.col("h.len").alias("_h_len"), F.col("n.len").alias("_n_len"), floor.alias("_floor"),
         joined_length(F.array_intersect("h.tokens", "n.tokens")).alias("_shared"),
-        F.round(score_ceiling("h.profile", "n.profile"), 9).alias("_ceiling"))
+        F.round(letter_ceiling("h.letters", "n.letters"), 9).alias("_ceiling"))
     shared, total = F.col("_shared"), F.col("_h_len") + F.col("_n_len")
     by_tokens = F.round(subset_scores(shared, F.col("_h_len"), F.col("_n_len")), 9)
     weighed = split.withColumn("_by_tokens", by_tokens).withColumn(
@@ -83,18 +84,21 @@ def similarity_matches(headers: DataFrame, accounts: DataFrame, order: str = "ac
     - tokens few names carry: equi-join on the token, at most `common_names` names each;
     - tokens many names carry: such scores only depend on which common tokens a name has and on
       its length, so names are grouped by that and one (the earliest) stands for its group;
-    - characters: the lengths must be close and the letter counts must overlap enough. Distinct
-      (length, letter count) profiles are joined first, and only surviving profiles are expanded
-      to names. Headers already at 100 skip this step.
+    - characters: the lengths must be close and the letter counts must overlap enough to beat what
+      the tokens gave. Distinct (length, letter count) profiles are joined first, only surviving
+      profiles are expanded to names, and of those pairs only the ones whose single letters allow
+      it are compared. Headers already at 100 skip this step.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
     heads = _token_sets(headers.select("header"), fold(F.col("header")))
-    heads = heads.select("joined", "tokens", "len").distinct().withColumn("profile", profile(F.col("joined")))
+    heads = heads.select("joined", "tokens", "len").distinct()
+    heads = heads.withColumns({"profile": profile("joined"), "letters": letter_bits("joined")})
     heads = stored(heads)  # read by three branches; the note texts are scanned once
     names = _token_sets(_names(accounts, order), fold(F.col("account_name")))
     names = (names.groupBy("joined", "tokens", "len")
              .agg(F.min(F.struct("ord", "account_id", "account_name")).alias("f"))
-             .select("joined", "tokens", "len", "f.*", profile(F.col("joined")).alias("profile")))
+             .select("joined", "tokens", "len", "f.*", profile("joined").alias("profile"),
+                     letter_bits("joined").alias("letters")))
     names = stored(names)
 
     name_tokens = names.select("*", F.explode("tokens").alias("token"))
@@ -118,12 +122,7 @@ def similarity_matches(headers: DataFrame, accounts: DataFrame, order: str = "ac
         .select(F.col("h.joined").alias("header"), "n.ord", "n.account_id", "n.account_name",
                 F.round(subset_scores(shared, F.col("h.len"), F.col("n.len")), 9).alias("score")))
     by_tokens = stored(_best(by_rare.unionByName(by_common), cutoff))
-
-    open_heads = (heads.join(by_tokens.select(F.col("header").alias("joined"), F.col("score").alias("found")),
-                             "joined", "left")
-                  .where(F.coalesce("found", F.lit(0.0)) < 100.0)
-                  .withColumn("floor", F.greatest(F.lit(cutoff), F.coalesce("found", F.lit(0.0)))))
-    by_chars = _character_pairs(open_heads, names, cutoff)
+    by_chars = _character_pairs(_open(heads, by_tokens, cutoff), names, cutoff)
     best = _best(by_tokens.unionByName(_scored(by_chars, F.col("h.floor"))), cutoff)
     keyed = headers.select("header").distinct().withColumn(
         "joined", F.array_join(token_set(fold(F.col("header"))), " "))
@@ -131,33 +130,45 @@ def similarity_matches(headers: DataFrame, accounts: DataFrame, order: str = "ac
         "header", "account_id", "account_name", "score")
 
 
+def _open(heads: DataFrame, found: DataFrame, cutoff: float) -> DataFrame:
+    """Headers that can still be matched better, with the score a better or earlier match must reach."""
+    known = found.select(F.col("header").alias("joined"), F.col("score").alias("found"))
+    return (heads.join(known, "joined", "left").where(F.coalesce("found", F.lit(0.0)) < 100.0)
+            .withColumn("floor", F.greatest(F.lit(cutoff), F.coalesce("found", F.lit(0.0)))))
+
+
 def _character_pairs(heads: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
-    """(h, n) pairs whose lengths and letter counts allow a score of at least `cutoff`."""
-    near = cutoff / (200.0 - cutoff)  # shortest/longest of two texts that can still qualify
+    """(h, n) pairs whose lengths and letter counts allow a score of at least the header's floor."""
     bounds = names.agg(F.min("len").alias("lo"), F.max("len").alias("hi")).first()
     lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
-    length = F.col("profile.len")
-    first = F.greatest(F.ceil(length * near), F.lit(lo)).cast("int")
-    last = F.least(F.floor(length / near), F.lit(hi)).cast("int")
-    head_profiles = (heads.select("profile").distinct().where(first <= last)
-                     .withColumn("name_len", F.explode(F.sequence(first, last))))
+    length, near = F.col("profile.len"), F.col("floor") / (200.0 - F.col("floor"))  # shortest/longest that can qualify
+    first = F.greatest(F.ceil(F.round(length * near, 6)), F.lit(lo)).cast("int")
+    last = F.least(F.floor(F.round(length / near, 6)), F.lit(hi)).cast("int")
+    head_profiles = (heads.groupBy("profile").agg(F.min("floor").alias("floor"), F.count(F.lit(1)).alias("heads"))
+                     .where(first <= last).withColumn("name_len", F.explode(F.sequence(first, last))))
     name_profiles = (names.groupBy("profile", "len").agg(F.count(F.lit(1)).alias("n"))
                      .withColumn("cells", F.ceil(F.col("n") / NAMES_PER_CELL).cast("int")))
-    viable = (head_profiles.alias("hp")
-              .join(name_profiles.alias("np"), F.col("hp.name_len") == F.col("np.len"))
-              .where(F.round(score_ceiling("hp.profile", "np.profile"), 9) >= cutoff)
-              .select(F.col("hp.profile").alias("h_profile"), F.col("np.profile").alias("n_profile"), "cells"))
-    # Many names may share a profile: they are cut into cells and every header visits each cell.
+    viable = stored(
+        head_profiles.alias("hp").join(name_profiles.alias("np"), F.col("hp.name_len") == F.col("np.len"))
+        .where(F.round(score_ceiling("hp.profile", "np.profile"), 9) >= F.col("hp.floor"))
+        .select(F.col("hp.profile").alias("h_profile"), F.col("np.profile").alias("n_profile"), "cells", "heads"))
+    # Many names or headers may share a profile: both are cut, and every part of one side visits each of the other.
     # The fixed partition count keeps the few but costly rows from being packed into one task.
-    visits = (viable.join(heads.withColumnRenamed("profile", "h_profile"), "h_profile")
+    shape = viable.groupBy("n_profile", "cells").agg(
+        F.ceil(F.sum("heads") / HEADS_PER_CELL).cast("int").alias("parts"))
+    visits = (viable.select("h_profile", "n_profile").join(shape, "n_profile")
+              .join(heads.withColumnRenamed("profile", "h_profile"), "h_profile")
               .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-              .withColumn("profile", F.col("h_profile"))
-              .repartition(task_count(names.sparkSession), "n_profile", "cell"))
-    cells = names.join(name_profiles.select("profile", "cells"), "profile").withColumn(
-        "cell", F.pmod(F.xxhash64("joined"), F.col("cells")).cast("int"))
+              .withColumn("part", F.pmod(F.xxhash64("joined"), F.col("parts")).cast("int"))
+              .withColumnRenamed("h_profile", "profile")
+              .repartition(task_count(names.sparkSession), "n_profile", "cell", "part"))
+    cells = (names.join(shape.withColumnRenamed("n_profile", "profile"), "profile")
+             .withColumn("cell", F.pmod(F.xxhash64("joined"), F.col("cells")).cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     return (visits.alias("h")
-            .join(cells.alias("n"), (F.col("h.n_profile") == F.col("n.profile")) & (F.col("h.cell") == F.col("n.cell")))
-            .where(F.round(score_ceiling("h.profile", "n.profile"), 9) >= F.col("h.floor")))
+            .join(cells.alias("n"), (F.col("h.n_profile") == F.col("n.profile")) & (F.col("h.cell") == F.col("n.cell"))
+                  & (F.col("h.part") == F.col("n.part")))
+            .where(F.round(letter_ceiling("h.letters", "n.letters"), 9) >= F.col("h.floor")))
 
 
 def resolve_fuzzy(notes: DataFrame, accounts: DataFrame, order: str = "account_id",
