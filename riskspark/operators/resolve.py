@@ -26,9 +26,13 @@ def explicit_id(block: Column) -> Column:
 
 def resolve_explicit(notes: DataFrame, accounts: DataFrame) -> DataFrame:
     """Notes that name an id; the id is kept as written, `id_known` says whether it exists."""
-    named = notes.select("note_pos", explicit_id(F.col("raw_text")).alias("account_id"))
+    return _known_ids(notes.select("note_pos", explicit_id(F.col("raw_text")).alias("explicit_id")), accounts)
+
+
+def _known_ids(named: DataFrame, accounts: DataFrame) -> DataFrame:
     known = accounts.select("account_id").distinct().withColumn("_known", F.lit(True))
-    return (named.where(F.col("account_id").isNotNull()).join(known, "account_id", "left")
+    return (named.where("explicit_id IS NOT NULL").select("note_pos", F.col("explicit_id").alias("account_id"))
+            .join(known, "account_id", "left")
             .select("note_pos", "account_id", F.coalesce("_known", F.lit(False)).alias("id_known")))
 
 
@@ -173,44 +177,50 @@ def _character_pairs(heads: DataFrame, names: DataFrame, cutoff: float) -> DataF
 
 def resolve_fuzzy(notes: DataFrame, accounts: DataFrame, order: str = "account_id",
                   case_sensitive: bool = False, **options) -> DataFrame:
-    headed = notes.select("note_pos", clean_header(F.col("raw_text")).alias("header"))
+    headed = stored(notes.select("note_pos", clean_header(F.col("raw_text")).alias("header")))
+    return _fuzzy(headed, accounts, order, case_sensitive, **options)
+
+
+def _fuzzy(headed: DataFrame, accounts: DataFrame, order: str, case_sensitive: bool, **options) -> DataFrame:
     found = similarity_matches(headed, accounts, order, case_sensitive=case_sensitive, **options)
     return headed.join(found, "header").select(
         "note_pos", "account_id", "account_name", F.col("score").alias("match_score"))
 
 
-def _word_shape(word: Column) -> Column:
-    return F.struct((~word.rlike(r"(?U)^\w")).alias("lead"),
-                    F.size(F.regexp_extract_all(word, F.lit(r"(?U)\w+"), F.lit(0))).alias("runs"),
-                    (~word.rlike(r"(?U)\w$")).alias("trail"))
+def _pieces(text: Column) -> Column:
+    """Runs of word characters and runs of other marks, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0))
+
 
+def _spans(pieces: Column, sizes: Column) -> Column:
+    """All sequences of `sizes` neighbouring pieces that stand between word boundaries.
 
-def _shape_pattern(lead: bool, runs: int, trail: bool) -> str:
-    """Finds every place where a word of this shape stands between word boundaries."""
-    if runs == 0:
-        return r"(?U)(?<=\w)(?=([^\w\s]+)\w)"
-    core = r"\w+" + (r"(?:[^\w\s]+\w+){%d}" % (runs - 1) if runs > 1 else "")
-    before, opening = (r"(?<=\w)", r"[^\w\s]+") if lead else (r"(?<!\w)", "")
-    closing = r"[^\w\s]+(?=\w)" if trail else ""
-    return rf"(?U){before}(?=({opening}{core}{closing}))"
+    A piece of marks begins or ends at a boundary only where a word piece is next to it.
+    """
+    words = F.transform(pieces, lambda p: p.rlike(r"(?U)^\w"))
+    bound = lambda at: F.coalesce(F.element_at(words, at), F.lit(False))  # positions from 1
+    of_size = lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.size(pieces) - n + 1),
+                 lambda i: (bound(i) | F.when(i > 1, bound(i - 1)).otherwise(False))
+                 & (bound(i + n - 1) | F.when(i + n <= F.size(pieces), bound(i + n)).otherwise(False))),
+        lambda i: F.array_join(F.slice(pieces, i, n), ""))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.size(pieces)), of_size)))
 
 
 def resolve_first_word(notes: DataFrame, accounts: DataFrame, order: str = "account_id") -> DataFrame:
     """Notes that contain the first word of an account name as a whole word; first account wins.
 
-    The words of a note are exploded and equi-joined to the distinct first words, so a word
-    shared by many accounts still joins to one row. First words with inner punctuation are
-    found by shape; the handful of distinct shapes is read up front.
+    A text is cut at white space and each part into pieces of word characters and of other marks. A first word
+    stands between word boundaries exactly where it equals some neighbouring pieces, so those are exploded and
+    equi-joined to the distinct first words. Only sequences as long as some first word are built.
     """
     word = F.lower(F.element_at(token_words(F.col("account_name")), 1))
     words = (_names(accounts, order).withColumn("word", word).where("word is not null")
              .groupBy("word").agg(F.min(F.struct("ord", "account_id", "account_name")).alias("first")))
-    shapes = [r["s"] for r in words.select(_word_shape(F.col("word")).alias("s")).distinct().collect()]
-    text = F.lower("raw_text")
-    found = [F.regexp_extract_all(text, F.lit(_shape_pattern(s["lead"], s["runs"], s["trail"])), F.lit(1))
-             for s in shapes]
-    spans = F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
-    return (notes.select("note_pos", F.explode(spans).alias("word")).join(words, "word")
+    sizes = words.select(F.collect_set(F.size(_pieces(F.col("word"))))).scalar()
+    parts = notes.select("note_pos", F.explode(F.array_distinct(token_words(F.lower("raw_text")))).alias("part"))
+    pieces = parts.select("note_pos", _pieces(F.col("part")).alias("pieces"), sizes.alias("sizes"))
+    return (pieces.select("note_pos", F.explode(_spans(F.col("pieces"), F.col("sizes"))).alias("word")).join(words, "word")
             .groupBy("note_pos").agg(F.min("first").alias("m"))
             .select("note_pos", "m.account_id", "m.account_name"))
 
@@ -223,11 +233,13 @@ def resolve_notes(notes: DataFrame, accounts: DataFrame, order: str = "account_i
                   case_sensitive: bool = False, narrow_slash: bool = False,
                   default_year: int = DEFAULT_NOTE_YEAR) -> DataFrame:
     """The cascade: each step only sees the notes the steps before left open."""
-    by_id = resolve_explicit(notes, accounts)
-    left = notes.join(by_id, "note_pos", "left_anti")
-    by_name = resolve_fuzzy(left, accounts, order, case_sensitive)
-    left = left.join(by_name, "note_pos", "left_anti")
-    by_word = resolve_first_word(left, accounts, order)
+    # One narrow row per note serves the first steps; texts are read again for words and for the result only.
+    slim = stored(notes.select(
+        "note_pos", explicit_id(F.col("raw_text")).alias("explicit_id"), clean_header(F.col("raw_text")).alias("header")))
+    by_id = _known_ids(slim, accounts)
+    by_name = stored(_fuzzy(slim.where("explicit_id IS NULL"), accounts, order, case_sensitive))
+    by_word = (resolve_first_word(notes.where(explicit_id(F.col("raw_text")).isNull()), accounts, order)
+               .join(by_name.select("note_pos"), "note_pos", "left_anti"))
     no_score = F.lit(None).cast("double").alias("match_score")
     matches = (
         by_id.select("note_pos", "account_id", F.lit(None).cast("string").alias("account_name"),
