@@ -195,6 +195,40 @@ INSIGHT_ROWS = f"""SELECT * FROM (
 NOTE_LISTS = "account_id, " + r6("csm_sentiment_score") + ", risk_flags, positive_signals"
 DATED = """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, o_orderkey % 8 AS k FROM orders"""
 
+# Name similarity without any pruning but by length: shared tokens, then the longest common subsequence of what is
+# left, one bit per letter of the name.
+HEADER = f"regexp_replace(regexp_replace(array_to_string(list_slice(string_split(raw_text, chr(10)), 1, 2), ' '), '{HEADER_DATE}[\\s|\\-—]*', ''), {WS}, '', 'g')"
+
+
+def _token_set(text: str) -> str:
+    return f"list_sort(list_distinct(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')))"
+
+
+def similarity(fold: str) -> str:
+    """note_pos, account_id, account_name and match_score of notes without an explicit id."""
+    text = lambda tokens: f"array_to_string({tokens}, ' ')"
+    return f"""WITH open_notes AS (SELECT note_pos, {HEADER} AS header FROM v_note_texts WHERE {EXPLICIT} IS NULL),
+      h AS (SELECT header, {_token_set(f'{fold}(header)')} AS ht FROM (SELECT DISTINCT header FROM open_notes)),
+      n AS (SELECT account_id, account_name, {_token_set(f'{fold}(account_name)')} AS nt FROM v_accounts),
+      p AS (SELECT *, length({text('ht')}) AS la, length({text('nt')}) AS lb, list_filter(ht, lambda w: list_contains(nt, w)) AS shared FROM h, n),
+      q AS (SELECT *, length({text('shared')}) AS k, {text('list_filter(ht, lambda w: NOT list_contains(nt, w))')} AS ra,
+              {text('list_filter(nt, lambda w: NOT list_contains(ht, w))')} AS rb
+            FROM p WHERE len(shared) > 0 OR 200e0 * least(la, lb) / (la + lb) >= 55),
+      m AS (SELECT *, (CAST(1 AS BIGINT) << length(rb)) - 1 AS whole, list_transform(string_split(ra, ''), lambda c:
+              list_sum(list_transform(string_split(rb, ''), lambda d, i: CASE WHEN c = d THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT) AS masks FROM q),
+      l AS (SELECT *, CASE WHEN ra = '' OR rb = '' THEN 0 ELSE length(rb) - bit_count(list_reduce(list_prepend(whole, masks),
+              lambda r, x: ((r + (r & x)) | (r - (r & x))) & whole)) END AS lcs FROM m),
+      z AS (SELECT *, round(CASE WHEN k > 0 AND (k = la OR k = lb) THEN 100e0 ELSE greatest(
+              CASE WHEN k > 0 THEN 200e0 * k / (k + least(la, lb)) ELSE 0e0 END,
+              200e0 * (CASE WHEN k > 0 THEN k + 1 ELSE 0 END + lcs) / (la + lb)) END, 9) AS score FROM l WHERE la > 0 AND lb > 0)
+      SELECT note_pos, account_id, account_name, score AS match_score FROM open_notes JOIN (
+        SELECT * FROM z WHERE score >= 55 QUALIFY row_number() OVER (PARTITION BY header ORDER BY score DESC, account_id) = 1) USING (header)"""
+
+
+TOKEN = f"nullif(regexp_extract({FIRST_LINE}, '({ISO}|(?:1[0-2]|0?[1-9])/\\d{{1,2}}|{WORD})', 1), '')"
+NOTE_DATE = """CASE WHEN tok LIKE '____-%' THEN try_cast(tok AS DATE) WHEN tok LIKE '%/%' THEN CAST(try_strptime(tok || '/2026', '%m/%d/%Y') AS DATE)
+  ELSE CAST(coalesce(try_strptime(regexp_replace(tok, '\\s+', ' ') || ' 2026', '%B %d %Y'), try_strptime(regexp_replace(tok, '\\s+', ' ') || ' 2026', '%b %d %Y')) AS DATE) END"""
+
 ORACLE = {
     "a1_scan_accounts": "SELECT * FROM v_accounts",
     "a2_scan_usage": "SELECT account_id, month, api_calls, content_entries_created, active_users, workflows_triggered, sdk_version FROM v_usage",
@@ -242,9 +276,22 @@ ORACLE = {
     "c5_join_notes": """SELECT account_id, note_pos, raw_text, count(note_pos) OVER (PARTITION BY account_id) AS note_count, note_pos IS NOT NULL AS has_csm_notes
       FROM v_accounts LEFT JOIN v_notes USING (account_id)""",
     "c6_resolve_explicit": f"SELECT note_pos, CAST({EXPLICIT} AS BIGINT) AS account_id, CAST({EXPLICIT} AS BIGINT) IN (SELECT account_id FROM v_accounts) AS id_known FROM v_note_texts WHERE {EXPLICIT} IS NOT NULL",
+    "c7_resolve_fuzzy": f"SELECT note_pos, account_id, account_name, {r6s('match_score')} FROM ({similarity('')})",
     "c8_resolve_first_word": r"""SELECT note_pos, account_id, account_name FROM (
       SELECT DISTINCT note_pos, unnest(regexp_extract_all(lower(raw_text), '[\p{L}\p{N}_]+')) AS w FROM v_note_texts)
       JOIN v_accounts ON lower(string_split(account_name, ' ')[1]) = w""",
+    "c9_resolve_notes": rf"""WITH ids AS (SELECT note_pos, CAST({EXPLICIT} AS BIGINT) AS id FROM v_note_texts),
+      named AS ({similarity('lower')}),
+      worded AS (SELECT note_pos, min_by(a.account_id, a.account_id) AS account_id, min_by(account_name, a.account_id) AS account_name FROM (
+        SELECT DISTINCT note_pos, unnest(regexp_extract_all(lower(raw_text), '[\p{{L}}\p{{N}}_]+')) AS w FROM v_note_texts)
+        JOIN v_accounts a ON lower(string_split(account_name, ' ')[1]) = w GROUP BY note_pos)
+      SELECT note_pos, {NOTE_DATE} AS note_date, coalesce(id, n.account_id, w.account_id) AS account_id,
+        CASE WHEN id IS NULL THEN coalesce(n.account_name, w.account_name) END AS account_name,
+        CASE WHEN id IS NOT NULL THEN 'explicit' WHEN n.note_pos IS NOT NULL THEN 'similarity' WHEN w.note_pos IS NOT NULL THEN 'first_word' END AS match_method,
+        CASE WHEN id IS NULL THEN match_score END AS match_score,
+        CASE WHEN id IS NOT NULL THEN id IN (SELECT account_id FROM v_accounts) ELSE coalesce(n.account_id, w.account_id) IS NOT NULL END AS id_known
+      FROM (SELECT note_pos, {TOKEN} AS tok FROM v_note_texts) JOIN ids USING (note_pos)
+      LEFT JOIN named n USING (note_pos) LEFT JOIN worded w USING (note_pos)""",
     "c10_annotation_lookup": f"SELECT account_id, {r6('coalesce(csm_sentiment_score, 0.5e0)', 'csm_sentiment_score')}, coalesce(risk_flags, '') AS risk_flags, coalesce(positive_signals, '') AS positive_signals FROM v_accounts LEFT JOIN sig USING (account_id)",
     "c11_upsert_by_id": """SELECT account_id, pos, priority, CASE WHEN account_id % 2 = 0 AND account_id IN (SELECT account_id FROM v_nps) THEN 'Reviewed' ELSE status END AS status
       FROM (SELECT account_id, min(ticket_id) AS pos, max_by(priority, ticket_id) AS priority, max_by(status, ticket_id) AS status FROM v_tickets GROUP BY account_id)""",
