@@ -199,3 +199,28 @@ def test_equal_scores_go_to_the_earlier_account(spark, common):
     for rows in (accounts, accounts.where("account_id = 1")):
         found = similarity_matches(heads, rows, common_names=common, cutoff=60.0).collect()
         assert [r["account_id"] for r in found] == [1]
+
+
+def test_common_subsequence_of_many_pairs(spark):
+    """Short and long texts, empty ones, wide characters and zero characters at the end."""
+    from riskspark.functions.similarity import lcs_length
+    rnd = random.Random(11)
+    word = lambda most: "".join(rnd.choice("abc é字😀\0") for _ in range(rnd.randint(0, most)))
+    pairs = [(i, word(n), word(m)) for i, (n, m) in enumerate([(8, 8), (64, 64), (70, 3), (3, 90), (90, 90)] * 40)]
+    pairs += [(900, "a" * 64, "a" * 64), (901, "a" * 64, "a" * 65), (902, "a" * 65, "a" * 66), (903, "", "a"), (904, "a\0", "a\0\0")]
+    got = dict(spark.createDataFrame(pairs, "i int, a string, b string").select("i", lcs_length("a", "b")).collect())
+    assert got == {i: lcs(a, b) for i, a, b in pairs}
+
+
+def test_many_headers_and_names_of_one_letter_profile(spark, monkeypatch):
+    """Cutting both sides into cells loses no pair and meets none twice."""
+    monkeypatch.setattr(resolve, "NAMES_PER_CELL", 3)
+    monkeypatch.setattr(resolve, "HEADS_PER_CELL", 2)
+    names = [f"firm{i:03d}" for i in range(40)]
+    headers = [f"frim{i:03d}" for i in range(20)] + ["mrif999"]
+    accounts = spark.createDataFrame(list(enumerate(names)), ACCOUNT)
+    got = {r["header"]: (r["score"], r["account_id"]) for r in resolve.similarity_matches(
+        spark.createDataFrame([(h,) for h in headers], "header string"), accounts).collect()}
+    want = {h: brute_force(h, names, str.lower) for h in headers}
+    assert set(got) == {h for h, best in want.items() if best}
+    assert all(got[h][1] == want[h][1] and got[h][0] == pytest.approx(want[h][0], abs=1e-6) for h in got)
