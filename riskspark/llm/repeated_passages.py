@@ -3,13 +3,16 @@
 Suffixes are retained where the hash of the next ANCHOR words is the smallest among SPREAD neighbours: the choice
 depends on content alone, so any two copies of a passage of ANCHOR + SPREAD words or more retain a suffix at the
 same place inside. Suffixes whose first ANCHOR words occur once are dropped by counting. The rest are sorted by
-the words that follow, then by those before, over all partitions; each is compared with the nearest suffix of
-another document on either side, and the match is extended word by word to the right and to the left. Matches
-of at least LEAST words are joined to maximal spans per document.
+the words that follow, then by those before, over all partitions. Detection needs no neighbours: of every suffix,
+each window of LEAST words with the anchor at one of SPREAD places inside is grouped by its words, and a window of
+two documents is a match. A shared passage retains a suffix in the first SPREAD places of each of its windows, so
+none is missed. Besides, each suffix is compared with the nearest one of another document on either side, which only
+extends a match word by word to the right and to the left. Matches are joined to maximal spans per document.
 
 Sorting is by range on the whole key down to document and place, so a passage of a third of all documents is
-split over tasks; the suffixes at the partition borders are compared in a second small step. Words are separated
-by ASCII blanks and compared exactly as written, by hash. Null, empty and short texts have no passages. Rows that
+split over tasks. Windows are grouped inside a partition, but those of its first and its last key, which go on in
+other partitions, by an aggregation; the suffixes at the borders are compared in a second small step. Words are
+separated by ASCII blanks and compared exactly as written, by hash. Null, empty and short texts have no passages. Rows that
 share a doc_id are one document and not compared with each other; rows without an id are left out.
 """
 
@@ -130,6 +133,50 @@ def compared(key, after, before, doc, place) -> tuple[np.ndarray, ...]:
     return doc[me], place[me] - left, place[me] + ANCHOR + right, doc[it]
 
 
+def _rolled(words: np.ndarray) -> np.ndarray:
+    """Hash of the first k words of each row in column k, from none to all."""
+    made = np.zeros((len(words), REACH + 1), np.uint64)
+    for k in range(REACH):
+        made[:, k + 1] = made[:, k] * _BASE + words[:, k].astype(np.uint64) + np.uint64(1)
+    return made
+
+
+def windows(key, after, before) -> np.ndarray:
+    """Hash of the LEAST words that start k words before each suffix in column k; 0 where the text has no such words."""
+    right, left = _rolled(after), _rolled(before)
+    has_right, has_left = (after >= 0).sum(1), (before >= 0).sum(1)
+    made = np.zeros((len(key), SPREAD), np.int64)
+    for k in range(SPREAD):
+        h = key.view(np.uint64) ^ np.uint64(k + 1)
+        for part in (left[:, k], right[:, LEAST - ANCHOR - k]):
+            h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + part
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        made[:, k] = np.where((has_left >= k) & (has_right >= LEAST - ANCHOR - k), h ^ h >> np.uint64(32), np.uint64(0)).view(np.int64)
+    return made
+
+
+def shared_windows(hashes, doc, place) -> tuple[np.ndarray, ...]:
+    """Doc, start, end, other doc of the first and the last window of each suffix that another document has as well."""
+    n = len(doc)
+    first, last = np.full(n, SPREAD), np.full(n, -1)
+    other = np.zeros((2, n), np.int64)
+    for k in range(SPREAD):
+        order = np.argsort(hashes[:, k], kind="stable")
+        h = hashes[order, k]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff([*starts, n])
+        low, high = (np.repeat(f.reduceat(doc[order], starts), sizes) for f in (np.minimum, np.maximum))
+        hit = (low != high) & (h != 0)
+        at = order[hit]
+        beside = np.where(low[hit] != doc[at], low[hit], high[hit])
+        new = last[at] < 0
+        first[at[new]], other[0, at[new]] = k, beside[new]
+        last[at], other[1, at] = k, beside
+    got, more = np.flatnonzero(last >= 0), np.flatnonzero(last > first)
+    at, k, beside = np.concatenate([got, more]), np.concatenate([last[got], first[more]]), np.concatenate([other[1, got], other[0, more]])
+    return doc[at], place[at] - k, place[at] - k + LEAST, beside
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other of every retained suffix's matches; positions in words, end exclusive."""
     spark = docs.sparkSession
@@ -140,7 +187,12 @@ def matches(docs: DataFrame) -> DataFrame:
     order = ["key", "after", "before", "doc_id", "place"]
     tasks = max(spark.sparkContext.defaultParallelism, -(-found.count() // PARTITION_ROWS))
     ordered = found.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    names = ["doc_id", "start", "end", "other", "border", "key", "after", "before", "place"]
+    names = ["doc_id", "start", "end", "other", "border", "key", "after", "before", "place", "window"]
+    schema = "doc_id long, start long, end long, other long, border long, key long, after binary, before binary, place long, window long"
+
+    def rows(count, **columns):
+        empty = {"after": pa.binary(), "before": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(count, empty.get(c, pa.int64())) for c in names], names)
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -148,15 +200,26 @@ def matches(docs: DataFrame) -> DataFrame:
             return
         table = pa.Table.from_batches(held).combine_chunks()
         key, doc, place = (table.column(c).to_numpy() for c in ("key", "doc_id", "place"))
-        hit = compared(key, _words(table.column("after").to_pylist()), _words(table.column("before").to_pylist()), doc, place)
-        none = pa.nulls(len(hit[0]), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(h, pa.int64()) for h in hit), none, none, pa.nulls(len(hit[0]), pa.binary()), pa.nulls(len(hit[0]), pa.binary()), none], names)
+        after, before = _words(table.column("after").to_pylist()), _words(table.column("before").to_pylist())
+        hit = compared(key, after, before, doc, place)
+        yield rows(len(hit[0]), **dict(zip(names, hit)))
+        hashes, edge = windows(key, after, before), (key == key[0]) | (key == key[-1])
+        if not edge.all():
+            hit = shared_windows(hashes[~edge], doc[~edge], place[~edge])
+            yield rows(len(hit[0]), **dict(zip(names, hit)))
+        own = np.flatnonzero(edge)
+        for k in range(SPREAD):
+            at = own[hashes[own, k] != 0]
+            yield rows(len(at), doc_id=doc[at], start=place[at] - k, end=place[at] - k + LEAST, window=hashes[at, k])
         ends = table.take(pa.array([0, table.num_rows - 1])).combine_chunks().to_batches()[0]
         at, none = TaskContext.get().partitionId(), pa.nulls(2, pa.int64())
-        yield pa.RecordBatch.from_arrays([ends.column("doc_id"), none, none, none, pa.array([2 * at, 2 * at + 1], pa.int64()), ends.column("key"), ends.column("after"), ends.column("before"), ends.column("place")], names)
+        yield pa.RecordBatch.from_arrays([ends.column("doc_id"), none, none, none, pa.array([2 * at, 2 * at + 1], pa.int64()), ends.column("key"), ends.column("after"), ends.column("before"), ends.column("place"), none], names)
 
-    out = stored(ordered.mapInArrow(run, "doc_id long, start long, end long, other long, border long, key long, after binary, before binary, place long"))
-    inside = out.where("border IS NULL").select("doc_id", "start", "end", "other")
+    out = stored(ordered.mapInArrow(run, schema))
+    open_ = out.where("window IS NOT NULL").select("window", "doc_id", "start", "end")
+    held = stored(open_.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"))
+    closed = open_.join(held, "window").select("doc_id", "start", "end", F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high")).alias("other"))
+    inside = out.where("border IS NULL AND window IS NULL").select("doc_id", "start", "end", "other").union(closed)
     ends = out.where("border IS NOT NULL").orderBy("border").collect()  # two rows for each partition
     if not ends:
         return inside
@@ -167,8 +230,8 @@ def matches(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """One row per maximal repeated span: doc_id, start_word, end_word, n_words, others (documents next to it in suffix order)."""
-    own = matches(docs).groupBy("doc_id", "start", "end").agg(F.collect_set("other").alias("others"))  # a suffix has two neighbours
+    """One row per maximal repeated span: doc_id, start_word, end_word, n_words, others (documents next to it in suffix order or with one of its windows)."""
+    own = matches(docs).groupBy("doc_id", "start", "end").agg(F.collect_set("other").alias("others"))  # at most one for each suffix and window
     by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(before >= F.col("start"), 0).otherwise(1)).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
