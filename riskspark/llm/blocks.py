@@ -14,6 +14,13 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 BLOCK_BYTES = 3_000_000  # text held as Python objects at a time; one longer text is a block of its own
 BATCH_ROWS = 1_000  # rows of one Arrow batch between the JVM and Python
+BATCH_BYTES = 16 << 20  # and its bytes: a batch ends with the row that reaches them
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session end at a number of rows or of bytes, whichever comes first."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def parts(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -34,7 +41,7 @@ def map_texts(docs: DataFrame, setup: Callable[[], Callable[[list[str]], dict]],
     not asked for never reach Python, so their names can't clash. No shuffle; a lost task is simply rerun.
     """
     spark, kept = docs.sparkSession, list(keep)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(spark)
     chosen = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     out = StructType(chosen.schema.fields[:-1] + _parse_datatype_string(schema).fields)
     arrow = to_arrow_schema(out)
@@ -55,7 +62,7 @@ def explode_texts(docs: DataFrame, setup: Callable[[], Callable[[list[str], pa.R
                   text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Any number of rows per text: the function gets the texts and the slice they came from and returns whole columns."""
     spark, kept = docs.sparkSession, list(keep)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(spark)
     chosen = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     out = _parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
