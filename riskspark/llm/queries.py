@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import (embedding_neighbours, importance_sampling, license_index, line_dedup, positional_index, quality_trees, repeated_passages,
-                           secret_scan, sentence_pieces, sequence_packing, simhash_groups, toxicity)
+from riskspark.llm import (embedding_neighbours, importance_sampling, license_index, line_dedup, phrase_mining, positional_index, quality_trees,
+                           repeated_passages, secret_scan, sentence_pieces, sequence_packing, simhash_groups, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.summary(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sampling.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +74,7 @@ def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_embedding_neighbours, op3_sentence_pieces, op4_repeated_passages, op5_sequence_packing,
-    op6_simhash_groups, op7_quality_trees, op8_line_dedup, op9_toxicity, op10_license_index, op12_importance_resampling, op13_benchmark_decontamination)}
+    op6_simhash_groups, op7_quality_trees, op8_line_dedup, op9_toxicity, op10_license_index, op11_phrase_mining, op12_importance_resampling, op13_benchmark_decontamination)}
 
 LINE_DEDUP_SQL = r"""
 WITH l AS (SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
@@ -87,5 +91,5 @@ FROM j GROUP BY doc_id"""
 def statements() -> dict[str, str]:
     """No SQL for the learned, tokenised and hashed ones; those are tested against brute force."""
     return {"op8_line_dedup": LINE_DEDUP_SQL, "op10_license_index": license_index.summary_sql(),
-            "op12_importance_resampling": importance_sampling.drawn_sql(),
+            "op11_phrase_mining": phrase_mining.mined_sql(), "op12_importance_resampling": importance_sampling.drawn_sql(),
             "op13_benchmark_decontamination": positional_index.contaminated_sql()}
