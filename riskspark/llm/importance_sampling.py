@@ -180,7 +180,7 @@ def _ranked(rows: DataFrame, percent: int) -> DataFrame:
     """Ranks of the drawn share by (score descending, id): partition sizes give each partition's first number."""
     spark = rows.sparkSession
     order = [F.col("__can").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
-    placed = stored(rows.repartitionByRange(task_count(spark), *order).withColumn("__part", F.spark_partition_id()))
+    placed = stored(stored(rows).repartitionByRange(task_count(spark), *order).withColumn("__part", F.spark_partition_id()))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("n"), F.count_if("__can").alias("can"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
     first = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"),

@@ -69,7 +69,7 @@ def seed_of(lang: str) -> int:
 
 
 def _may(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(FILTER_BITS - 1)
+    at = hashes & np.uint64(8 * len(bits) - 1)
     return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
@@ -189,7 +189,11 @@ def counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST) -> tup
 
 def mined(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST, cover: int = COVER, limit: int = LIMIT) -> DataFrame:
     """Best phrases per lang: lang, rank, phrase, a, l, r, n, score."""
-    every, total = counts(docs, fewest, longest)
+    return best(*counts(docs, fewest, longest), cover, limit)
+
+
+def best(every: DataFrame, total: DataFrame, cover: int = COVER, limit: int = LIMIT) -> DataFrame:
+    """The same from the counts of all frequent phrases (lang, size, phrase, n) and of all words (lang, words)."""
     # The layout: each phrase with its words in both orders; sorted by the joins below, on the order that each needs.
     every = every.select("lang", "size", "n", F.col("phrase").alias("forward"),
                          F.array_join(F.reverse(F.split("phrase", " ")), " ").alias("backward"))
@@ -210,10 +214,10 @@ def mined(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST, cover:
     held = F.greatest(F.coalesce("forward_n", F.lit(0)), F.coalesce("backward_n", F.lit(0)))
     kept = grown.where(F.lit(100).cast("decimal(10,0)") * held.cast("decimal(20,0)") < F.lit(cover).cast("decimal(10,0)") * F.col("a").cast("decimal(20,0)")).select(
         "lang", F.col("forward").alias("phrase"), "a", "m.l", "m.r", "m.score")
-    best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(task_count(docs.sparkSession)))
-    first = kept.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("at") <= limit)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= limit)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(task_count(every.sparkSession)))
+    first = kept.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("at") <= limit)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= limit)
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
 
 
