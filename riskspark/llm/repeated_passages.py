@@ -10,9 +10,10 @@ none is missed. Besides, each suffix is compared with the nearest one of another
 extends a match word by word to the right and to the left. Matches are joined to maximal spans per document.
 
 Sorting is by range on the whole key down to document and place, so a passage of a third of all documents is
-split over tasks. Windows are grouped inside a partition, but those of its first and its last key, which go on in
-other partitions, by an aggregation; the suffixes at the borders are compared in a second small step. Words are
-separated by ASCII blanks and compared exactly as written, by hash. Null, empty and short texts have no passages. Rows that
+split over tasks. Windows are grouped inside a partition. Those of its first and its last key, which go on in other
+partitions, leave it as distinct windows with their lowest and highest document; these are aggregated, and only the
+shared ones go back to the partitions they came from, to the suffixes that have them. The last suffix of a partition
+is compared with the first of the next by a join on the partition's number. Words are by ASCII blanks and compared exactly as written, by hash. Null, empty and short texts have no passages. Rows that
 share a doc_id are one document and not compared with each other; rows without an id are left out.
 """
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.blocks import BATCH_ROWS, explode_texts, parts
+from riskspark.llm.blocks import bounded_batches, explode_texts, parts
 from riskspark.scratch import stored
 
 LEAST, ANCHOR, SPREAD, REACH = 50, 25, 25, 25
@@ -73,7 +74,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 def _with_context(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Repeated suffixes with the words after their anchor and, nearest first, those before it, as 32-bit hashes."""
     own = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("place", "key")).alias("__at"))  # bounded by the document
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(docs.sparkSession)
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(own, "doc_id")
 
     def run(batches):
@@ -155,20 +156,22 @@ def windows(key, after, before) -> np.ndarray:
     return made
 
 
-def shared_windows(hashes, doc, place) -> tuple[np.ndarray, ...]:
-    """Doc, start, end, other doc of the first and the last window of each suffix that another document has as well."""
+def _grouped(hashes, doc) -> tuple[np.ndarray, ...]:
+    """Of one window column: rows in hash order, their hash, lowest and highest document of the hash, and where each hash begins."""
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    sizes = np.diff([*starts, len(h)])
+    low, high = (np.repeat(f.reduceat(doc[order], starts), sizes) for f in (np.minimum, np.maximum))
+    return order, h, low, high, starts
+
+
+def _ends(doc, place, columns) -> tuple[np.ndarray, ...]:
+    """Doc, start, end, other doc of the first and the last shared window of each suffix; `columns` gives each k its rows and their other documents."""
     n = len(doc)
     first, last = np.full(n, SPREAD), np.full(n, -1)
     other = np.zeros((2, n), np.int64)
-    for k in range(SPREAD):
-        order = np.argsort(hashes[:, k], kind="stable")
-        h = hashes[order, k]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff([*starts, n])
-        low, high = (np.repeat(f.reduceat(doc[order], starts), sizes) for f in (np.minimum, np.maximum))
-        hit = (low != high) & (h != 0)
-        at = order[hit]
-        beside = np.where(low[hit] != doc[at], low[hit], high[hit])
+    for k, at, beside in columns:
         new = last[at] < 0
         first[at[new]], other[0, at[new]] = k, beside[new]
         last[at], other[1, at] = k, beside
@@ -177,6 +180,100 @@ def shared_windows(hashes, doc, place) -> tuple[np.ndarray, ...]:
     return doc[at], place[at] - k, place[at] - k + LEAST, beside
 
 
+def shared_windows(hashes, doc, place) -> tuple[np.ndarray, ...]:
+    """Doc, start, end, other doc of the first and the last window of each suffix that another document has as well."""
+    def columns():
+        for k in range(SPREAD):
+            order, h, low, high, _ = _grouped(hashes[:, k], doc)
+            hit = (low != high) & (h != 0)
+            at = order[hit]
+            yield k, at, np.where(low[hit] != doc[at], low[hit], high[hit])
+    return _ends(doc, place, columns())
+
+
+def distinct_windows(hashes, doc) -> tuple[np.ndarray, ...]:
+    """Each window of some suffixes once, with its lowest and highest document."""
+    _, h, low, high, starts = _grouped(hashes.ravel(), np.repeat(doc, hashes.shape[1]))
+    starts = starts[h[starts] != 0]
+    return h[starts], low[starts], high[starts]
+
+
+def known_windows(hashes, doc, place, window, low, high) -> tuple[np.ndarray, ...]:
+    """The same as shared_windows where the shared windows and their documents are known."""
+    order = np.argsort(window)
+    window, low, high = window[order], low[order], high[order]
+
+    def columns():
+        for k in range(SPREAD):
+            found = np.minimum(np.searchsorted(window, hashes[:, k]), len(window) - 1)
+            at = np.flatnonzero((window[found] == hashes[:, k]) & (hashes[:, k] != 0))
+            found = found[at]
+            yield k, at, np.where(low[found] != doc[at], low[found], high[found])
+    return _ends(doc, place, columns() if len(window) else ())
+
+
+_ORDER = ["key", "after", "before", "doc_id", "place"]
+_MADE = {"kind": pa.int64(), "part": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "other": pa.int64(), "window": pa.int64(),
+         "key": pa.int64(), "after": pa.binary(), "before": pa.binary(), "place": pa.int64()}
+_MATCH, _WINDOW, _OPEN, _FIRST, _LAST = range(5)  # kinds of rows: a match; a distinct window; a suffix of the first or last key; the partition's ends
+
+
+def _rows(kind: int, part: int, count: int, **columns) -> pa.RecordBatch:
+    columns |= {"kind": np.full(count, kind), "part": np.full(count, part)}
+    return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in _MADE.items()], list(_MADE))
+
+
+def _inside(batches):
+    """Matches of one sorted partition, and what its neighbours and the other holders of its outer keys must see."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    part = TaskContext.get().partitionId()
+    table = pa.Table.from_batches(held).combine_chunks()
+    key, doc, place = (table.column(c).to_numpy() for c in ("key", "doc_id", "place"))
+    after, before = _words(table.column("after").to_pylist()), _words(table.column("before").to_pylist())
+    hit = compared(key, after, before, doc, place)
+    yield _rows(_MATCH, part, len(hit[0]), **dict(zip(("doc_id", "start", "end", "other"), hit)))
+    hashes, edge = windows(key, after, before), (key == key[0]) | (key == key[-1])
+    if not edge.all():
+        hit = shared_windows(hashes[~edge], doc[~edge], place[~edge])
+        yield _rows(_MATCH, part, len(hit[0]), **dict(zip(("doc_id", "start", "end", "other"), hit)))
+    window, low, high = distinct_windows(hashes[edge], doc[edge])
+    yield _rows(_WINDOW, part, len(window), window=window, doc_id=low, other=high)
+    for kind, at in ((_OPEN, np.flatnonzero(edge)), (_FIRST, [0]), (_LAST, [table.num_rows - 1])):
+        for own in table.take(pa.array(at, pa.int64())).combine_chunks().to_batches():
+            yield _rows(kind, part, own.num_rows, **{c: own.column(c) for c in _ORDER})
+
+
+def _outer(batches):
+    """Matches of the suffixes of outer keys, from the shared windows that came back to their partition."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    parts, is_window = table.column("part").to_numpy(), table.column("kind").to_numpy() == _WINDOW
+    for part in np.unique(parts):
+        back, own = (table.filter(pa.array((parts == part) & x)) for x in (is_window, ~is_window))
+        if back.num_rows and own.num_rows:
+            key, doc, place = (own.column(c).to_numpy() for c in ("key", "doc_id", "place"))
+            hashes = windows(key, _words(own.column("after").to_pylist()), _words(own.column("before").to_pylist()))
+            hit = known_windows(hashes, doc, place, *(back.column(c).to_numpy() for c in ("window", "low", "high")))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hit], ["doc_id", "start", "end", "other"])
+
+
+def _across(batches):
+    """The last suffix of a partition against the first of the next."""
+    for batch in batches:
+        if batch.num_rows:
+            column = lambda c: np.stack([batch.column(f"{c}_{s}").to_numpy() for s in "xy"], 1).ravel()
+            texts = lambda c: _words([v for pair in zip(batch.column(f"{c}_x").to_pylist(), batch.column(f"{c}_y").to_pylist()) for v in pair])
+            key, doc, place, after, before = column("key"), column("doc_id"), column("place"), texts("after"), texts("before")
+            for k in range(0, len(key), 2):
+                two = slice(k, k + 2)
+                hit = compared(key[two], after[two], before[two], doc[two], place[two])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hit], ["doc_id", "start", "end", "other"])
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other of every retained suffix's matches; positions in words, end exclusive."""
     spark = docs.sparkSession
@@ -184,49 +281,19 @@ def matches(docs: DataFrame) -> DataFrame:
     # Written before the join: both sides are then exchanged for it, and a key of a third of all suffixes can be split.
     often = stored(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     found = stored(_with_context(docs, every.join(often, "key").select("key", "doc_id", "place")))
-    order = ["key", "after", "before", "doc_id", "place"]
     tasks = max(spark.sparkContext.defaultParallelism, -(-found.count() // PARTITION_ROWS))
-    ordered = found.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    names = ["doc_id", "start", "end", "other", "border", "key", "after", "before", "place", "window"]
-    schema = "doc_id long, start long, end long, other long, border long, key long, after binary, before binary, place long, window long"
-
-    def rows(count, **columns):
-        empty = {"after": pa.binary(), "before": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(count, empty.get(c, pa.int64())) for c in names], names)
-
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        key, doc, place = (table.column(c).to_numpy() for c in ("key", "doc_id", "place"))
-        after, before = _words(table.column("after").to_pylist()), _words(table.column("before").to_pylist())
-        hit = compared(key, after, before, doc, place)
-        yield rows(len(hit[0]), **dict(zip(names, hit)))
-        hashes, edge = windows(key, after, before), (key == key[0]) | (key == key[-1])
-        if not edge.all():
-            hit = shared_windows(hashes[~edge], doc[~edge], place[~edge])
-            yield rows(len(hit[0]), **dict(zip(names, hit)))
-        own = np.flatnonzero(edge)
-        for k in range(SPREAD):
-            at = own[hashes[own, k] != 0]
-            yield rows(len(at), doc_id=doc[at], start=place[at] - k, end=place[at] - k + LEAST, window=hashes[at, k])
-        ends = table.take(pa.array([0, table.num_rows - 1])).combine_chunks().to_batches()[0]
-        at, none = TaskContext.get().partitionId(), pa.nulls(2, pa.int64())
-        yield pa.RecordBatch.from_arrays([ends.column("doc_id"), none, none, none, pa.array([2 * at, 2 * at + 1], pa.int64()), ends.column("key"), ends.column("after"), ends.column("before"), ends.column("place"), none], names)
-
-    out = stored(ordered.mapInArrow(run, schema))
-    open_ = out.where("window IS NOT NULL").select("window", "doc_id", "start", "end")
-    held = stored(open_.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"))
-    closed = open_.join(held, "window").select("doc_id", "start", "end", F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high")).alias("other"))
-    inside = out.where("border IS NULL AND window IS NULL").select("doc_id", "start", "end", "other").union(closed)
-    ends = out.where("border IS NOT NULL").orderBy("border").collect()  # two rows for each partition
-    if not ends:
-        return inside
-    hit = compared(np.array([r["key"] for r in ends]), _words([bytes(r["after"]) for r in ends]), _words([bytes(r["before"]) for r in ends]),
-                   np.array([r["doc_id"] for r in ends]), np.array([r["place"] for r in ends]))
-    more = [tuple(int(v) for v in row) for row in zip(*hit)]
-    return inside.union(spark.createDataFrame(more, "doc_id long, start long, end long, other long")) if more else inside
+    ordered = found.repartitionByRange(tasks, *_ORDER).sortWithinPartitions(*_ORDER)
+    out = stored(ordered.mapInArrow(_inside, ", ".join(f"{c} {'binary' if t == pa.binary() else 'long'}" for c, t in _MADE.items())))
+    of = lambda kind: out.where(F.col("kind") == kind)
+    match = "doc_id long, start long, end long, other long"
+    seen = of(_WINDOW).select("window", "part", F.col("doc_id").alias("low"), F.col("other").alias("high"))
+    shared = stored(seen.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high"))
+    back = seen.select("window", "part").join(shared, "window").select(F.lit(_WINDOW).cast("long").alias("kind"), "part", "window", "low", "high")
+    both = back.unionByName(of(_OPEN).select("kind", "part", *_ORDER), allowMissingColumns=True)
+    outer = both.repartition(tasks, "part").mapInArrow(_outer, match)
+    ends = lambda kind, side, part: of(kind).select(part.alias("part"), *[F.col(c).alias(f"{c}_{side}") for c in _ORDER])
+    across = ends(_LAST, "x", F.col("part") + 1).join(ends(_FIRST, "y", F.col("part")), "part").drop("part").mapInArrow(_across, match)
+    return of(_MATCH).select("doc_id", "start", "end", "other").unionByName(outer).unionByName(across)
 
 
 def spans(docs: DataFrame) -> DataFrame:
