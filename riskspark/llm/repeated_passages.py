@@ -167,7 +167,10 @@ def _grouped(hashes, doc) -> tuple[np.ndarray, ...]:
 
 
 def _ends(doc, place, columns) -> tuple[np.ndarray, ...]:
-    """Doc, start, end, other doc of the first and the last shared window of each suffix; `columns` gives each k its rows and their other documents."""
+    """Doc, start, end, other doc of what the first and the last shared window of each suffix cover; they always overlap.
+
+    `columns` gives each k its rows and their other documents. A suffix has two rows only if those windows name two others.
+    """
     n = len(doc)
     first, last = np.full(n, SPREAD), np.full(n, -1)
     other = np.zeros((2, n), np.int64)
@@ -175,9 +178,9 @@ def _ends(doc, place, columns) -> tuple[np.ndarray, ...]:
         new = last[at] < 0
         first[at[new]], other[0, at[new]] = k, beside[new]
         last[at], other[1, at] = k, beside
-    got, more = np.flatnonzero(last >= 0), np.flatnonzero(last > first)
-    at, k, beside = np.concatenate([got, more]), np.concatenate([last[got], first[more]]), np.concatenate([other[1, got], other[0, more]])
-    return doc[at], place[at] - k, place[at] - k + LEAST, beside
+    got, more = np.flatnonzero(last >= 0), np.flatnonzero((last >= 0) & (other[0] != other[1]))
+    at, beside = np.concatenate([got, more]), np.concatenate([other[1, got], other[0, more]])
+    return doc[at], place[at] - last[at], place[at] - first[at] + LEAST, beside
 
 
 def shared_windows(hashes, doc, place) -> tuple[np.ndarray, ...]:
@@ -245,9 +248,15 @@ def _inside(batches):
             yield _rows(kind, part, own.num_rows, **{c: own.column(c) for c in _ORDER})
 
 
-def _outer(batches):
-    """Matches of the suffixes of outer keys, from the shared windows that came back to their partition."""
-    held = [b for b in batches if b.num_rows]
+def _completed(batches):
+    """All matches by windows and neighbours: those made inside a partition as they are, and those of its outer keys
+    from the shared windows that came back."""
+    names = ["doc_id", "start", "end", "other"]
+    held = []
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        yield batch.filter(pa.array(kinds == _MATCH)).select(names)
+        held += [batch.filter(pa.array(kinds != _MATCH))] if (kinds != _MATCH).any() else []
     if not held:
         return
     table = pa.Table.from_batches(held).combine_chunks()
@@ -257,8 +266,8 @@ def _outer(batches):
         if back.num_rows and own.num_rows:
             key, doc, place = (own.column(c).to_numpy() for c in ("key", "doc_id", "place"))
             hashes = windows(key, _words(own.column("after").to_pylist()), _words(own.column("before").to_pylist()))
-            hit = known_windows(hashes, doc, place, *(back.column(c).to_numpy() for c in ("window", "low", "high")))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hit], ["doc_id", "start", "end", "other"])
+            hit = known_windows(hashes, doc, place, *(back.column(c).to_numpy() for c in ("window", "doc_id", "other")))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hit], names)
 
 
 def _across(batches):
@@ -288,12 +297,13 @@ def matches(docs: DataFrame) -> DataFrame:
     match = "doc_id long, start long, end long, other long"
     seen = of(_WINDOW).select("window", "part", F.col("doc_id").alias("low"), F.col("other").alias("high"))
     shared = stored(seen.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high"))
-    back = seen.select("window", "part").join(shared, "window").select(F.lit(_WINDOW).cast("long").alias("kind"), "part", "window", "low", "high")
-    both = back.unionByName(of(_OPEN).select("kind", "part", *_ORDER), allowMissingColumns=True)
-    outer = both.repartition(tasks, "part").mapInArrow(_outer, match)
+    back = seen.select("window", "part").join(shared, "window").select(
+        F.lit(_WINDOW).cast("long").alias("kind"), "part", F.col("low").alias("doc_id"), F.col("high").alias("other"), "window")
+    outer = back.unionByName(of(_OPEN).select("kind", "part", *_ORDER), allowMissingColumns=True).repartition(tasks, "part")
+    done = of(_MATCH).unionByName(outer, allowMissingColumns=True).mapInArrow(_completed, match)
     ends = lambda kind, side, part: of(kind).select(part.alias("part"), *[F.col(c).alias(f"{c}_{side}") for c in _ORDER])
     across = ends(_LAST, "x", F.col("part") + 1).join(ends(_FIRST, "y", F.col("part")), "part").drop("part").mapInArrow(_across, match)
-    return of(_MATCH).select("doc_id", "start", "end", "other").unionByName(outer).unionByName(across)
+    return done.unionByName(across)
 
 
 def spans(docs: DataFrame) -> DataFrame:
