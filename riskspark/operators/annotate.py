@@ -32,6 +32,10 @@ NARRATIVE_FIELDS = ("account_id long, nps_score double, verbatim_comment string,
 REPLY_FIELDS = ("sentiment_score string, risk_flags array<string>, positive_signals array<string>, "
                 "key_stakeholder_concern string, recommended_action string")
 
+# What became of a call: 'ok', or 'failed' with the error's type and text. Fallback answers are never 'ok'.
+OUTCOME = "call_status string, call_error string"
+ERROR_CHARS = 500
+
 Annotator = Callable[[dict], dict]
 
 
@@ -49,19 +53,42 @@ def annotate(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], out_sche
 
 def row_annotator(fn: Annotator, failed: Annotator, columns: list[str],
                   keys: list[str] = ["account_id"]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Batch function from a per-row one; a row whose call raises gets `failed` instead. `keys` stay as they are."""
+    """Batch function from a per-row one. `keys` stay as they are.
+
+    A row whose call raises, or returns no dictionary, gets `failed` instead and says so in the outcome columns.
+    """
+    names = [*columns, *_columns(OUTCOME)]
+
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in batch.to_dict("records"):
-            try:
-                result = fn(row)
-            except Exception:
+            result, outcome = called(fn, row)
+            if outcome["call_error"] is not None:
                 result = failed(row)
-            out.append({c: row[c] if c in keys else result.get(c) for c in columns})
-        return pd.DataFrame(out, columns=columns)
+            out.append({c: row[c] if c in keys else result.get(c) for c in columns} | outcome)
+        return pd.DataFrame(out, columns=names)
     return run
 
 
+def called(fn: Annotator, row: dict) -> tuple[dict, dict]:
+    """The answer of one call and its outcome."""
+    try:
+        result = fn(row)
+        if not isinstance(result, dict):
+            raise TypeError(f"expected a dictionary, got {type(result).__name__}")
+    except Exception as error:
+        return {}, {"call_status": "failed", "call_error": f"{type(error).__name__}: {error}"[:ERROR_CHARS]}
+    return result, {"call_status": "ok", "call_error": None}
+
+
+def _settled(rows: DataFrame, outcomes: bool) -> DataFrame:
+    """With outcome columns, 'ok' where the built-in rules answered; or without any."""
+    if not outcomes:
+        return rows.drop(*_columns(OUTCOME))
+    return rows if "call_status" in rows.columns else rows.withColumns(
+        {"call_status": F.lit("ok"), "call_error": F.lit(None).cast("string")})
+
+
 def _columns(fields: str) -> list[str]:
     return [f.split()[0] for f in fields.split(", ")]
 
@@ -69,8 +96,8 @@ def _columns(fields: str) -> list[str]:
 # --- notes -------------------------------------------------------------------
 
 def annotate_notes(accounts: DataFrame, notes: DataFrame, fn: Annotator | None = None,
-                   notes_per_call: int = NOTES_PER_CALL) -> DataFrame:
-    """Signals per account with notes, by the rules or by `fn`.
+                   notes_per_call: int = NOTES_PER_CALL, outcomes: bool = False) -> DataFrame:
+    """Signals per account with notes, by the rules or by `fn`; with `outcomes`, also what became of the calls.
 
     `fn` sees rows (account_id, chunk_no, csm_notes_raw): every account's notes in order, in lists
     of `notes_per_call`, the last one shorter. `merge_note_calls` makes one row of its answers.
@@ -78,17 +105,20 @@ def annotate_notes(accounts: DataFrame, notes: DataFrame, fn: Annotator | None =
     """
     ours = owned(notes, accounts)
     if fn is None:
-        return note_signals(ours).select(*_columns(NOTE_FIELDS))
+        return _settled(note_signals(ours).select(*_columns(NOTE_FIELDS)), outcomes)
     neutral = lambda row: {"csm_sentiment_score": NEUTRAL_SENTIMENT, "risk_flags": [], "positive_signals": []}
     calls = chunked(ours, "account_id", "note_pos", "raw_text", "csm_notes_raw", notes_per_call).withColumn(
         "notes", F.size("csm_notes_raw").cast("long"))
-    return merge_note_calls(annotate(calls, row_annotator(
-        fn, neutral, _columns(NOTE_CALL_FIELDS), ["account_id", "chunk_no", "notes"]), NOTE_CALL_FIELDS))
+    answers = annotate(calls, row_annotator(fn, neutral, _columns(NOTE_CALL_FIELDS), ["account_id", "chunk_no", "notes"]),
+                       f"{NOTE_CALL_FIELDS}, {OUTCOME}")
+    return merge_note_calls(answers, outcomes)
 
 
-def merge_note_calls(calls: DataFrame) -> DataFrame:
+def merge_note_calls(calls: DataFrame, outcomes: bool = False) -> DataFrame:
     """One row per account: mean score weighted by notes, distinct labels in order, first concern and first action.
 
+    With `outcomes` the account's status is 'failed' if any of its calls failed, with the first of their errors.
+
     An answer without a score counts for nothing in the mean. Labels are made distinct by a mergeable
     aggregation before any list is built; the answers are read once.
     """
@@ -103,7 +133,8 @@ def merge_note_calls(calls: DataFrame) -> DataFrame:
         labels("flag", "risk_flags"), labels("positive", "positive_signals"),
         F.array(part("concern", F.col("key_stakeholder_concern"), place(first), none, number),
                 part("action", F.col("csm_recommended_action"), place(first), none, number),
-                part("score", score.cast("string"), place(first), score, F.when(score.isNotNull(), F.col("notes")))))
+                part("score", score.cast("string"), place(first), score, F.when(score.isNotNull(), F.col("notes"))),
+                part("error", F.col("call_error") if "call_error" in calls.columns else F.lit(None).cast("string"), place(first), none, number)))
     merged = calls.select("account_id", F.inline(parts)).groupBy("account_id", "kind", "value").agg(
         F.min("at").alias("at"), F.first("score").alias("score"), F.sum("weight").alias("weight"))
     known = F.col("value").isNotNull()
@@ -111,10 +142,12 @@ def merge_note_calls(calls: DataFrame) -> DataFrame:
     listed = lambda kind: F.array_sort(F.collect_list(only(kind, F.struct("at", "value"))))["value"]
     early = lambda kind: F.min(only(kind, F.struct("at", "value")))["value"]
     mean = F.round(F.sum(F.col("score") * F.col("weight")) / F.sum(F.when(F.col("score").isNotNull(), F.col("weight"))), 4)
-    return merged.groupBy("account_id").agg(
+    rows = merged.groupBy("account_id").agg(
         F.when(F.min("score") == F.max("score"), F.min("score")).otherwise(mean).alias("csm_sentiment_score"),
         listed("flag").alias("risk_flags"), listed("positive").alias("positive_signals"),
-        early("concern").alias("key_stakeholder_concern"), early("action").alias("csm_recommended_action"))
+        early("concern").alias("key_stakeholder_concern"), early("action").alias("csm_recommended_action"),
+        F.when(early("error").isNull(), "ok").otherwise("failed").alias("call_status"), early("error").alias("call_error"))
+    return _settled(rows, outcomes)
 
 
 def notes_from_replies(replies: DataFrame) -> DataFrame:
@@ -170,10 +203,10 @@ def non_english(accounts: DataFrame) -> DataFrame:
     return accounts.where(F.coalesce("has_non_english", F.lit(False)))
 
 
-def annotate_nps(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
+def annotate_nps(accounts: DataFrame, fn: Annotator | None = None, outcomes: bool = False) -> DataFrame:
     """One annotation per distinct response (account, score, comment) of the given rows.
 
-    By default the comment itself, language unknown; `fn` sees the response.
+    By default the comment itself, language unknown; `fn` sees the response. With `outcomes`, also what became of the call.
     """
     responses = accounts.select(*RESPONSE).distinct()
     comment = F.coalesce("verbatim_comment", F.lit(""))
@@ -184,11 +217,11 @@ def annotate_nps(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
         empty_list().alias("nps_key_themes"), F.lit("consistent").alias("sentiment_alignment"),
         F.lit("").alias("alignment_note"), blank.alias("_blank"))
     if fn is None:
-        return defaults.drop("_blank")
+        return _settled(defaults.drop("_blank"), outcomes)
     failed = lambda row: {"english_translation": row["verbatim_comment"], "detected_language": "unknown",
                           "nps_key_themes": [], "sentiment_alignment": "consistent", "alignment_note": ""}
-    called = annotate(responses.where(~blank), row_annotator(fn, failed, _columns(NPS_FIELDS), RESPONSE), NPS_FIELDS)
-    return called.unionByName(defaults.where("_blank").drop("_blank"))
+    answers = annotate(responses.where(~blank), row_annotator(fn, failed, _columns(NPS_FIELDS), RESPONSE), f"{NPS_FIELDS}, {OUTCOME}")
+    return _settled(answers.unionByName(_settled(defaults.where("_blank").drop("_blank"), True)), outcomes)
 
 
 # --- account narratives ---------------------------------------------------------
@@ -204,18 +237,21 @@ def translate(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
         defaults["detected_language"])})
 
 
-def annotate_accounts(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
-    """A narrative per High or Medium response row; `fn` sees the briefing and the flat columns."""
+def annotate_accounts(accounts: DataFrame, fn: Annotator | None = None, outcomes: bool = False) -> DataFrame:
+    """A narrative per High or Medium response row; `fn` sees the briefing and the flat columns.
+
+    With `outcomes`, also what became of the call.
+    """
     targets = actionable(accounts).dropDuplicates(RESPONSE)
     if fn is None:
-        return with_narrative(targets).select(*_columns(NARRATIVE_FIELDS))
+        return _settled(with_narrative(targets).select(*_columns(NARRATIVE_FIELDS)), outcomes)
     failed = lambda row: {
         "narrative_summary": f"narrative generation failed, risk score {row['risk_score']:.2f}",
         "narrative_risk_drivers": list(row["risk_flags"]) if row.get("risk_flags") is not None else [],
         "narrative_actions": ["Review account signals manually"],
         "narrative_urgency": f"Contract ends {row['contract_end_date']}."}
-    return annotate(targets.drop("signals", "signal_breakdown"),
-                    row_annotator(fn, failed, _columns(NARRATIVE_FIELDS), RESPONSE), NARRATIVE_FIELDS)
+    return _settled(annotate(targets.drop("signals", "signal_breakdown"), row_annotator(fn, failed, _columns(NARRATIVE_FIELDS), RESPONSE),
+                             f"{NARRATIVE_FIELDS}, {OUTCOME}"), outcomes)
 
 
 def narrate(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
@@ -304,25 +340,29 @@ def portfolio_lines(accounts: DataFrame) -> DataFrame:
     return top.agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("portfolio_text"))
 
 
-def annotate_portfolio(accounts: DataFrame, fn: Annotator | None = None) -> DataFrame:
-    """Insight rows. `fn` gets totals plus `portfolio_text` and returns {"insights": [...]}"""
+def annotate_portfolio(accounts: DataFrame, fn: Annotator | None = None, outcomes: bool = False) -> DataFrame:
+    """Insight rows. `fn` gets totals plus `portfolio_text` and returns {"insights": [...]}.
+
+    A failed call gives no insight; with `outcomes` a call without an insight gives one row that only has its outcome.
+    """
     if fn is None:
-        return portfolio_insights(accounts)
+        return _settled(portfolio_insights(accounts), outcomes)
     parts = tier_totals(accounts).unionByName(portfolio_lines(accounts), allowMissingColumns=True)
     facts = parts.agg(*[F.max(c).alias(c) for c in parts.columns])  # one row from two one-row frames
 
+    columns = ["title", "observation", "why_non_obvious", "action", "affected_accounts"]
+
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        columns = ["title", "observation", "why_non_obvious", "action", "affected_accounts"]
         found = []
         for row in batch.to_dict("records"):
-            try:
-                found += fn(row).get("insights", [])
-            except Exception:
-                continue
-        return pd.DataFrame([{c: i.get(c) for c in columns} for i in found], columns=columns)
-
-    return annotate(facts, run, "title string, observation string, why_non_obvious string, "
-                                "action string, affected_accounts array<string>", 1)
+            result, outcome = called(fn, row)
+            items = result.get("insights") or []
+            none = [dict.fromkeys(columns) | outcome] if outcomes else []
+            found += [{c: i.get(c) for c in columns} | outcome for i in items] or none
+        return pd.DataFrame(found, columns=[*columns, *_columns(OUTCOME)])
+
+    rows = annotate(facts, run, f"title string, observation string, why_non_obvious string, action string, affected_accounts array<string>, {OUTCOME}", 1)
+    return _settled(rows, outcomes)
 
 
 # --- everything ------------------------------------------------------------------

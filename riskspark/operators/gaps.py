@@ -1,6 +1,6 @@
 """Find what a report still lacks, fill only that, and keep the progress."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import is_real_narrative
@@ -15,6 +15,7 @@ from riskspark.scratch import holds_files, stored
 
 STEPS = ("notes", "comments", "narratives")
 CALL_BATCHES = 8
+CALL_ATTEMPTS = 5
 
 
 def _lacks(items: str) -> Column:
@@ -51,59 +52,79 @@ def report_audit(report: DataFrame, insights: DataFrame, rows: int = 8) -> DataF
         (~_lacks("risk_flags")).alias("has_flags"), _any(insights).alias("has_insights"))
 
 
-def _resumed(todo: DataFrame, path: str | None, step: str, keys: list[str], batches: int, work) -> DataFrame:
-    """Run `work` for the keys and inputs `path` does not hold yet, append, and return all for `todo`.
+def _best_answer(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and input: an answer that came if there is one, else the last fallback. Mergeable, so skew-safe."""
+    rest = [c for c in rows.columns if c not in keys]
+    worth = F.struct((F.col("call_status") == "ok").alias("ok"), F.col("attempt").alias("attempt"))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), worth).alias("_r")).select(*keys, "_r.*")
 
-    Results are keyed by row key and input hash: a retried or repeated run adds nothing twice
-    and a row whose input changed is done again. Each of the `batches` is stored when it is done,
-    so a run that fails later loses one batch of calls.
+
+def _resumed(todo: DataFrame, path: str | None, step: str, keys: list[str], batches: int, attempts: int, work) -> DataFrame:
+    """Run `work` for the keys and inputs that `path` has no answer for, append, and return all for `todo`.
+
+    Rows are keyed by row key and input hash and carry their outcome and the number of the attempt, so one append
+    stores both an answer and what became of its call. Only 'ok' is done; failed calls are made again at the next run
+    until there were `attempts` of them. A repeated run adds nothing, and a row whose input changed is done again. Each of the
+    `batches` is stored when it is done, so a run that is stopped later loses one batch of calls.
     """
     if path is None:
-        return work(todo).drop("_input")
+        return work(todo).drop("_input", "call_status", "call_error")
     spark, folder = todo.sparkSession, f"{path}/{step}"
-    done_keys = [F.col(k).alias(f"_key_{k}") for k in [*keys, "_input"]]
-    wanted = todo.select(*keys, "_input").distinct()
-    missing = todo
+    named = [*keys, "_input"]
+    done_keys = [F.col(k).alias(f"_key_{k}") for k in named]
+    wanted = todo.select(*named).distinct()
+    missing = todo.withColumn("_tried", F.lit(0))
     if holds_files(spark, folder):
-        done = spark.read.parquet(folder).select(*done_keys)
-        missing = todo.join(done, same_keys([*keys, "_input"]), "left_anti")
+        past = spark.read.parquet(folder).groupBy(*named).agg(
+            F.max("attempt").alias("_made"), F.bool_or(F.col("call_status") == "ok").alias("_ok")).select(*done_keys, "_made", "_ok")
+        tried = todo.join(past, same_keys(named), "left")
+        missing = (tried.where(~F.coalesce("_ok", F.lit(False)) & (F.coalesce("_made", F.lit(0)) < attempts))
+                   .withColumn("_tried", F.coalesce("_made", F.lit(0))).select(*todo.columns, "_tried"))
     missing = stored(missing) if batches > 1 else missing
     for batch in range(batches):
         part = missing if batches == 1 else missing.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == batch)
-        inputs = part.select(*done_keys).distinct()
-        fresh = work(part).drop("_input").join(inputs, same_keys(keys)).withColumnRenamed("_key__input", "_input")
+        inputs = part.select(*done_keys, (F.col("_tried") + 1).alias("attempt")).distinct()
+        fresh = work(part.drop("_tried")).drop("_input").join(inputs, same_keys(keys)).withColumnRenamed("_key__input", "_input")
         fresh = fresh.drop(*[f"_key_{k}" for k in keys])
         fresh.write.mode("append").parquet(folder)
-    return (spark.read.schema(fresh.schema).parquet(folder)
-            .join(wanted.select(*done_keys), same_keys([*keys, "_input"]), "left_semi").dropDuplicates(keys).drop("_input"))
+    known = spark.read.schema(fresh.schema).parquet(folder).join(wanted.select(*done_keys), same_keys(named), "left_semi")
+    return _best_answer(known, keys).drop("_input", "attempt", "call_status", "call_error")
+
+
+def call_ledger(spark: SparkSession, progress: str, step: str) -> DataFrame:
+    """Every call that a progress folder knows of one step: key, input hash, attempt, call_status, call_error."""
+    rows = spark.read.parquet(f"{progress}/{step}")
+    keys = ["account_id"] if step == STEPS[0] else RESPONSE
+    return rows.select(*keys, F.col("_input").alias("input"), "attempt", "call_status", "call_error")
 
 
 def enrich_missing(report: DataFrame, notes: DataFrame, progress: str | None = None,
                    note_fn: Annotator | None = None, nps_fn: Annotator | None = None,
-                   account_fn: Annotator | None = None) -> DataFrame:
+                   account_fn: Annotator | None = None, attempts: int = CALL_ATTEMPTS) -> DataFrame:
     """Fill the gaps of a report; narratives see fresh flags and fresh scores.
 
-    `progress` names a folder for finished annotations, so an interrupted run resumes.
+    `progress` names a folder for finished annotations, so an interrupted run resumes. A failed call is made again at the next
+    runs over that folder, `attempts` times in all; `call_ledger` shows what became of each.
     """
     def fill(rows: DataFrame, need: str, step: str, defaults: dict, keys: list[str], inputs: list[str], fn, work) -> DataFrame:
         todo = with_gaps(rows).where(need).withColumn("_input", F.xxhash64(*inputs)).dropDuplicates(keys)
-        found = _resumed(todo, progress, step, keys, CALL_BATCHES if fn else 1, work)
+        found = _resumed(todo, progress, step, keys, CALL_BATCHES if fn else 1, attempts, work)
         return upsert_by_id(rows, found, list(defaults), keys)
 
     # Independent of the order in which notes are read, and changed by any text or place.
     seen = notes.groupBy("account_id").agg(F.sum(F.xxhash64("note_pos", "raw_text").cast("decimal(38,0)")).alias("_notes"))
     report = report.join(seen, "account_id", "left")
     rows = fill(report, "needs_notes", STEPS[0], NOTE_DEFAULTS(), ["account_id"], ["account_id", "note_count", "_notes"],
-                note_fn, lambda t: annotate_notes(t, notes, note_fn))
+                note_fn, lambda t: annotate_notes(t, notes, note_fn, outcomes=True))
     rows = fill(rows, "needs_translation", STEPS[1], NPS_DEFAULTS(), RESPONSE, ["verbatim_comment", "nps_score"],
-                nps_fn, lambda t: annotate_nps(t, nps_fn))
+                nps_fn, lambda t: annotate_nps(t, nps_fn, outcomes=True))
     rows = score_accounts(rows)
 
     def narratives(todo: DataFrame) -> DataFrame:
         # every gap is filled here, Low rows too
         if account_fn is None:
-            return with_narrative(todo).select(*RESPONSE, *NARRATIVE_DEFAULTS())
-        return annotate_accounts(with_briefing(todo.withColumn("risk_tier", F.lit("High")), notes), account_fn)
+            return with_narrative(todo).select(*RESPONSE, *NARRATIVE_DEFAULTS(), F.lit("ok").alias("call_status"), F.lit(None).cast("string").alias("call_error"))
+        return annotate_accounts(with_briefing(todo.withColumn("risk_tier", F.lit("High")), notes), account_fn, outcomes=True)
 
     return fill(rows, "needs_narrative", STEPS[2], NARRATIVE_DEFAULTS(), RESPONSE,
                 ["risk_score", "risk_flags", "positive_signals", "days_to_renewal", "_notes"],

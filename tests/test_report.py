@@ -11,6 +11,7 @@ from riskspark.functions.text import is_real_narrative
 from riskspark.operators import annotate as A
 from riskspark.operators import gaps, insights, portfolio
 from riskspark.plans import renewals
+from riskspark.scratch import stored
 from riskspark.sources import report, standins, tables
 
 REF = standins.REF
@@ -145,6 +146,55 @@ def test_gap_fill_resumes(spark, bundle, due, tmp_path):
     assert fill() == first and calls.value == used  # nothing is asked twice
 
 
+def test_failed_calls_are_made_again(spark, bundle, due, tmp_path, monkeypatch):
+    """A function that fails at first and answers later; answers stay, failures leave a trace and are tried again."""
+    monkeypatch.setattr(gaps, "CALL_BATCHES", 2)
+    report_rows = stored(A.analyse(due, bundle.notes).withColumn("narrative_summary", F.lit("")))
+    notes = stored(bundle.notes)
+    folder = str(tmp_path / "progress")
+
+    def down(row):
+        raise ConnectionError("no route")
+
+    def half(row):
+        return {"narrative_summary": f"answer {row['account_id']}"} if row["account_id"] % 2 else None
+
+    fill = lambda fn, **more: {r["account_id"]: r["narrative_summary"] for r in gaps.enrich_missing(
+        report_rows, notes, folder, account_fn=fn, **more).collect()}
+    ledger = lambda: {(r["account_id"], r["attempt"]): (r["call_status"], r["call_error"]) for r in gaps.call_ledger(spark, folder, "narratives").collect()}
+    first = fill(down)
+    assert len(first) > 4 and all("narrative generation failed" in t for t in first.values())
+    assert ledger() == {(a, 1): ("failed", "ConnectionError: no route") for a in first}
+    second = fill(half)
+    assert all((t == f"answer {a}") == (a % 2 == 1) for a, t in second.items())
+    calls = ledger()
+    assert all(calls[a, 2] == (("ok", None) if a % 2 else ("failed", "TypeError: expected a dictionary, got NoneType")) for a in first)
+    assert fill(down, attempts=2) == second and ledger() == calls  # enough attempts; answers are never asked for again
+    last = fill(lambda row: {"narrative_summary": "late"})
+    assert all(t == (f"answer {a}" if a % 2 else "late") for a, t in last.items())
+    assert set(ledger()) - set(calls) == {(a, 3) for a in first if a % 2 == 0}
+
+
+def test_outcomes_of_every_annotator(spark, due):
+    def odd(row):
+        if row["account_id"] % 2:
+            raise ValueError("odd")
+        return {}
+
+    accounts = spark.createDataFrame([(1,), (2,)], "account_id long")
+    notes = spark.createDataFrame([(a, p, "x") for a in (1, 2) for p in range(3)], "account_id long, note_pos long, raw_text string")
+    status = lambda df: {r["account_id"]: (r["call_status"], r["call_error"]) for r in df.collect()}
+    want = {1: ("failed", "ValueError: odd"), 2: ("ok", None)}
+    assert status(A.annotate_notes(accounts, notes, odd, 2, outcomes=True)) == want
+    assert set(status(A.annotate_notes(accounts, notes, outcomes=True)).values()) == {("ok", None)}
+    responses = accounts.withColumns({"nps_score": F.lit(1.0), "verbatim_comment": F.lit("bien")})
+    assert status(A.annotate_nps(responses, odd, outcomes=True)) == want
+    blank = A.annotate_nps(responses.withColumn("verbatim_comment", F.lit(" ")), odd, outcomes=True)
+    assert set(status(blank).values()) == {("ok", None)}
+    failed = A.annotate_portfolio(due, lambda facts: 1 / 0, outcomes=True).collect()
+    assert [(r["title"], r["call_status"], r["call_error"]) for r in failed] == [(None, "failed", "ZeroDivisionError: division by zero")]
+
+
 def test_report_round_trip(spark, bundle, due, tmp_path):
     path = str(tmp_path / "report")
     renewals.run_report(bundle, path)
