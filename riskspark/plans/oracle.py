@@ -234,6 +234,11 @@ ORACLE = {
     "a2_scan_usage": "SELECT account_id, month, api_calls, content_entries_created, active_users, workflows_triggered, sdk_version FROM v_usage",
     "a3_scan_tickets": "SELECT * EXCLUDE (resolution_time_hours), CASE WHEN ticket_id % 10 <> 0 THEN resolution_time_hours END AS resolution_time_hours FROM v_tickets",
     "a4_scan_nps": "SELECT account_id, score, replace(verbatim_comment, chr(10), ' ') AS verbatim_comment FROM v_nps",
+    "a1_sift_accounts": """SELECT CASE WHEN reason IS NULL THEN account_id END AS account_id, reason, CASE WHEN reason IS NOT NULL THEN regexp_extract(account_name, '(Firm[0-9]+)', 1)
+  ELSE concat_ws('|', account_id, account_name, arr, contract_end_date, plan_tier, industry, csm_name, region) END AS detail
+FROM (SELECT *, CASE account_id % 50 WHEN 7 THEN 'malformed account_id' WHEN 9 THEN 'missing account_id' WHEN 11 THEN 'malformed contract_end_date' WHEN 17 THEN 'malformed arr' END AS reason FROM v_accounts)""",
+    "a4_sift_nps": """SELECT CASE WHEN account_id % 20 <> 3 THEN account_id END AS account_id, CASE WHEN account_id % 20 = 3 THEN 'malformed account_id' END AS reason,
+  CASE WHEN account_id % 20 = 3 THEN concat('c', account_id) ELSE concat_ws('|', account_id, CASE WHEN account_id % 20 <> 5 THEN CAST(score AS VARCHAR) END, concat('c', account_id)) END AS detail FROM v_nps""",
     "a5_scan_note_blocks": f"SELECT row_number() OVER (ORDER BY note_pos) - 1 AS note_pos, regexp_replace(raw_text, {WS}, '', 'g') AS raw_text FROM v_notes",
     "a6_sdk_policy_table": f"""SELECT DISTINCT sdk_version, {sdk_case('sdk_version')} AS sdk_risk_score,
       CASE WHEN starts_with(sdk_version, 'v3') THEN 'SDK v3.x (SUNSET)' WHEN sdk_version IN ('v4.0.0', 'v4.1.0') THEN 'SDK v4.0/v4.1'

@@ -13,7 +13,7 @@ from riskspark.operators import narrative as N
 from riskspark.operators import resolve, tickets
 from riskspark.plans import renewals
 from riskspark.scratch import scratch_dir, stored
-from riskspark.sources import policy, report, tables
+from riskspark.sources import policy, rejects, report, tables
 from riskspark.sources.notes import scan_note_blocks
 from riskspark.sources.standins import REF, raw, standin, standin_tables
 
@@ -88,6 +88,35 @@ def a4_scan_nps(spark, sf):
     return tables.scan_nps(spark, written_csv(spark, rows))
 
 
+def sifted(spark, sf, source, rows, reason) -> DataFrame:
+    """A source written with malformed records, read in two parts: good rows and what each rejected record lacked."""
+    path = scratch_dir(spark)
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    part = rejects.sift(spark, source, path)
+    named = part.rejects.select(F.lit(None).cast("long").alias("account_id"), "reason", F.regexp_extract("record", reason, 1).alias("detail"))
+    return part.rows.select("account_id", F.lit(None).cast("string").alias("reason"), F.concat_ws("|", *part.rows.columns).alias("detail")).unionByName(named)
+
+
+@query
+def a1_sift_accounts(spark, sf):
+    at = F.col("account_id") % 50
+    rows = standin(spark, sf, "v_accounts").select(
+        F.when(at == 7, F.concat(F.lit("id"), "account_id")).when(at != 9, F.col("account_id").cast("string")).alias("account_id"), "account_name",
+        F.when(at == 17, "much").otherwise(F.col("arr").cast("string")).alias("arr"),
+        F.when(at == 11, "2001-13-45").otherwise(F.col("contract_end_date").cast("string")).alias("contract_end_date"),
+        "plan_tier", "industry", "csm_name", "region")
+    return sifted(spark, sf, "accounts", rows, r"(Firm\d+)")
+
+
+@query
+def a4_sift_nps(spark, sf):
+    at = F.col("account_id") % 20
+    rows = standin(spark, sf, "v_nps").select(
+        F.when(at == 3, F.concat("account_id", F.lit("?"))).otherwise(F.col("account_id").cast("string")).alias("account_id"),
+        F.when(at == 5, "none").otherwise(F.col("score").cast("string")).alias("score"), F.concat(F.lit("c"), "account_id").alias("verbatim_comment"))
+    return sifted(spark, sf, "nps", rows, r"(c\d+)")
+
+
 @query
 def a5_scan_note_blocks(spark, sf):
     path = scratch_dir(spark)

@@ -1,9 +1,35 @@
 """Semi-structured note log: free text blocks separated by dashed lines."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import strip
+from riskspark.scratch import stored
+
+# Offsets of more input splits than this (about 100 bytes each) are not broadcast.
+BROADCAST_SPLITS = 200_000
+
+
+def _blocks_before(split: Column, n: Column) -> Column:
+    """Blocks of the records before each one in its input split. Python sees these two numbers only, in the scan's order."""
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        last, done = None, 0  # the split of the last record, and its blocks so far
+        for splits, counts in batches:
+            key, n = splits.to_numpy(), counts.to_numpy()
+            out = np.zeros(len(key), np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+            for start, end in zip(starts, [*starts[1:], len(key)]):
+                sums = np.cumsum(n[start:end]) + (done if key[start] == last else 0)
+                out[start:end] = sums - n[start:end]
+                last, done = key[start], int(sums[-1])
+            yield pd.Series(out)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "long").asNondeterministic()(split, n)
 
 
 def scan_note_blocks(spark: SparkSession, path: str, strip_title: bool = False) -> DataFrame:
@@ -12,24 +38,24 @@ def scan_note_blocks(spark: SparkSession, path: str, strip_title: bool = False)
     Records end at a three-dash line, so one large log is read by many tasks; longer dash
     lines are split afterwards. A block that opens with `===` is dropped, or with
     `strip_title` only loses its title paragraph.
+
+    Positions take two passes and move no text: the first counts the blocks of each input split, which
+    gives every split its first position; the second reads again and numbers the blocks inside a
+    split while it scans it.
     """
+    text = lambda t: strip(F.regexp_replace(strip(t), r"(?s)^===.*?\n\s*\n", "")) if strip_title else strip(t)
     records = (
         spark.read.option("lineSep", "\n---\n").text(path)
         .select("value", F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block_start"))
-        .withColumn("record", F.monotonically_increasing_id()))
-    blocks = records.select(
-        "file", "block_start", "record", F.posexplode(F.split("value", "\n---+\n")).alias("part", "text"))
-    text = strip(F.col("text"))
-    if strip_title:
-        text = strip(F.regexp_replace(text, r"(?s)^===.*?\n\s*\n", ""))
-    blocks = blocks.withColumn("raw_text", text).where("raw_text <> '' AND NOT startswith(raw_text, '===')")
-    # Positions in two steps: rows are numbered inside one input split (bounded by the split
-    # size); only one count per split is numbered across the whole input.
-    in_split = Window.partitionBy("file", "block_start").orderBy("record", "part")
-    across = Window.orderBy("file", "block_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (blocks.groupBy("file", "block_start").agg(F.count(F.lit(1)).alias("n"))
-               .select("file", "block_start", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("offset")))
-    return (blocks.withColumn("rn", F.row_number().over(in_split) - 1)
-            .join(offsets, ["file", "block_start"])
-            .select((F.col("offset") + F.col("rn")).alias("note_pos"), "raw_text"))
+        .withColumn("blocks", F.filter(F.transform(F.split("value", "\n---+\n"), text),
+                                       lambda t: (t != "") & ~F.startswith(t, F.lit("===")))))
+    splits = stored(records.groupBy("file", "block_start").agg(F.sum(F.size("blocks")).alias("n")))
+    across = Window.orderBy("file", "block_start").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    offsets = splits.select("file", "block_start", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("offset"))
+    offsets = F.broadcast(offsets) if splits.count() <= BROADCAST_SPLITS else offsets
+    before = _blocks_before(F.xxhash64("file", "block_start"), F.size("blocks").cast("long"))
+    numbered = records.select("file", "block_start", "blocks", before.alias("before"))
+    return (numbered.join(offsets, ["file", "block_start"])
+            .select((F.col("offset") + F.col("before")).alias("first"), F.posexplode("blocks").alias("i", "raw_text"))
+            .select((F.col("first") + F.col("i")).alias("note_pos"), "raw_text"))

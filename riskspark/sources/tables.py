@@ -10,6 +10,7 @@ from riskspark import schemas
 from riskspark.functions.numeric import nan_to_null
 from riskspark.operators.resolve import resolve_notes
 from riskspark.sources.notes import scan_note_blocks
+from riskspark.sources.rejects import sift, write_rejects
 
 
 def _csv(spark: SparkSession, path: str, schema, multi_line: bool = False) -> DataFrame:
@@ -79,14 +80,27 @@ class Tables:
 
 def load_tables(spark: SparkSession, accounts: str, usage: str, nps: str, notes: str,
                 tickets: str | None = None, reference_date: date | None = None,
-                **promises) -> Tables:
-    """All sources of one folder layout, with notes already matched to accounts."""
-    account_rows = scan_accounts(spark, accounts)
+                rejects: str | None = None, allowed_rejects: float = 0.0, **promises) -> Tables:
+    """All sources of one folder layout, with notes already matched to accounts.
+
+    A malformed record ends the run, unless `rejects` names a folder: then it is written there, and the run only ends
+    where more than the share `allowed_rejects` of a source's records are rejected.
+    """
+    if rejects is None:
+        account_rows, usage_rows, nps_rows = scan_accounts(spark, accounts), scan_usage(spark, usage), scan_nps(spark, nps)
+        ticket_rows = scan_tickets(spark, tickets) if tickets else no_tickets(spark)
+    else:
+        paths = {"accounts": accounts, "usage": usage, "nps": nps} | ({"tickets": tickets} if tickets else {})
+        parts = {source: sift(spark, source, path) for source, path in paths.items()}
+        write_rejects(list(parts.values()), rejects)
+        rows = {source: part.admitted(allowed_rejects) for source, part in parts.items()}
+        account_rows, usage_rows, nps_rows = rows["accounts"], rows["usage"], rows["nps"]
+        ticket_rows = rows.get("tickets", no_tickets(spark))
     return Tables(
         accounts=account_rows,
-        usage=scan_usage(spark, usage),
-        tickets=scan_tickets(spark, tickets) if tickets else no_tickets(spark),
-        nps=scan_nps(spark, nps),
+        usage=usage_rows,
+        tickets=ticket_rows,
+        nps=nps_rows,
         notes=resolve_notes(scan_note_blocks(spark, notes), account_rows),
         reference_date=reference_date or date.today(),
         **promises)
