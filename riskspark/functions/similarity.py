@@ -1,6 +1,7 @@
 """Token-set similarity of two strings, as expressions plus one Arrow-batched helper."""
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,10 +101,8 @@ def _lcs_of_short(short: list[str], short_len: np.ndarray, other: list[str], oth
     return 64 - np.bitwise_count(row).astype(np.int32)
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+def _lcs_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence, pair by pair."""
-    a, b = a.to_numpy(dtype=object), b.to_numpy(dtype=object)
     len_a, len_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
     out = np.zeros(len(a), dtype=np.int32)
     swap = len_a > len_b
@@ -116,11 +115,60 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
             out[rows] = _lcs_of_short(list(short[rows]), n_short[rows], list(other[rows]), n_other[rows])
     for i in np.flatnonzero(n_short > 64):
         out[i] = _lcs(short[i], other[i])
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence, pair by pair."""
+    return pd.Series(_lcs_of(a.to_numpy(dtype=object), b.to_numpy(dtype=object)))
+
+
+ROUND_GROWTH = 4  # each round takes so many times the pairs of a header that the one before took
+SLACK = 1e-6  # far above rounding, far below a character
+
+
+def best_first(header, a, b, bound, floor, known, total, reached: dict) -> np.ndarray:
+    """Common subsequence lengths of pairs, -1 where the bound lies below what the header has reached before.
+
+    Pairs are taken in rounds, those of the highest bound of each header first; a round's scores
+    (`known` characters and the subsequence, over `total`) raise what the next one must reach. `reached` keeps that for later batches.
+    """
+    codes, names = pd.factorize(header)
+    best = np.array([reached.get(n, 0.0) for n in names])
+    np.maximum.at(best, codes, floor)
+    out = np.zeros(len(codes), dtype=np.int32)
+    todo = np.flatnonzero((a != "") | (b != ""))
+    todo = todo[np.lexsort((-bound[todo], codes[todo]))]
+    own = codes[todo]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    place = np.arange(len(own)) - np.repeat(first, np.diff([*first, len(own)]))
+    low, high = 0, 1
+    while len(place) and low <= place.max():
+        rows = todo[(place >= low) & (place < high)]
+        may = bound[rows] >= best[codes[rows]] - SLACK
+        out[rows[~may]] = -1
+        rows = rows[may]
+        if len(rows):
+            out[rows] = _lcs_of(a[rows], b[rows])
+            np.maximum.at(best, codes[rows], 200.0 * (known[rows] + out[rows]) / total[rows])
+        low, high = high, high * ROUND_GROWTH
+    reached.update(zip(names, best))
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def lcs_best_first(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """`best_first` over the pairs of a task."""
+    reached: dict = {}  # one number for each header that the task meets
+    for header, a, b, *numbers in batches:
+        yield pd.Series(best_first(header.to_numpy(dtype=object), a.to_numpy(dtype=object), b.to_numpy(dtype=object),
+                                   *[n.to_numpy(dtype=np.float64) for n in numbers], reached))
 
 
-# keeps the optimizer from evaluating it once more for every filter on the score
+# keeps the optimizer from evaluating them once more for every filter on the score
 lcs_length = lcs_length.asNondeterministic()
+lcs_best_first = lcs_best_first.asNondeterministic()
 
 
 def subset_scores(shared: Column, len_a: Column, len_b: Column) -> Column:

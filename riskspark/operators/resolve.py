@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.dates import note_date_token, parse_note_date
 from riskspark.functions.similarity import (
-    joined_length, lcs_length, letter_bits, letter_ceiling, profile, score_ceiling, subset_scores, token_set,
+    joined_length, lcs_best_first, letter_bits, letter_ceiling, profile, score_ceiling, subset_scores, token_set,
 )
 from riskspark.functions.text import clean_header
 from riskspark.functions.values import DEFAULT_NOTE_YEAR, SIMILARITY_CUTOFF
@@ -15,6 +15,8 @@ from riskspark.scratch import stored, task_count
 EXPLICIT_ID = r"(?i)(?:acct|#|account)\s*(\d{4})"
 # A token carried by more names than this is matched through grouped names instead of one by one.
 COMMON_TOKEN_NAMES = 1000
+# Hash buckets of first words; the table of those in use is broadcast (8 bytes each) and stops other words of notes.
+WORD_BUCKETS = 1 << 20
 # Names and headers that meet in one cell of the character comparison.
 NAMES_PER_CELL = 512
 HEADS_PER_CELL = 4096
@@ -50,7 +52,10 @@ def _token_sets(texts: DataFrame, text: Column) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, floor: Column) -> DataFrame:
-    """Full similarity of (h, n) pairs; the character comparison runs only where it can matter."""
+    """Similarity of (h, n) pairs; the character comparison runs only where it can matter, best bounds first.
+
+    A pair whose bound lies below what its header has already reached keeps its token score, which can't win.
+    """
     split = pairs.select(
         F.col("h.joined").alias("header"), F.col("n.ord").alias("ord"), F.col("n.account_id").alias("account_id"),
         F.col("n.account_name").alias("account_name"), F.col("h.tokens").alias("_h"), F.col("n.tokens").alias("_n"),
@@ -63,8 +68,10 @@ def _scored(pairs: DataFrame, floor: Column) -> DataFrame:
         "_worth", (F.col("_by_tokens") < 100.0) & (F.col("_ceiling") >= F.greatest("_floor", "_by_tokens")))
     rest = lambda of, without: F.when(
         F.col("_worth"), F.array_join(F.array_except(of, without), " ")).otherwise("")
-    compared = weighed.withColumn("_lcs", lcs_length(rest("_h", "_n"), rest("_n", "_h")))
-    by_chars = F.when(F.col("_worth"), 200.0 * (F.when(shared > 0, shared + 1).otherwise(0) + F.col("_lcs")) / total)
+    known = F.when(shared > 0, shared + 1).otherwise(0)
+    compared = weighed.withColumn("_lcs", lcs_best_first(
+        F.col("header"), rest("_h", "_n"), rest("_n", "_h"), F.col("_ceiling"), F.col("_floor"), known.cast("double"), total.cast("double")))
+    by_chars = F.when(F.col("_worth") & (F.col("_lcs") >= 0), 200.0 * (known + F.col("_lcs")) / total)
     # floating point must not separate equal scores reached on different ways
     score = F.round(F.greatest("_by_tokens", by_chars), 9)
     return compared.select("header", "ord", "account_id", "account_name", score.alias("score"))
@@ -91,7 +98,8 @@ def similarity_matches(headers: DataFrame, accounts: DataFrame, order: str = "ac
     - characters: the lengths must be close and the letter counts must overlap enough to beat what
       the tokens gave. Distinct (length, letter count) profiles are joined first, only surviving
       profiles are expanded to names, and of those pairs only the ones whose single letters allow
-      it are compared. Headers already at 100 skip this step.
+      it are compared, best first: every task takes each header's pairs in falling order of their
+      bound in rounds, and drops those that can't reach the best score so far. Headers already at 100 skip this step.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
     heads = _token_sets(headers.select("header"), fold(F.col("header")))
@@ -212,7 +220,8 @@ def resolve_first_word(notes: DataFrame, accounts: DataFrame, order: str = "acco
 
     A text is cut at white space and each part into pieces of word characters and of other marks. A first word
     stands between word boundaries exactly where it equals some neighbouring pieces, so those are exploded and
-    equi-joined to the distinct first words. Only sequences as long as some first word are built.
+    equi-joined to the distinct first words. Only sequences as long as some first word are built, and only those
+    whose hash bucket holds a first word are shuffled; the bucket table has at most WORD_BUCKETS rows.
     """
     word = F.lower(F.element_at(token_words(F.col("account_name")), 1))
     words = (_names(accounts, order).withColumn("word", word).where("word is not null")
@@ -220,7 +229,11 @@ def resolve_first_word(notes: DataFrame, accounts: DataFrame, order: str = "acco
     sizes = words.select(F.collect_set(F.size(_pieces(F.col("word"))))).scalar()
     parts = notes.select("note_pos", F.explode(F.array_distinct(token_words(F.lower("raw_text")))).alias("part"))
     pieces = parts.select("note_pos", _pieces(F.col("part")).alias("pieces"), sizes.alias("sizes"))
-    return (pieces.select("note_pos", F.explode(_spans(F.col("pieces"), F.col("sizes"))).alias("word")).join(words, "word")
+    bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket")
+    buckets = F.broadcast(words.select(bucket).distinct())
+    likely = (pieces.select("note_pos", F.explode(_spans(F.col("pieces"), F.col("sizes"))).alias("word"))
+              .select("note_pos", "word", bucket).join(buckets, "bucket", "left_semi"))
+    return (likely.join(words, "word")
             .groupBy("note_pos").agg(F.min("first").alias("m"))
             .select("note_pos", "m.account_id", "m.account_name"))
 
