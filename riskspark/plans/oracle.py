@@ -192,6 +192,8 @@ INSIGHT_ROWS = f"""SELECT * FROM (
   UNION ALL SELECT 'silent_cluster', count(*), {BIG('sum(arr)')}, NULL FROM due WHERE silent_churn_flag
   UNION ALL SELECT 'csm_concentration', count(*), {BIG('sum(arr)')}, max(csm_name) FROM due WHERE {RISKY} AND csm_name = {TOP_CSM}
   UNION ALL SELECT 'enterprise_detractors', count(*), {BIG('sum(arr)')}, NULL FROM due WHERE {DETRACTOR}) WHERE n > 0"""
+# two digits, halves away from zero
+TWO = lambda x: f"CAST(CAST(round(CAST({x} AS DECIMAL(18, 10)), 2) AS DECIMAL(18, 2)) AS VARCHAR)"
 NOTE_LISTS = "account_id, " + r6("csm_sentiment_score") + ", risk_flags, positive_signals"
 DATED = """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, o_orderkey % 8 AS k FROM orders"""
 
@@ -420,6 +422,17 @@ FROM (SELECT *, CASE account_id % 50 WHEN 7 THEN 'malformed account_id' WHEN 9 T
     "j3_annotate_account": f"SELECT account_id, risk_tier, {RISKY} AS has_text, {BIG(N_TEXTS(DRIVERS))} AS n_drivers, {BIG(N_TEXTS(ACTIONS))} AS n_actions FROM due",
     "j4_annotate_portfolio": f"""SELECT insight_code, CASE insight_code WHEN 'sunset_renewal' THEN 'Forced SDK migration meets renewal' WHEN 'silent_cluster' THEN 'Good surveys over falling usage'
       WHEN 'csm_concentration' THEN 'Most at-risk accounts sit with ' || csm_name ELSE 'Enterprise detractors' END AS title, n, arr FROM ({INSIGHT_ROWS})""",
+    "j5_briefing_table": f"""WITH t AS (SELECT account_id, string_agg(raw_text, chr(10) ORDER BY note_pos) AS notes FROM v_notes GROUP BY account_id)
+      SELECT account_id, coalesce(length(notes), 0) AS note_chars, concat_ws(chr(10), 'Account: ' || coalesce(account_name, '?') || ' / ' || account_id, 'ARR: ' || {FULL('arr')},
+        'Plan: ' || concat_ws(' / ', plan_tier, industry, region), 'Contract end: ' || concat_ws(' in days ', CAST(contract_end_date AS VARCHAR), CAST(days_to_renewal AS VARCHAR)),
+        'CSM: ' || coalesce(csm_name, 'n/a'), 'Risk: ' || {TWO('risk_score')} || ' ' || risk_tier, 'Usage decline: ' || {TWO('usage_decline_score')},
+        'Silent churn: ' || coalesce(silent_churn_flag, false), 'Tickets total, critical open, open: ' || concat_ws(', ', CAST(ticket_count_total AS INT), CAST(p1_open_count AS INT), CAST(open_ticket_count AS INT)),
+        'SDK: ' || CASE round(sdk_risk_score, 2) WHEN 1 THEN 'sunset' WHEN 0.6 THEN 'upgrade needed' WHEN 0.15 THEN 'stable' WHEN 0 THEN 'current' ELSE 'moderate' END,
+        'Survey: ' || coalesce(CAST(nps_score AS VARCHAR), 'n/a'), 'Comment: ' || coalesce(verbatim_comment, 'n/a'),
+        CASE WHEN has_non_english AND regexp_matches(verbatim_comment, '\\S') THEN 'Original language: unknown' END,
+        'Notes: ' || coalesce(substring(notes, 1, 1500), 'n/a'), 'Flags: ' || replace(flag_text, '|', '; '), 'Positives: ' || replace(coalesce(positive_signals, ''), '|', '; '),
+        'Concern: ' || coalesce('Notes mention a senior stakeholder: ' || executive_keyword, 'n/a')) AS briefing
+      FROM resc LEFT JOIN (SELECT account_id, positive_signals, executive_keyword FROM sig) g USING (account_id) LEFT JOIN t USING (account_id)""",
     "j6_portfolio_lines": f"""SELECT coalesce(string_agg(line, chr(10) ORDER BY risk_score DESC, account_id), '') AS portfolio_text FROM (
       SELECT risk_score, account_id, concat_ws(' | ', account_name, 'ARR ' || {FULL('arr')}, 'tier ' || risk_tier, 'sdk ' || coalesce(latest_sdk_version, '?'),
         'csm ' || csm_name, 'industry ' || industry, 'region ' || region, 'silent ' || CAST(silent_churn_flag AS VARCHAR), 'critical ' || p1_open_count,
@@ -434,6 +447,9 @@ FROM (SELECT *, CASE account_id % 50 WHEN 7 THEN 'malformed account_id' WHEN 9 T
 }
 
 
+ORACLE["a9_report_document"] = ORACLE["a8_report_sink"]
+
+
 def statements() -> dict[str, str]:
     """Each query with only the named steps it needs in front."""
     names = list(STEPS)

@@ -171,6 +171,23 @@ def a9_report_insights(spark, sf):
     return report.read_insights(spark, path, REF).select("insight_code", "n", "arr", "csm_name")
 
 
+@query
+def a9_report_document(spark, sf):
+    """The accounts written as documents of the exchange format, eight of them, and read back."""
+    path = scratch_dir(spark)
+    rows = report.account_json(due(spark, sf).withColumns({"contract_end_date": F.col("contract_end_date").cast("string")}))
+    rows = rows.select(F.pmod(F.xxhash64("account_id"), F.lit(8)).alias("k"), F.lit(1).alias("part"), F.concat(F.lit(","), "json").alias("value"))
+    edges = spark.range(8).select(F.col("id").alias("k"), F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.lit('{"meta": {"window_days": 90}, "accounts": [{"account_id": -1}').alias("value")),
+        F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")))).alias("e")).select("k", "e.*")
+    (rows.unionByName(edges).repartition("k").sortWithinPartitions("k", "part").select("k", "value")
+     .write.partitionBy("k").text(path))
+    back = report.read_report_document(spark, path).where("account_id >= 0")
+    return back.select("account_id", F.to_date("contract_end_date").alias("contract_end_date"), "risk_tier",
+                       *r6s("risk_score", "usage_decline_score"), *joined("boosters_applied"),
+                       r6(F.col("signal_breakdown")["nps_risk_score"]["contribution"]).alias("nps_part"))
+
+
 @query
 def a10_csv_export(spark, sf):
     path = scratch_dir(spark)

@@ -1,35 +1,11 @@
 """Semi-structured note log: free text blocks separated by dashed lines."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import strip
 from riskspark.scratch import stored
-
-# Offsets of more input splits than this (about 100 bytes each) are not broadcast.
-BROADCAST_SPLITS = 200_000
-
-
-def _blocks_before(split: Column, n: Column) -> Column:
-    """Blocks of the records before each one in its input split. Python sees these two numbers only, in the scan's order."""
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last, done = None, 0  # the split of the last record, and its blocks so far
-        for splits, counts in batches:
-            key, n = splits.to_numpy(), counts.to_numpy()
-            out = np.zeros(len(key), np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
-            for start, end in zip(starts, [*starts[1:], len(key)]):
-                sums = np.cumsum(n[start:end]) + (done if key[start] == last else 0)
-                out[start:end] = sums - n[start:end]
-                last, done = key[start], int(sums[-1])
-            yield pd.Series(out)
-
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "long").asNondeterministic()(split, n)
+from riskspark.sources.splits import sum_before, with_split_facts
 
 
 def scan_note_blocks(spark: SparkSession, path: str, strip_title: bool = False) -> DataFrame:
@@ -53,9 +29,8 @@ def scan_note_blocks(spark: SparkSession, path: str, strip_title: bool = False)
     splits = stored(records.groupBy("file", "block_start").agg(F.sum(F.size("blocks")).alias("n")))
     across = Window.orderBy("file", "block_start").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
     offsets = splits.select("file", "block_start", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("offset"))
-    offsets = F.broadcast(offsets) if splits.count() <= BROADCAST_SPLITS else offsets
-    before = _blocks_before(F.xxhash64("file", "block_start"), F.size("blocks").cast("long"))
+    before = sum_before(F.xxhash64("file", "block_start"), F.size("blocks").cast("long"))
     numbered = records.select("file", "block_start", "blocks", before.alias("before"))
-    return (numbered.join(offsets, ["file", "block_start"])
+    return (with_split_facts(numbered, offsets)
             .select((F.col("offset") + F.col("before")).alias("first"), F.posexplode("blocks").alias("i", "raw_text"))
             .select((F.col("first") + F.col("i")).alias("note_pos"), "raw_text"))

@@ -9,6 +9,7 @@ from riskspark import schemas
 from riskspark.functions.values import EXPORT_COLUMNS, RENEWAL_DAYS
 from riskspark.operators.insights import insight_members, tier_totals
 from riskspark.scratch import holds_files
+from riskspark.sources.documents import document_objects
 
 PARTS = ("meta", "portfolio_insights", "insight_members", "accounts")
 LISTS = ("account_notes", "account_subjects", "account_series")
@@ -65,14 +66,18 @@ def account_json(accounts: DataFrame) -> DataFrame:
 
 
 def read_report_document(spark: SparkSession, path: str) -> DataFrame:
-    """Account rows of single-document JSON reports (one task per file; for small exchanges)."""
-    return spark.read.schema(schemas.REPORT).json(path, multiLine=True).select(F.inline("accounts"))
+    """Account rows of single-document JSON reports; one large document is read by many tasks."""
+    return _members(spark, path, "accounts", schemas.REPORT_ACCOUNT)
 
 
 def read_document_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Meta row and insight rows of such a document."""
-    doc = spark.read.schema(schemas.REPORT).json(path, multiLine=True)
-    return doc.select("meta.*"), doc.select(F.inline("portfolio_insights.insights"))
+    portfolio = _members(spark, path, "portfolio_insights", schemas.PORTFOLIO)
+    return _members(spark, path, "meta", schemas.META), portfolio.select(F.inline("insights"))
+
+
+def _members(spark: SparkSession, path: str, member: str, schema) -> DataFrame:
+    return document_objects(spark, path, member).select(F.from_json("text", schema).alias("r")).select("r.*")
 
 
 def export_columns(accounts: DataFrame) -> DataFrame:
