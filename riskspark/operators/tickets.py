@@ -12,8 +12,14 @@ from riskspark.functions.values import (
 
 
 def recent_tickets(tickets: DataFrame, ref: date, months: int = TICKET_MONTHS) -> DataFrame:
-    """Created at most `months` calendar months before `ref`; later ones stay in."""
-    return tickets.where(F.col("created_date") >= F.add_months(F.lit(ref), -months))
+    """Created at most `months` calendar months before `ref`; later ones stay in.
+
+    A table partitioned by `created_month` is read from the first of these months on.
+    """
+    first = F.add_months(F.lit(ref), -months)
+    if "created_month" in tickets.columns:
+        tickets = tickets.where(F.col("created_month") >= F.trunc(first, "MM").cast("date"))
+    return tickets.where(F.col("created_date") >= first)
 
 
 def ticket_weight() -> Column:

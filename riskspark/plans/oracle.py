@@ -447,7 +447,10 @@ FROM (SELECT *, CASE account_id % 50 WHEN 7 THEN 'malformed account_id' WHEN 9 T
 }
 
 
+# other ways to the same rows
 ORACLE["a9_report_document"] = ORACLE["a8_report_sink"]
+ORACLE["c11_upsert_parted"] = ORACLE["c11_upsert_by_id"]
+ORACLE["i4_score_landed"] = ORACLE["i4_score_all"]
 
 
 def statements() -> dict[str, str]:

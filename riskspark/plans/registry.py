@@ -1,5 +1,7 @@
 """One query per operator over the stand-in tables of a TPC-H-like folder."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from riskspark.operators import narrative as N
 from riskspark.operators import resolve, tickets
 from riskspark.plans import renewals
 from riskspark.scratch import scratch_dir, stored
-from riskspark.sources import policy, rejects, report, tables
+from riskspark.sources import landing, parted, policy, rejects, report, tables
 from riskspark.sources.notes import scan_note_blocks
 from riskspark.sources.standins import REF, raw, standin, standin_tables
 
@@ -382,6 +384,17 @@ def c11_upsert_by_id(spark, sf):
     return merge.upsert_by_id(base, updates, ["status"]).select("account_id", "pos", "priority", "status")
 
 
+@query
+def c11_upsert_parted(spark, sf):
+    """The same upsert on a stored table, of which only the parts with changed rows are written anew."""
+    log = standin(spark, sf, "v_tickets").select("account_id", F.col("ticket_id").alias("pos"), "priority", "status")
+    base, path = merge.last_by_key(log, "account_id", "pos"), scratch_dir(spark)
+    parted.write_parted(base, path, parts=16)
+    updates = standin(spark, sf, "v_nps").where("account_id % 2 = 0").select("account_id", F.lit("Reviewed").alias("status"))
+    parted.upsert_parted(spark, path, base.schema, updates, ["status"])
+    return parted.read_parted(spark, path, base.schema).select("account_id", "pos", "priority", "status")
+
+
 @query
 def c12_concat_columns(spark, sf):
     t = standin_tables(spark, sf)
@@ -777,6 +790,15 @@ def i4_score_all(spark, sf):
                                     *joined("boosters_applied"))
 
 
+@query
+def i4_score_landed(spark, sf):
+    """The same scores from landing tables."""
+    prefix = f"landed_{uuid.uuid4().hex}"
+    t = landing.land(standin_tables(spark, sf), scratch_dir(spark), prefix, buckets=16)
+    return renewals.scored_accounts(t).select("account_id", *r6s("risk_score", "base_score", "total_boost"), "risk_tier",
+                                              *joined("boosters_applied"))
+
+
 @query
 def i5_rescore(spark, sf):
     t = standin_tables(spark, sf)
