@@ -70,6 +70,24 @@ def test_secret_fit_on_awkward_rows(awkward, nothing):
     assert secret_scan.digests(nothing).count() == 0
 
 
+def test_every_run_is_a_candidate_and_a_longer_one_stands_beside_its_pattern_span(net):
+    text = "thanedblethaining ABCDEFGHIJKLMNOPQRST " + "Zk3vQ9xL" + "0123456789abcdef01234567" + "mB7nR5tW8yC1"
+    spans = secret_scan.pattern_spans(text)
+    runs = secret_scan.candidates(text, spans)
+    assert [text[s:e] for s, e in runs] == [m for m in text.split()] and len(spans) == 1
+    assert [text[s:e] for s, e in secret_scan.apart(runs, spans)] == text.split()[:2]
+    hexed = "key 0123456789abcdef01234567 end"
+    assert secret_scan.candidates(hexed, secret_scan.pattern_spans(hexed)) == []  # the pattern's span holds all of it
+    got = secret_scan._scanner(net, None)()([text])["spans"][0].split(",")
+    start = text.index("Zk3v")
+    assert f"learned:{start}:{len(text)}" in got and f"hex:{start + 8}:{start + 32}" in got
+
+
+def test_recall_of_kept_out_findings(spark):
+    found = secret_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))["reached"]
+    assert (found[0] >= secret_scan.RECALL or np.isnan(found[0])) and found[1] >= secret_scan.RECALL and found[2] <= 0.02
+
+
 def test_long_candidate_is_covered_by_windows():
     text = "a" * 500
     shown = secret_scan.windows(text, 0, 500)
@@ -174,6 +192,26 @@ def test_licence_repeats_and_methods(spark):
     assert rows[4]["labels"] == "cc-by,cc-by-nc,reserved"
 
 
+def test_licence_postings_must_agree(spark):
+    """A key phrase alone is no notice where the template's rarest words do not stand around it."""
+    shown = ["licensed under the apache license version 2 0", "apache license version 2 alone", "gnu affero general public license",
+             "some affero general public license", "x general public license y", "released into the public domain", "never into the public domain"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(shown * 3)] + [(99, " ".join(shown) + " 0 0 under the")], "doc_id long, text string")
+    idf = license_index.inverse_frequencies(docs)
+    for r in license_index.places(docs, idf, keep=("doc_id", "text")).collect():
+        w = re.findall(r"[0-9a-z]+", r["text"])
+        stands = lambda at, j, word: 0 <= at + j < len(w) and w[at + j] == word
+        want = set()
+        for label, phrase, key, size, _ in license_index.TEMPLATES:
+            parts = phrase.split()
+            rare = sorted(range(len(parts)), key=lambda j: (-idf[parts[j]], j))[:license_index.POSTINGS]
+            for at in range(-len(parts), len(w)):
+                if all(stands(at, j, parts[j]) for j in range(key, key + size)) and sum(stands(at, j, parts[j]) for j in rare) >= min(license_index.AGREE, len(rare)):
+                    want.add((at + key, label))
+        got = [(p["start"], p["label"]) for p in r["places"]]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
