@@ -39,7 +39,7 @@ class TokenIds:
     def __init__(self, tokenizer: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(tokenizer)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]  # the library gives their strings their own ids
         self.fast = None
         if ranks:
             import base64
@@ -49,7 +49,7 @@ class TokenIds:
             self.fast = tiktoken.Encoding("same ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast and PLAIN.fullmatch(text):
+        if self.fast and PLAIN.fullmatch(text) and not any(t in text for t in self.added):
             return array("I", self.fast.encode_ordinary(text)).tobytes()
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -80,9 +80,9 @@ def check_packing(rows, want, capacity=2048):
 
 
 def test_packing(spark, awkward, nothing):
-    docs = documents(spark).select("doc_id", "text").union(awkward.select("doc_id", "text")).union(spark.createDataFrame([(900, "<|endoftext|> 日本 x  \n y")], "doc_id long, text string"))
+    docs = documents(spark).select("doc_id", "text").union(awkward.select("doc_id", "text")).union(spark.createDataFrame([(900, "<|endoftext|> 日本 x  \n y"), (901, "x <|endoftext|> y")], "doc_id long, text string"))
     model = Tokenizer.from_file(FILES[0])
-    model.encode_special_tokens = True
+    assert 50256 in model.encode("x <|endoftext|> y", add_special_tokens=False).ids
     want = Counter((i, *p) for i, t in pairs(docs) for p in expected_pieces(t, model))
     rows = sequence_packing.packed(docs, *FILES).collect()
     used = check_packing(rows, want)
