@@ -7,6 +7,7 @@ loaded; a model for which it is not so is encoded text by text), so units can be
 up. Every piece is projected back through the alignment to a span of bytes of the original text.
 
 Null and empty texts have no pieces. Repeated rows give repeated rows; ids and other columns play no part.
+A model that leaves characters without pieces (no byte pieces) raises, as such text has no whole alignment.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -126,46 +127,46 @@ class Pieces:
                 made[k] = ",".join(map(str, self.model.encode(unit)))
         return made
 
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
-        """Normalised bytes and, for each of them and for the end, the source byte where it begins."""
-        data = text.encode()
+    def _mapped(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """The character map applied by longest prefix, with the source byte of each byte and of the end."""
+        if self.map.starts is None:
+            return data, np.arange(len(data) + 1)
         out, align, at = bytearray(), [], 0
         while at < len(data):
-            if self.map.starts is None:
-                stop = len(data)
-            else:
-                m = self.map.starts.search(data, at)
+            m = self.map.starts.search(data, at)
+            stop = m.start() if m else len(data)
+            while stop < len(data) and data[stop] & 192 == 128:  # never inside a character
+                m = self.map.starts.search(data, stop + 1)
                 stop = m.start() if m else len(data)
-                while stop < len(data) and data[stop] & 192 == 128:  # never inside a character
-                    m = self.map.starts.search(data, stop + 1)
-                    stop = m.start() if m else len(data)
             out += data[at:stop]
-            align += range(at, stop)
+            align.append(np.arange(at, stop))
             at = stop
             if at < len(data):
                 hit = self.map.longest(data, at)
                 n = hit[0] if hit else 1 + sum(1 for b in data[at + 1:at + 4] if b & 192 == 128) if data[at] >= 192 else 1
                 new = hit[1] if hit else data[at:at + n]
                 out += new
-                align += [at] * len(new) if hit else range(at, at + n)
+                align.append(np.full(len(new), at) if hit else np.arange(at, at + n))
                 at += n
-        align.append(len(data))
+        return bytes(out), np.concatenate([*align, [len(data)]]).astype(np.int64)
+
+    def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
+        """Normalised bytes and, for each of them and for the end, the source byte where it begins."""
+        out, align = self._mapped(text.encode())
         if self.squeeze:  # no spaces at the ends, one in a row inside
-            keep = [i for i, b in enumerate(out) if b != 32 or (i and out[i - 1] != 32)]
-            while keep and out[keep[-1]] == 32:
-                keep.pop()
-            end = align[keep[-1] + 1] if keep else 0
-            out, align = bytearray(out[i] for i in keep), [align[i] for i in keep] + [end]
+            cells = np.frombuffer(out, np.uint8)
+            solid = cells != 32
+            keep = np.flatnonzero(solid | np.concatenate([[False], solid[:-1]])) if len(cells) else np.zeros(0, int)
+            if len(keep) and not solid[keep[-1]]:
+                keep = keep[:-1]
+            end = align[keep[-1] + 1] if len(keep) else 0
+            out, align = cells[keep].tobytes(), np.append(align[keep], end)
         if self.prefix and out:
-            out, align = bytearray(b" ") + out, align[:1] + align
-        if self.escape and b" " in out:
-            mark, wide = MARK.encode(), bytearray()
-            places = []
-            for b, a in zip(out, align):
-                wide += mark if b == 32 else bytes([b])
-                places += [a] * (3 if b == 32 else 1)
-            out, align = wide, places + align[-1:]
-        return bytes(out), align
+            out, align = b" " + out, np.concatenate([align[:1], align])
+        if self.escape:
+            wide = np.where(np.frombuffer(out + b"x", np.uint8) == 32, 3, 1)  # the end is one place
+            out, align = out.replace(b" ", MARK.encode()), np.repeat(align, wide)
+        return out, align
 
     def units_of(self, text: str) -> list[str]:
         """Units of a text, each without the one space mark that stands before it.
@@ -195,32 +196,40 @@ class Pieces:
                 lead += " "
         return made + [lead[1:]] if lead else made
 
-    def block(self, texts: list[str]) -> list[tuple[list[str], str]]:
-        """Of each text its units and its ids joined by commas; what is new in the block is encoded at once."""
+    def block(self, texts: list[str]) -> list[str]:
+        """The ids of each text joined by commas; what is new in the block is encoded at once."""
         units = [self.units_of(t) for t in texts]
         self.units.need(chain.from_iterable(units))
         known = self.units.__getitem__
-        return [(own, ",".join(map(known, own))) for own in units]
+        return [",".join(map(known, own)) for own in units]
 
-    def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """ids, and of each the first byte and the end byte of its span in the original text.
+    def projected(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece of the text the first byte and the end byte of its span in the original text.
 
         A piece made of one byte of a longer character spans that byte; the added first mark spans nothing.
         """
-        ids = [int(i) for i in self.block([text])[0][1].split(",") if i]
-        ends = list(accumulate(len(self.bytes[i]) for i in ids))
-        align = self.normalise(text)[1]
-        starts = [align[e] for e in [0, *ends[:-1]]] if ends else []
-        return ids, starts, [align[e] for e in ends]
+        normal, align = self.normalise(text)
+        sizes = self.size[ids]
+        ends = np.cumsum(sizes)
+        if len(ids) and ends[-1] != len(normal):
+            raise ValueError("pieces do not cover their normalised text")
+        return align[ends - sizes], align[ends]
+
+    def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """ids with the byte span of each in the original text."""
+        ids = numbers(self.block([text])[0])
+        starts, ends = self.projected(text, ids)
+        return ids.tolist(), starts.tolist(), ends.tolist()
 
     def decode(self, ids: list[int]) -> str:
         """What the library's decode(ids) gives: pieces joined, marks as spaces, the added one dropped."""
         joined = b"".join([self.bytes[i] for i in ids]).replace(MARK.encode(), b" ")
         return (joined[1:] if self.prefix and joined[:1] == b" " else joined).decode(errors="replace")
 
-    def decoded_units(self, units: list[str]) -> str:
-        """The same from units whose pieces were verified to give back their bytes."""
-        return " ".join(units) if self.cuts else (units[0] if units else "").replace(MARK, " ").removeprefix(" ")
+
+def numbers(ids: str) -> np.ndarray:
+    """The numbers of a list joined by commas."""
+    return np.fromstring(ids, np.int64, sep=",") if ids else np.zeros(0, np.int64)
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -265,18 +274,25 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """Counts and digests of encoding and decoding, without carrying the ids; span_bytes is what the pieces cover."""
+    """Counts and digests of encoding and decoding, without carrying the ids.
+
+    spans_sha256 digests the starts and then the ends of all pieces in the original bytes, little-endian 64-bit each;
+    span_bytes counts the bytes that the pieces cover. The decoded text is made from the ids.
+    """
     def setup():
         pieces = loaded(model)
 
         def run(texts):
-            out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "span_bytes": []}
-            for text, (units, ids) in zip(texts, pieces.block(texts)):
-                out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(pieces.decoded_units(units).encode()).hexdigest())
-                out["span_bytes"].append(len(text.encode()) if units else 0)
+            out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "span_bytes": [], "spans_sha256": []}
+            for text, shown in zip(texts, pieces.block(texts)):
+                ids = numbers(shown)
+                starts, ends = pieces.projected(text, ids)
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(pieces.decode(ids.tolist()).encode()).hexdigest())
+                out["span_bytes"].append(int((ends - starts).sum()))
+                out["spans_sha256"].append(hashlib.sha256(starts.astype("<i8").tobytes() + ends.astype("<i8").tobytes()).hexdigest())
             return out
         return run
 
-    return map_texts(docs, setup, "n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    return map_texts(docs, setup, "n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_sha256 string")

@@ -106,6 +106,33 @@ def test_pieces_equal_library(spark, awkward):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
 
 
+def expected_span_digest(library, text):
+    """Byte by byte: a space stands for its three mark bytes, every other byte for itself, the first mark for nothing."""
+    source = [0] * 3 if text else []
+    data = text.encode()
+    for at, b in enumerate(data):
+        source += [at] * 3 if b == 32 else [at]
+    source.append(len(data))
+    starts, ends, at = [], [], 0
+    for i in library.encode(text):
+        piece = library.id_to_piece(i)
+        size = 1 if library.is_byte(i) else len(piece.encode())
+        starts.append(source[at])
+        ends.append(source[at + size])
+        at += size
+    assert at + 1 == len(source)
+    return hashlib.sha256(np.array(starts + ends, "<i8").tobytes()).hexdigest()
+
+
+def test_span_digests_equal_byte_by_byte_alignment(spark, awkward, nothing):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    odd = ["  a", "a  ", " a  b\n c\t", "▁x ▁", "日本語 😀 a", "a\u0000b", "　x y"]
+    docs = awkward.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    want = Counter((i, expected_span_digest(library, t), len(t.encode())) for i, t in texts(docs))
+    assert Counter((r["doc_id"], r["spans_sha256"], r["span_bytes"]) for r in sentence_pieces.digests(docs, MODEL).collect()) == want
+    assert sentence_pieces.digests(nothing, MODEL).count() == sentence_pieces.encode(nothing, MODEL).count() == 0
+
+
 def test_spans_tile_the_text(awkward):
     docs = awkward.where("length(text) < 20000")
     shown = {(r["doc_id"], r["text"]) for r in docs.collect()}
@@ -125,7 +152,7 @@ def test_longest_prefix_normalisation_equals_library(rule):
     for text in ["Ａｂｃ ﬁ  ①　x ", "  é é ｶﾞ \t\n a", "½ ™ 한글 ㎏", "plain", "", "ﷺ a"]:
         out, align = own.normalise(text)
         assert out.decode() == library.normalize(text)
-        assert len(align) == len(out) + 1 and align == sorted(align) and align[-1] <= len(text.encode())
+        assert len(align) == len(out) + 1 and align.tolist() == sorted(align) and align[-1] <= len(text.encode())
 
 
 def expected_quality(text):
