@@ -5,8 +5,8 @@ Postings (key, doc_id) are the exact table; reference counts (documents and larg
 and so can follow insertions and deletions of documents. Keys at or over the threshold sit in cuckoo filters,
 one per shard, from which a key can be taken out again. A line is first put to the filters; what passes is
 verified against the reference counts by an equi-join, so the result is exact whatever the filters let through.
-The filters are sent to the tasks only if all of them together stay under `FILTER_BYTES`; beyond that the join
-alone decides, with the same result.
+Postings meet their shard's filter in one task; a shard with more than `SHARD_POSTINGS` of them (a line that
+very many documents hold) is split by document, each split with its own copy of the filter.
 
 Null and empty texts are one empty line. Rows that share a doc_id are one document. Rows without an id lose
 shared lines but are not counted as documents. A text all of whose lines go is empty.
@@ -29,8 +29,7 @@ from riskspark.scratch import stored
 BLANKS = "\x20\t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
 MIN_CHARS, MIN_DOCS = 20, 3
-SLOTS, SHARD_KEYS = 4, 40_000
-FILTER_BYTES = 32 << 20
+SLOTS, SHARD_KEYS, SHARD_POSTINGS = 4, 40_000, 200_000
 
 
 def line_key(line: str) -> bytes | None:
@@ -125,44 +124,61 @@ class Cuckoo:
         return (self.table[first] == marks[:, None]).any(1) | (self.table[second] == marks[:, None]).any(1)
 
 
-def _shard_of(keys: list[bytes], shards: int) -> np.ndarray:
-    return (np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)[:, 1] % np.uint64(shards)).astype(np.int64)
+def shard_of(shards: int):
+    """The shard of a key."""
+    return F.pmod(F.xxhash64("key"), F.lit(shards))
 
 
 def filters(shared: DataFrame, shards: int) -> DataFrame:
     """shard and the bytes of its filter, from the keys at or over the threshold. A shard holds about SHARD_KEYS keys."""
-    def label(batches):
-        for b in batches:
-            keys = b.column("key").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(keys, shards) if keys else [], pa.int64()), pa.array(keys, pa.binary())], ["shard", "key"])
-
     def build(table: pa.Table) -> pa.Table:
         made = Cuckoo.of(sorted(table.column("key").to_pylist()))
         return pa.table({"shard": table.column("shard")[:1], "data": pa.array([made.table.tobytes()], pa.binary())})
 
-    labelled = shared.select("key").mapInArrow(label, "shard long, key binary")
-    return labelled.groupBy("shard").applyInArrow(build, "shard long, data binary")
+    return shared.select(shard_of(shards).alias("shard"), "key").groupBy("shard").applyInArrow(build, "shard long, data binary")
 
 
-def updated_filters(stored_filters: DataFrame, entering: DataFrame, leaving: DataFrame, shards: int) -> DataFrame:
-    """Filters after keys came to the threshold or fell below it; a shard without a filter yet gets one."""
-    changes = entering.select("key", F.lit(1).alias("sign")).union(leaving.select("key", F.lit(-1).alias("sign")))
+def updated_filters(stored_filters: DataFrame, entering: DataFrame, leaving: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+    """Filters after keys came to the threshold or fell below it; a shard without a filter yet gets one.
 
-    def label(batches):
-        for b in batches:
-            keys = b.column("key").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(keys, shards) if keys else [], pa.int64()), pa.array(keys, pa.binary()), b.column("sign").cast(pa.int32())], ["shard", "key", "sign"])
+    `shared` holds the keys at or over the threshold now: a shard whose filter is full is built anew from them, larger.
+    """
+    changes = entering.select("key", F.lit(1).alias("sign")).union(leaving.select("key", F.lit(-1).alias("sign")))
 
     def apply(old: pa.Table, new: pa.Table) -> pa.Table:
         held = Cuckoo.read(old.column("data")[0].as_py()) if old.num_rows else Cuckoo.of([], max(64, new.num_rows))
-        for key, sign in sorted(zip(new.column("key").to_pylist(), new.column("sign").to_pylist()), key=lambda x: (x[1], x[0])):
-            if not (held.insert(key) if sign > 0 else held.delete(key)) and sign > 0:
-                raise ValueError("filter is full: build it anew from the reference counts")
+        # Keys leave first. A key that finds no room ends the work on this filter: it has displaced another one.
+        fits = all(held.delete(key) if sign < 0 else held.insert(key)
+                   for key, sign in sorted(zip(new.column("key").to_pylist(), new.column("sign").to_pylist()), key=lambda x: (x[1], x[0])))
         shard = (old if old.num_rows else new).column("shard")[:1]
-        return pa.table({"shard": shard, "data": pa.array([held.table.tobytes()], pa.binary())})
+        return pa.table({"shard": shard, "data": pa.array([held.table.tobytes() if fits else None], pa.binary())})
+
+    labelled = changes.select(shard_of(shards).alias("shard"), "key", "sign")
+    tried = stored(stored_filters.groupBy("shard").cogroup(labelled.groupBy("shard")).applyInArrow(apply, "shard long, data binary"))
+    full = tried.where(F.col("data").isNull()).select(F.col("shard").alias("__full"))
+    anew = filters(shared.join(full, shard_of(shards) == F.col("__full"), "left_semi"), shards)
+    return tried.where(F.col("data").isNotNull()).union(anew)
+
+
+def passing(posted: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
+    """Postings whose key the filter of its shard holds, or seems to hold. Both tables are stored."""
+    labelled = posted.select(shard_of(shards).alias("shard"), "key", "doc_id")
+    heavy = stored(labelled.groupBy("shard").count().where(F.col("count") > SHARD_POSTINGS)
+                   .select(F.col("shard").alias("__heavy"), F.ceil(F.col("count") / SHARD_POSTINGS).alias("splits")))  # Spark sees its size when it plans the joins
+    splits = F.coalesce("splits", F.lit(1).cast("long"))
+    cells = labelled.join(heavy, F.col("shard") == F.col("__heavy"), "left").select(
+        "shard", F.pmod(F.xxhash64("doc_id", "key"), splits).alias("split"), "key", "doc_id")
+    copies = kept.join(heavy, F.col("shard") == F.col("__heavy"), "left").select(
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)).alias("split"), "data")
+    schema = "key binary, doc_id long"
+
+    def put(rows: pa.Table, own: pa.Table) -> pa.Table:
+        rows = rows.select(["key", "doc_id"])
+        if not own.num_rows:
+            return rows.slice(0, 0)
+        return rows.filter(pa.array(Cuckoo.read(own.column("data")[0].as_py()).contains(rows.column("key").to_pylist())))
 
-    labelled = changes.mapInArrow(label, "shard long, key binary, sign int")
-    return stored_filters.groupBy("shard").cogroup(labelled.groupBy("shard")).applyInArrow(apply, "shard long, data binary")
+    return cells.groupBy("shard", "split").cogroup(copies.groupBy("shard", "split")).applyInArrow(put, schema)
 
 
 def inserted(posted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -183,24 +199,8 @@ def crossings(before: DataFrame, after: DataFrame, least: int = MIN_DOCS) -> tup
 
 def dropped_keys(posted: DataFrame, shared: DataFrame) -> DataFrame:
     """(doc_id, keys) that documents lose: shared keys of which they are not the last holder. Both tables are stored."""
-    n = shared.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    tried = posted
-    if n * 8 <= FILTER_BYTES:  # under 8 bytes a key, at the lowest load of a filter
-        kept = filters(shared, shards)
-        sent = posted.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in kept.collect()})
-
-        def put(batches):
-            held = {k: Cuckoo.read(v) for k, v in sent.value.items()}
-            for b in batches:
-                keys = b.column("key").to_pylist()
-                shard, passes = _shard_of(keys, shards) if keys else np.zeros(0, int), np.zeros(len(keys), bool)
-                for s, f in held.items():
-                    rows = np.flatnonzero(shard == s)
-                    passes[rows] = f.contains([keys[i] for i in rows])
-                yield b.filter(pa.array(passes))
-
-        tried = posted.mapInArrow(put, posted.schema)
+    shards = max(1, -(-shared.count() // SHARD_KEYS))
+    tried = passing(posted, filters(shared, shards), shards)
     lost = tried.join(shared.select("key", "last_doc"), "key").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("__lost"))  # no more keys than the document has lines
 

@@ -168,9 +168,34 @@ def test_line_dedup(spark, awkward, nothing):
     assert line_dedup.digests(nothing).count() == 0
 
 
-def test_line_dedup_without_filters_is_the_same(spark, awkward, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
-    assert Counter(map(tuple, line_dedup.digests(awkward).collect())) == expected_lines(pairs(awkward))
+def test_line_dedup_with_split_shards_is_the_same(spark, awkward, monkeypatch):
+    docs = documents(spark).select("doc_id", "text").union(awkward.select("doc_id", "text"))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 7)
+    monkeypatch.setattr(line_dedup, "SHARD_POSTINGS", 11)
+    assert Counter(map(tuple, line_dedup.digests(docs).collect())) == expected_lines(pairs(docs))
+
+
+def test_filters_let_every_shared_key_pass_and_stop_most_others(spark):
+    posted = line_dedup.postings(documents(spark))
+    counts = line_dedup.reference_counts(posted)
+    shared = counts.where("n_docs >= 3")
+    passed = line_dedup.passing(posted, line_dedup.filters(shared, 3), 3)
+    want = {(bytes(r["key"]), r["doc_id"]) for r in posted.join(shared, "key", "left_semi").collect()}
+    got = {(bytes(r["key"]), r["doc_id"]) for r in passed.collect()}
+    assert want and want <= got and len(got - want) <= 0.01 * posted.count()
+
+
+def test_a_full_filter_is_built_anew(spark):
+    keys = [xxhash.xxh3_128_digest(str(i)) for i in range(3000)]
+    table = lambda some: spark.createDataFrame([(bytearray(k),) for k in some], "key binary")
+    none = table([])
+    first = line_dedup.filters(table(keys[:20]), 2)
+    grown = line_dedup.updated_filters(first, table(keys[20:]), none, table(keys), 2)
+    assert grown.count() == 2
+    rows = table(keys).withColumn("doc_id", F.lit(1).cast("long"))
+    assert line_dedup.passing(rows, grown, 2).count() == 3000
+    back = line_dedup.updated_filters(grown, none, table(keys[20:]), table(keys[:20]), 2)
+    assert 20 <= line_dedup.passing(rows, back, 2).count() <= 40
 
 
 def test_deduplicated_keeps_columns(awkward):
@@ -192,17 +217,15 @@ def test_reversible_index(spark):
     filters = line_dedup.filters(shared, 2)
     coming, going = line_dedup.crossings(before, after)
     assert (coming.count(), going.count()) == (1, 0)
-    wider = line_dedup.updated_filters(filters, coming, going, 2)
+    wider = line_dedup.updated_filters(filters, coming, going, after.where("n_docs >= 3"), 2)
 
     def holds(table, text):
-        held = {r["shard"]: line_dedup.Cuckoo.read(bytes(r["data"])) for r in table.collect()}
-        key = line_dedup.line_key(text)
-        shard = int(line_dedup._shard_of([key], 2)[0])
-        return shard in held and bool(held[shard].contains([key])[0])
+        row = spark.createDataFrame([(bytearray(line_dedup.line_key(text)), 1)], "key binary, doc_id long")
+        return line_dedup.passing(row, table, 2).count() == 1
     assert holds(wider, line(1)) and holds(wider, line(2)) and not holds(filters, line(2))
     back = line_dedup.reference_counts(line_dedup.deleted(grown, more))
     coming, going = line_dedup.crossings(after, back)
-    narrow = line_dedup.updated_filters(wider, coming, going, 2)
+    narrow = line_dedup.updated_filters(wider, coming, going, back.where("n_docs >= 3"), 2)
     assert holds(narrow, line(1)) and not holds(narrow, line(2))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, before.collect()))
 
