@@ -276,6 +276,37 @@ def test_neighbours(spark, monkeypatch):
         check_links(rows, got, 0.95)
 
 
+@pytest.mark.parametrize("centres", [1_024, 24])
+def test_recall_with_hundreds_of_lists_and_correlated_components(spark, monkeypatch, centres):
+    monkeypatch.setattr(embedding_neighbours, "LIST_ROWS", 15)  # 400 lists, of one level or of two
+    monkeypatch.setattr(embedding_neighbours, "LEVEL_CENTRES", centres)
+    rng = np.random.default_rng(5)
+    mix = rng.normal(size=(32, 32)) * np.linspace(2, 0.2, 32)[:, None]
+    base = rng.normal(size=(6_000, 32)) @ mix
+    scale = np.linalg.norm(base, axis=1).mean() / np.sqrt(32)
+    for k in range(0, 6_000, 3):
+        base[k] = base[k // 30 * 30 + 1] + rng.normal(size=32) * scale * rng.uniform(0.05, 0.4)
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(base)]
+    model = embedding_neighbours.fit(base / np.linalg.norm(base, axis=1, keepdims=True), 6_000)
+    assert np.prod([len(level) for level in model["levels"]]) >= 400 and len(model["levels"]) == (1 if centres > 400 else 2)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"])
+           for r in embedding_neighbours.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    check_links(rows, got, 0.95)
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    rows = vectors(n=300)
+    extra = vectors(seed=2, n=90, dims=6)[:90] + vectors(seed=3, n=90, dims=40)[:90] + [(0, [3.0], 0), (0, [4.0], 0), (0, [-1.0], 0)]
+    rows += [(1000 + i, v, c) for i, (_, v, c) in enumerate(extra)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"])
+           for r in embedding_neighbours.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for size in (1, 6, 16, 40):
+        some = [r for r in rows if r[1] and len(r[1]) == size]
+        check_links(some, {i: got[i] for i, *_ in some}, 0.95)
+    assert got[1180][0] == got[1181][0] == 1 and got[1182][0] == 0
+    assert got[1000][0] + got[1090][0] > 0
+
+
 def test_neighbours_on_the_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()]
