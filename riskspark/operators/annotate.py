@@ -106,17 +106,36 @@ def annotate_notes(accounts: DataFrame, notes: DataFrame, fn: Annotator | None =
     ours = owned(notes, accounts)
     if fn is None:
         return _settled(note_signals(ours).select(*_columns(NOTE_FIELDS)), outcomes)
+    return merge_note_calls(note_calls(ours, fn, notes_per_call), outcomes)
+
+
+def note_calls(notes: DataFrame, fn: Annotator, notes_per_call: int = NOTES_PER_CALL) -> DataFrame:
+    """The answers of `fn`, one row per call, with their outcome; a failed call has a neutral answer."""
     neutral = lambda row: {"csm_sentiment_score": NEUTRAL_SENTIMENT, "risk_flags": [], "positive_signals": []}
-    calls = chunked(ours, "account_id", "note_pos", "raw_text", "csm_notes_raw", notes_per_call).withColumn(
+    calls = chunked(notes, "account_id", "note_pos", "raw_text", "csm_notes_raw", notes_per_call).withColumn(
         "notes", F.size("csm_notes_raw").cast("long"))
-    answers = annotate(calls, row_annotator(fn, neutral, _columns(NOTE_CALL_FIELDS), ["account_id", "chunk_no", "notes"]),
-                       f"{NOTE_CALL_FIELDS}, {OUTCOME}")
-    return merge_note_calls(answers, outcomes)
+    return annotate(calls, row_annotator(fn, neutral, _columns(NOTE_CALL_FIELDS), ["account_id", "chunk_no", "notes"]),
+                    f"{NOTE_CALL_FIELDS}, {OUTCOME}")
 
 
-def merge_note_calls(calls: DataFrame, outcomes: bool = False) -> DataFrame:
+def note_labels(calls: DataFrame) -> DataFrame:
+    """Rows (account_id, kind, chunk_no, item, value): every distinct flag and positive of an account where it came first.
+
+    A dataset beside the account rows, for accounts with more labels than a list in one row should hold;
+    `merge_note_calls(calls, lists=False)` has their numbers. Ordered by chunk_no and item it gives the lists.
+    """
+    part = lambda kind, c: F.transform(F.coalesce(F.col(c), empty_list()), lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.cast("long").alias("item"), x.alias("value")))
+    rows = calls.select("account_id", "chunk_no", F.inline(F.concat(part("flag", "risk_flags"), part("positive", "positive_signals"))))
+    first = rows.where(F.col("value").isNotNull()).groupBy("account_id", "kind", "value").agg(F.min(F.struct("chunk_no", "item")).alias("at"))
+    return first.select("account_id", "kind", "at.chunk_no", "at.item", "value")
+
+
+def merge_note_calls(calls: DataFrame, outcomes: bool = False, lists: bool = True) -> DataFrame:
     """One row per account: mean score weighted by notes, distinct labels in order, first concern and first action.
 
+    Without `lists` the labels are only counted, as n_flags and n_positives; `note_labels` has them as rows.
+
     With `outcomes` the account's status is 'failed' if any of its calls failed, with the first of their errors.
 
     An answer without a score counts for nothing in the mean. Labels are made distinct by a mergeable
@@ -140,12 +159,14 @@ def merge_note_calls(calls: DataFrame, outcomes: bool = False) -> DataFrame:
     known = F.col("value").isNotNull()
     only = lambda kind, c: F.when((F.col("kind") == kind) & known, c)
     listed = lambda kind: F.array_sort(F.collect_list(only(kind, F.struct("at", "value"))))["value"]
+    counted = lambda kind: F.count(only(kind, F.lit(1)))
+    shown = ([listed("flag").alias("risk_flags"), listed("positive").alias("positive_signals")] if lists
+             else [counted("flag").alias("n_flags"), counted("positive").alias("n_positives")])
     early = lambda kind: F.min(only(kind, F.struct("at", "value")))["value"]
     mean = F.round(F.sum(F.col("score") * F.col("weight")) / F.sum(F.when(F.col("score").isNotNull(), F.col("weight"))), 4)
     rows = merged.groupBy("account_id").agg(
         F.when(F.min("score") == F.max("score"), F.min("score")).otherwise(mean).alias("csm_sentiment_score"),
-        listed("flag").alias("risk_flags"), listed("positive").alias("positive_signals"),
-        early("concern").alias("key_stakeholder_concern"), early("action").alias("csm_recommended_action"),
+        *shown, early("concern").alias("key_stakeholder_concern"), early("action").alias("csm_recommended_action"),
         F.when(early("error").isNull(), "ok").otherwise("failed").alias("call_status"), early("error").alias("call_error"))
     return _settled(rows, outcomes)
 

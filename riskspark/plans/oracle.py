@@ -415,6 +415,12 @@ FROM (SELECT *, CASE account_id % 50 WHEN 7 THEN 'malformed account_id' WHEN 9 T
         (SELECT string_agg(v, '|' ORDER BY f.i) FROM flags f WHERE f.account_id = calls.account_id) AS risk_flags,
         (SELECT string_agg(v, '|' ORDER BY g.i) FROM goods g WHERE g.account_id = calls.account_id) AS positive_signals,
         'part 0' AS key_stakeholder_concern FROM calls GROUP BY account_id""",
+    "j1_note_labels": """WITH noted AS (SELECT account_id, raw_text, row_number() OVER (PARTITION BY account_id ORDER BY note_pos) - 1 AS i
+        FROM v_notes WHERE account_id IN (SELECT account_id FROM v_accounts)),
+      calls AS (SELECT account_id, i // 3 AS c, count(*) AS k FROM noted GROUP BY ALL),
+      labels AS (SELECT account_id, 'flag' AS kind, length(raw_text) || ' characters' AS v, min(i) AS i FROM noted GROUP BY ALL
+        UNION ALL SELECT account_id, 'positive', k || ' notes', min(c) * 3 FROM calls GROUP BY ALL)
+      SELECT account_id, kind, i // 3 AS chunk_no, i % 3 AS item, v AS "value" FROM labels""",
     "j2_annotate_nps_by_function": """SELECT DISTINCT account_id, nps_score, CASE WHEN trim(verbatim_comment, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN '' ELSE length(verbatim_comment) || ' characters' END AS english_translation,
         CASE WHEN trim(verbatim_comment, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN 'en' ELSE CAST(CAST(nps_score AS BIGINT) AS VARCHAR) END AS detected_language
       FROM (SELECT account_id, nps_score, verbatim_comment FROM nf WHERE nps_score IS NOT NULL UNION ALL SELECT account_id, 10e0, verbatim_comment FROM nf)""",

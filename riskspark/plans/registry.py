@@ -13,6 +13,7 @@ from riskspark.operators import features as FE
 from riskspark.operators import gaps, insights, merge, portfolio, scoring, signals, surveys, usage
 from riskspark.operators import narrative as N
 from riskspark.operators import resolve, tickets
+from riskspark.operators.lists import owned
 from riskspark.plans import renewals
 from riskspark.scratch import scratch_dir, stored
 from riskspark.sources import landing, parted, policy, rejects, report, tables
@@ -841,19 +842,28 @@ def j1_annotate_notes(spark, sf):
         "account_id", *r6s("csm_sentiment_score"), *joined("risk_flags", "positive_signals"))
 
 
+def described(row):
+    """A caller's function: what can be counted in a list of notes."""
+    texts = list(row["csm_notes_raw"])
+    return {"csm_sentiment_score": len(texts) / 4, "risk_flags": [f"{len(t)} characters" for t in texts],
+            "positive_signals": [f"{len(texts)} notes"], "key_stakeholder_concern": f"part {row['chunk_no']}"}
+
+
 @query
 def j1_annotate_notes_by_function(spark, sf):
     """A caller's function on lists of three notes."""
-    def fn(row):
-        texts = list(row["csm_notes_raw"])
-        return {"csm_sentiment_score": len(texts) / 4, "risk_flags": [f"{len(t)} characters" for t in texts],
-                "positive_signals": [f"{len(texts)} notes"], "key_stakeholder_concern": f"part {row['chunk_no']}"}
-
     t = standin_tables(spark, sf)
-    return A.annotate_notes(t.accounts, t.notes, fn, notes_per_call=3).select(
+    return A.annotate_notes(t.accounts, t.notes, described, notes_per_call=3).select(
         "account_id", *r6s("csm_sentiment_score"), *joined("risk_flags", "positive_signals"), "key_stakeholder_concern")
 
 
+@query
+def j1_note_labels(spark, sf):
+    """The labels of the same calls as rows."""
+    t = standin_tables(spark, sf)
+    return A.note_labels(A.note_calls(owned(t.notes, t.accounts), described, notes_per_call=3))
+
+
 @query
 def j2_annotate_nps(spark, sf):
     rows = A.non_english(due(spark, sf))

@@ -76,6 +76,10 @@ def test_calls_of_one_account_are_merged(spark):
         (2, None, None, None, None, None, 0, 1)], fields)
     got = {r["account_id"]: tuple(r)[1:] for r in A.merge_note_calls(calls).collect()}
     assert got == {1: (0.35, ["a", "b", "c"], ["p"], "later", "call"), 2: (None, [], [], None, None)}
+    counts = {r["account_id"]: tuple(r)[1:] for r in A.merge_note_calls(calls, lists=False).collect()}
+    assert counts == {1: (0.35, 3, 1, "later", "call"), 2: (None, 0, 0, None, None)}
+    assert sorted(map(tuple, A.note_labels(calls).collect())) == [
+        (1, "flag", 0, 0, "a"), (1, "flag", 0, 1, "b"), (1, "flag", 1, 1, "c"), (1, "positive", 1, 0, "p")]
 
 
 def test_every_response_of_an_account_keeps_its_own_annotation(spark):
