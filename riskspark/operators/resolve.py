@@ -20,6 +20,8 @@ WORD_BUCKETS = 1 << 20
 # Names and headers that meet in one cell of the character comparison.
 NAMES_PER_CELL = 512
 HEADS_PER_CELL = 4096
+# Headers that meet few rows of a hot key (a common token, a length) are dealt over so many tasks; those rows visit each.
+SPREAD = 16
 
 
 def explicit_id(block: Column) -> Column:
@@ -113,16 +115,18 @@ def similarity_matches(headers: DataFrame, accounts: DataFrame, order: str = "ac
                      letter_bits("joined").alias("letters")))
     names = stored(names)
 
+    # Stored tables are small as files and large as rows, so no size of a file may choose a broadcast: joins are merged.
     name_tokens = names.select("*", F.explode("tokens").alias("token"))
     token_use = name_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    often = F.broadcast(stored(token_use.where(F.col("uses") > common_names).select("token")))  # at most one in `common_names` uses
     head_tokens = heads.select("*", F.explode("tokens").alias("token"))
 
-    rare = name_tokens.join(token_use.where(F.col("uses") <= common_names), "token")
-    by_rare = _scored(head_tokens.alias("h").join(rare.alias("n"), F.col("h.token") == F.col("n.token")),
+    rare = name_tokens.join(often, "token", "left_anti")
+    by_rare = _scored(head_tokens.alias("h").join(rare.alias("n").hint("merge"), F.col("h.token") == F.col("n.token")),
                       F.lit(cutoff))
 
     # Names grouped by (their common tokens, length): enough to score what only common tokens share.
-    common = (name_tokens.join(token_use.where(F.col("uses") > common_names), "token")
+    common = (name_tokens.join(often, "token", "left_semi")
               .groupBy("joined", "len", "ord", "account_id", "account_name")
               .agg(F.array_sort(F.collect_list("token")).alias("common"))
               .groupBy("common", "len")
@@ -130,7 +134,9 @@ def similarity_matches(headers: DataFrame, accounts: DataFrame, order: str = "ac
               .select("common", "len", "f.*", F.explode("common").alias("token")))
     shared = joined_length(F.array_intersect("h.tokens", "n.common"))
     by_common = (
-        head_tokens.alias("h").join(common.alias("n"), F.col("h.token") == F.col("n.token"))
+        _dealt(head_tokens, "joined").alias("h")
+        .join(_everywhere(common).alias("n").hint("merge"),
+              (F.col("h.token") == F.col("n.token")) & (F.col("h.deal") == F.col("n.deal")))
         .select(F.col("h.joined").alias("header"), "n.ord", "n.account_id", "n.account_name",
                 F.round(subset_scores(shared, F.col("h.len"), F.col("n.len")), 9).alias("score")))
     by_tokens = stored(_best(by_rare.unionByName(by_common), cutoff))
@@ -138,14 +144,22 @@ def similarity_matches(headers: DataFrame, accounts: DataFrame, order: str = "ac
     best = _best(by_tokens.unionByName(_scored(by_chars, F.col("h.floor"))), cutoff)
     keyed = headers.select("header").distinct().withColumn(
         "joined", F.array_join(token_set(fold(F.col("header"))), " "))
-    return keyed.join(best.withColumnRenamed("header", "joined"), "joined").select(
+    return keyed.join(best.withColumnRenamed("header", "joined").hint("merge"), "joined").select(
         "header", "account_id", "account_name", "score")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("deal", F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int"))
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+
+
 def _open(heads: DataFrame, found: DataFrame, cutoff: float) -> DataFrame:
     """Headers that can still be matched better, with the score a better or earlier match must reach."""
     known = found.select(F.col("header").alias("joined"), F.col("score").alias("found"))
-    return (heads.join(known, "joined", "left").where(F.coalesce("found", F.lit(0.0)) < 100.0)
+    return (heads.join(known.hint("merge"), "joined", "left").where(F.coalesce("found", F.lit(0.0)) < 100.0)
             .withColumn("floor", F.greatest(F.lit(cutoff), F.coalesce("found", F.lit(0.0)))))
 
 
@@ -161,24 +175,26 @@ def _character_pairs(heads: DataFrame, names: DataFrame, cutoff: float) -> DataF
     name_profiles = (names.groupBy("profile", "len").agg(F.count(F.lit(1)).alias("n"))
                      .withColumn("cells", F.ceil(F.col("n") / NAMES_PER_CELL).cast("int")))
     viable = stored(
-        head_profiles.alias("hp").join(name_profiles.alias("np"), F.col("hp.name_len") == F.col("np.len"))
+        _dealt(head_profiles, "profile").alias("hp")
+        .join(_everywhere(name_profiles).alias("np").hint("merge"),
+              (F.col("hp.name_len") == F.col("np.len")) & (F.col("hp.deal") == F.col("np.deal")))
         .where(F.round(score_ceiling("hp.profile", "np.profile"), 9) >= F.col("hp.floor"))
         .select(F.col("hp.profile").alias("h_profile"), F.col("np.profile").alias("n_profile"), "cells", "heads"))
     # Many names or headers may share a profile: both are cut, and every part of one side visits each of the other.
     # The fixed partition count keeps the few but costly rows from being packed into one task.
     shape = viable.groupBy("n_profile", "cells").agg(
         F.ceil(F.sum("heads") / HEADS_PER_CELL).cast("int").alias("parts"))
-    visits = (viable.select("h_profile", "n_profile").join(shape, "n_profile")
-              .join(heads.withColumnRenamed("profile", "h_profile"), "h_profile")
+    visits = (viable.select("h_profile", "n_profile").join(shape.hint("merge"), "n_profile")
+              .join(heads.withColumnRenamed("profile", "h_profile").hint("merge"), "h_profile")
               .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
               .withColumn("part", F.pmod(F.xxhash64("joined"), F.col("parts")).cast("int"))
               .withColumnRenamed("h_profile", "profile")
               .repartition(task_count(names.sparkSession), "n_profile", "cell", "part"))
-    cells = (names.join(shape.withColumnRenamed("n_profile", "profile"), "profile")
+    cells = (names.join(shape.withColumnRenamed("n_profile", "profile").hint("merge"), "profile")
              .withColumn("cell", F.pmod(F.xxhash64("joined"), F.col("cells")).cast("int"))
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     return (visits.alias("h")
-            .join(cells.alias("n"), (F.col("h.n_profile") == F.col("n.profile")) & (F.col("h.cell") == F.col("n.cell"))
+            .join(cells.alias("n").hint("merge"), (F.col("h.n_profile") == F.col("n.profile")) & (F.col("h.cell") == F.col("n.cell"))
                   & (F.col("h.part") == F.col("n.part")))
             .where(F.round(letter_ceiling("h.letters", "n.letters"), 9) >= F.col("h.floor")))
 
@@ -191,7 +207,7 @@ def resolve_fuzzy(notes: DataFrame, accounts: DataFrame, order: str = "account_i
 
 def _fuzzy(headed: DataFrame, accounts: DataFrame, order: str, case_sensitive: bool, **options) -> DataFrame:
     found = similarity_matches(headed, accounts, order, case_sensitive=case_sensitive, **options)
-    return headed.join(found, "header").select(
+    return headed.join(found.hint("merge"), "header").select(
         "note_pos", "account_id", "account_name", F.col("score").alias("match_score"))
 
 

@@ -224,3 +224,19 @@ def test_many_headers_and_names_of_one_letter_profile(spark, monkeypatch):
     want = {h: brute_force(h, names, str.lower) for h in headers}
     assert set(got) == {h for h, best in want.items() if best}
     assert all(got[h][1] == want[h][1] and got[h][0] == pytest.approx(want[h][0], abs=1e-6) for h in got)
+
+
+@pytest.mark.parametrize("resolver", [resolve.resolve_fuzzy])
+def test_no_table_that_grows_is_broadcast_for_its_file_size(spark, monkeypatch, resolver):
+    """Stored tables are small as files and large as rows; the list of common tokens and word buckets alone may be broadcast."""
+    plans, stored = [], resolve.stored
+    shown = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(resolve, "stored", lambda df: stored(shown(df)))
+    accounts = spark.createDataFrame([(k, f"Firm{k:03d} {('North', 'South')[k % 2]}") for k in range(40)],
+                                     ACCOUNT)
+    notes = spark.createDataFrame([(k, f"2001-03-20 | Firm{k:03d} North | desk\ntext") for k in range(60)], NOTE)
+    found = shown(resolver(notes, accounts, case_sensitive=True))
+    assert found.where("match_score = 100").count() > 0
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    # what else may be broadcast has come out of a shuffle of its own and is weighed by its rows at run time
+    assert [j for j in joins if "LeftAnti" not in j and "LeftSemi" not in j and "LeftOuter, BuildRight" not in j] == []
