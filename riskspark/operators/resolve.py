@@ -249,7 +249,7 @@ def resolve_first_word(notes: DataFrame, accounts: DataFrame, order: str = "acco
     buckets = F.broadcast(words.select(bucket).distinct())
     likely = (pieces.select("note_pos", F.explode(_spans(F.col("pieces"), F.col("sizes"))).alias("word"))
               .select("note_pos", "word", bucket).join(buckets, "bucket", "left_semi"))
-    return (likely.join(words, "word")
+    return (likely.join(words.hint("merge"), "word")
             .groupBy("note_pos").agg(F.min("first").alias("m"))
             .select("note_pos", "m.account_id", "m.account_name"))
 
@@ -268,7 +268,7 @@ def resolve_notes(notes: DataFrame, accounts: DataFrame, order: str = "account_i
     by_id = _known_ids(slim, accounts)
     by_name = stored(_fuzzy(slim.where("explicit_id IS NULL"), accounts, order, case_sensitive))
     by_word = (resolve_first_word(notes.where(explicit_id(F.col("raw_text")).isNull()), accounts, order)
-               .join(by_name.select("note_pos"), "note_pos", "left_anti"))
+               .join(by_name.select("note_pos").hint("merge"), "note_pos", "left_anti"))
     no_score = F.lit(None).cast("double").alias("match_score")
     matches = (
         by_id.select("note_pos", "account_id", F.lit(None).cast("string").alias("account_name"),

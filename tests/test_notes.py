@@ -226,7 +226,7 @@ def test_many_headers_and_names_of_one_letter_profile(spark, monkeypatch):
     assert all(got[h][1] == want[h][1] and got[h][0] == pytest.approx(want[h][0], abs=1e-6) for h in got)
 
 
-@pytest.mark.parametrize("resolver", [resolve.resolve_fuzzy])
+@pytest.mark.parametrize("resolver", [resolve.resolve_fuzzy, resolve.resolve_notes])
 def test_no_table_that_grows_is_broadcast_for_its_file_size(spark, monkeypatch, resolver):
     """Stored tables are small as files and large as rows; the list of common tokens and word buckets alone may be broadcast."""
     plans, stored = [], resolve.stored
