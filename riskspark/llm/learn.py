@@ -24,14 +24,15 @@ class Adam:
             self.weights[k] -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.999**self.step)) + 1e-8)
 
 
-def calibrate(logits: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Platt's slope and offset by Newton steps, with his smoothed targets and a slight pull to slope 1."""
-    pos, neg = labels.sum(), len(labels) - labels.sum()
+def calibrate(logits: np.ndarray, labels: np.ndarray, steps: int = 200, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """Platt's slope and offset by Newton steps, with his smoothed targets and a slight pull to slope 1; `counts` rows are alike."""
+    n = np.ones(len(labels)) if counts is None else counts
+    pos, neg = (n * labels).sum(), (n * (1 - labels)).sum()
     target = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * logits + b)
-        w, e = p * (1 - p) + 1e-9, p - target
+        w, e = n * (p * (1 - p) + 1e-9), n * (p - target)
         grad = np.array([(e * logits).sum() + 0.1 * (a - 1), e.sum()])
         hess = np.array([[(w * logits * logits).sum() + 0.1, (w * logits).sum()], [(w * logits).sum(), w.sum() + 1e-6]])
         move = np.clip(np.linalg.solve(hess, grad), -1, 1)

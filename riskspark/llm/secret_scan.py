@@ -2,14 +2,15 @@
 
 A candidate is a run of key characters, or a span that a pattern found, with the characters around it. The
 network (character embedding, one convolution, pooling, one output) is trained in numpy on labelled findings:
-candidates of a bounded sample of documents, labelled by the patterns, in their own and in swapped contexts,
-with written-out decoys and generated keys. It is calibrated on candidates kept out of training, and accepts at
-the highest threshold that still finds `RECALL` of the kept-out findings and of the kept-out generated keys. A key is
-kept out with all its contexts. Pattern spans always stay; a run that reaches beyond a pattern's span is scored whole
+the different candidates of all documents, labelled by the patterns, in their own and in swapped contexts,
+with written-out decoys and generated keys. They are dealt over shards that Spark's tasks train on, and after each round
+the shards' weights are averaged. It is calibrated on all candidates kept out of training, and accepts at the highest
+threshold (to a step of 1 / GRID of the logit) that still finds `RECALL` of the kept-out findings and of the kept-out
+generated keys. A key is kept out with all its contexts. Pattern spans always stay; a run that reaches beyond a pattern's span is scored whole
 and, where accepted, is a span of its own beside it.
 
 Positions are code points, end exclusive. Null and empty texts have no spans. Repeated rows give repeated rows.
-Without a single pattern finding in the sample the generated keys alone are the positives.
+Without a single pattern finding in the documents the generated keys alone are the positives.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.blocks import explode_texts, hashed_sample, map_texts
-from riskspark.llm.learn import Adam, calibrate, sigmoid, threshold_for_recall
+from riskspark.llm.blocks import explode_texts, map_texts
+from riskspark.llm.learn import Adam, calibrate, sigmoid
+from riskspark.scratch import stored
 
 # Fixed patterns: kind, expression, group that is measured, least length. Longer or equal matches count.
 KINDS = (
@@ -33,9 +37,11 @@ KINDS = (
 )
 LEARNED = "learned"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 1_500, 3_000  # bounds of the fitting sample
+SHARD_WINDOWS = 4_096  # windows that one task trains on, about
+ROUNDS, EPOCHS = 4, 3  # weights are averaged after each round; a round takes so many passes
 RECALL = 0.97
-MADE_UP = 2_000  # generated keys, and as many decoys
+MADE_UP = 2_000  # generated keys of a shard, and as many decoys
+GRID, FARTHEST = 64, 60  # kept-out logits are counted in steps of 1 / GRID, up to the farthest
 BEFORE, INSIDE, AFTER, STEP = 16, 40, 8, 32
 WIDTH = BEFORE + INSIDE + AFTER
 SIGNS, CHANNELS, FILTERS, SPAN = 97, 6, 16, 5
@@ -124,12 +130,8 @@ def _made_up(count: int, rng: random.Random, contexts: list[tuple[str, str]]) ->
     return keys, decoys
 
 
-def train(findings: list[str], others: list[str], seed: int = 7) -> dict[str, np.ndarray]:
-    """The network from windows of findings and of other candidates; holds its own slope, offset and threshold.
-
-    `reached` has the recall of kept-out findings, that of kept-out generated keys (NaN where there are none) and the share of
-    kept-out other windows that are accepted.
-    """
+def _examples(findings: list[str], others: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Encoded windows of a shard with those made for it, their labels, kinds, and whether they are kept out."""
     rng = random.Random(seed)
     contexts = [(w[:BEFORE].lstrip("\x01"), w[-AFTER:].rstrip("\x01")) for w in others] or [("", "")]
     contexts += [("x = ", "\n"), ('key: "', '"'), (" ", " "), ("", "")]
@@ -137,50 +139,145 @@ def train(findings: list[str], others: list[str], seed: int = 7) -> dict[str, np
     keys, decoys = _made_up(MADE_UP, rng, contexts)
     shown = [*findings, *swapped, *keys, *others, *decoys]
     y = np.array([1.0] * (2 * len(findings) + len(keys)) + [0.0] * (len(others) + len(decoys)))
-    x = encode(shown)
     kind = np.array(["finding"] * (2 * len(findings)) + ["key"] * len(keys) + ["other"] * (len(others) + len(decoys)))
+    held = np.array([zlib.crc32(w[BEFORE:-AFTER].encode("utf-8", "surrogatepass")) % 4 == 0 for w in shown])  # by the run, whatever stands around it
+    return encode(shown), y, kind, held
+
+
+def _start(seed: int) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(seed)
-    _, own = np.unique([w[BEFORE:-AFTER] for w in shown], return_inverse=True)  # one number per run, whatever stands around it
-    kept_out = (draw.permutation(own.max() + 1) < (own.max() + 1) // 4)[own]
-    held, used = np.flatnonzero(kept_out), np.flatnonzero(~kept_out)
-    net = {"signs": draw.normal(0, 0.5, (SIGNS, CHANNELS)), "filters": draw.normal(0, 0.3, (SPAN * CHANNELS, FILTERS)), "shift": np.zeros(FILTERS),
-           "out": draw.normal(0, 0.3, 2 * FILTERS), "bias": np.zeros(1)}
-    steps = Adam(net)
-    for _ in range(12):
-        for rows in np.array_split(draw.permutation(used), max(1, len(used) // 64)):
-            z, kept = scores(net, x[rows])
-            steps.update(gradient(net, x[rows], kept, (sigmoid(z) - y[rows]) / len(rows)))
-    z = scores(net, x[held])[0]
-    net = {k: v.astype(np.float32) for k, v in net.items()}
-    slope, offset = calibrate(z, y[held])
-    p = sigmoid(slope * z + offset)
-    parts = [p[kind[held] == k] for k in ("finding", "key", "other")]
-    least = min(threshold_for_recall(part, np.ones(len(part)), RECALL) for part in parts[:2] if len(part))
-    reached = [float((part >= least).mean()) if len(part) else np.nan for part in parts]
+    return {"signs": draw.normal(0, 0.5, (SIGNS, CHANNELS)), "filters": draw.normal(0, 0.3, (SPAN * CHANNELS, FILTERS)), "shift": np.zeros(FILTERS),
+            "out": draw.normal(0, 0.3, 2 * FILTERS), "bias": np.zeros(1)}
+
+
+def _flat(steps: Adam) -> np.ndarray:
+    """Weights, Adam's two means and his step count, end to end."""
+    return np.concatenate([part[k].ravel() for part in (steps.weights, steps.mean, steps.square) for k in steps.weights] + [[steps.step]])
+
+
+def _adam(state: np.ndarray) -> Adam:
+    """The same, back from one array."""
+    steps, at = Adam(_start(0)), 0
+    for part in (steps.weights, steps.mean, steps.square):
+        for k, v in part.items():
+            part[k] = state[at:at + v.size].reshape(v.shape).copy()
+            at += v.size
+    steps.step = state[at]
+    return steps
+
+
+def _round(state: np.ndarray, x: np.ndarray, y: np.ndarray, seed) -> np.ndarray:
+    """The state after EPOCHS passes over the examples."""
+    steps, draw = _adam(state), np.random.default_rng(seed)
+    for _ in range(EPOCHS):
+        for rows in np.array_split(draw.permutation(len(y)), max(1, len(y) // 64)):
+            z, kept = scores(steps.weights, x[rows])
+            steps.update(gradient(steps.weights, x[rows], kept, (sigmoid(z) - y[rows]) / len(rows)))
+    return _flat(steps)
+
+
+def _weights(state: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v.astype(np.float32) for k, v in _adam(state).weights.items()}
+
+
+def _levels(net: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Logits as whole steps of 1 / GRID, rounded down."""
+    z = np.concatenate([scores(net, x[k:k + 512])[0] for k in range(0, len(x), 512)] or [np.zeros(0)])
+    return np.floor(np.clip(z, -FARTHEST, FARTHEST) * GRID).astype(np.int64)
+
+
+def _settled(net: dict[str, np.ndarray], kind: np.ndarray, level: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """The network with slope, offset and threshold from counts of the kept-out windows by kind and level.
+
+    `reached` has the recall of kept-out findings, that of kept-out generated keys (NaN where there are none) and the share of
+    kept-out other windows that are accepted.
+    """
+    order = np.argsort(level, kind="stable")
+    kind, level, n = kind[order], level[order], n[order]
+    slope, offset = calibrate(level / GRID, (kind != "other").astype(float), counts=n)
+    p = sigmoid(slope * (level / GRID) + offset)
+    least = []
+    for k in ("finding", "key"):
+        below = np.cumsum(n[kind == k])
+        if len(below):
+            least.append(p[kind == k][np.searchsorted(below, np.floor((1 - RECALL) * below[-1]), "right")])
+    least = min(least)
+    of = [kind == k for k in ("finding", "key", "other")]
+    reached = [float((n[o] * (p[o] >= least)).sum() / n[o].sum()) if o.any() else np.nan for o in of]
     return net | {"calibration": np.array([slope, offset, least]), "reached": np.array(reached)}
 
 
-def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Train on the candidates of at most SAMPLE_DOCS documents, at most SAMPLE_CANDIDATES of each label."""
+def train(findings: list[str], others: list[str], seed: int = 7) -> dict[str, np.ndarray]:
+    """The network from one shard's windows of findings and of other candidates; holds its own slope, offset and threshold."""
+    x, y, kind, held = _examples(findings, others, seed)
+    state = _flat(Adam(_start(seed)))
+    for turn in range(ROUNDS):
+        state = _round(state, x[~held], y[~held], (seed, 0, turn))
+    net = _weights(state)
+    return _settled(net, kind[held], _levels(net, x[held]), np.ones(int(held.sum())))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(shown, found): the different windows of all findings, and of the candidates that no finding touches."""
     def setup():
         def run(texts, _):
             out = {"shown": [], "found": []}
             for text in texts:
                 spans = pattern_spans(text)
                 for s, _, e in spans:
-                    out["shown"] += windows(text, s, e)
-                    out["found"] += [1] * len(windows(text, s, e))
+                    own = windows(text, s, e)
+                    out["shown"] += own
+                    out["found"] += [1] * len(own)
                 for s, e in apart(candidates(text, spans), spans):
-                    out["shown"] += windows(text, s, e)
-                    out["found"] += [0] * len(windows(text, s, e))
+                    own = windows(text, s, e)
+                    out["shown"] += own
+                    out["found"] += [0] * len(own)
             return out
         return run
 
-    sample = hashed_sample(docs.select("doc_id"), "doc_id", SAMPLE_DOCS).distinct()
-    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")  # at most SAMPLE_DOCS ids
-    shown = explode_texts(drawn, setup, "shown string, found int").distinct()
-    rows = [r for label in (1, 0) for r in shown.where(F.col("found") == label).orderBy(F.xxhash64("shown"), "shown").limit(SAMPLE_CANDIDATES).collect()]
-    return train([r.shown for r in rows if r.found], [r.shown for r in rows if not r.found])
+    return explode_texts(docs, setup, "shown string, found int", keep=()).distinct()
+
+
+def fit(docs: DataFrame, seed: int = 7) -> dict[str, np.ndarray]:
+    """Train on the candidates of all documents: shards of about SHARD_WINDOWS windows, weights averaged after each round.
+
+    The driver gets the averaged weights and the counts of kept-out windows by level, however many windows there are.
+    """
+    spark = docs.sparkSession
+    found = stored(labelled(docs))
+    shards = max(1, -(-found.count() // SHARD_WINDOWS))
+    none = spark.range(shards).select(F.lit(None).cast("string").alias("shown"), F.lit(None).cast("int").alias("found"), F.col("id").alias("shard"))
+    rows = found.withColumn("shard", F.pmod(F.xxhash64("shown", "found"), F.lit(shards))).unionByName(none)  # no shard is empty
+    rows = rows.repartition(shards, "shard")  # few but costly rows; a count that is named is not packed into one task
+
+    def examples(own: pd.DataFrame):
+        own = own.sort_values(["found", "shown"])
+        shard = int(own["shard"].iloc[0])
+        return shard, *_examples(own["shown"][own["found"] == 1].tolist(), own["shown"][own["found"] == 0].tolist(), seed + shard)
+
+    state = _flat(Adam(_start(seed)))
+    for turn in range(ROUNDS):
+        def step(own: pd.DataFrame) -> pd.DataFrame:  # goes to the tasks before state and turn move on
+            shard, x, y, _, held = examples(own)
+            return pd.DataFrame({"shard": [shard], "n": [float((~held).sum())], "state": [_round(state, x[~held], y[~held], (seed, shard, turn))]})
+
+        made = rows.groupBy("shard").applyInPandas(step, "shard long, n double, state array<double>")
+        parts = made.select("shard", "n", F.posexplode("state").alias("at", "value")).groupBy("at").agg(
+            F.array_sort(F.collect_list(F.struct("shard", "n", "value"))).alias("parts"))  # summed in order, so that a run repeats itself
+        total = lambda part: F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + part(p))
+        mean = total(lambda p: p["n"] * p["value"]) / total(lambda p: p["n"])
+        averaged = sorted(parts.select("at", mean.alias("value")).collect())  # one number a weight
+        state = np.array([r["value"] for r in averaged])
+    net = _weights(state)
+
+    def kept_out(own: pd.DataFrame) -> pd.DataFrame:
+        _, x, _, kind, held = examples(own)
+        counted = pd.DataFrame({"kind": kind[held], "level": _levels(net, x[held])})
+        return counted.groupby(["kind", "level"]).size().reset_index(name="n")
+
+    counts = (rows.groupBy("shard").applyInPandas(kept_out, "kind string, level long, n long")
+              .groupBy("kind", "level").agg(F.sum("n").alias("n")).collect())  # at most three kinds at 2 * FARTHEST * GRID levels
+    return _settled(net, *(np.array([r[k] for r in counts]) for k in ("kind", "level", "n")))
 
 
 def scan(docs: DataFrame, net: dict[str, np.ndarray] | None = None, keep=("doc_id",)) -> DataFrame:

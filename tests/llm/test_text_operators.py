@@ -88,6 +88,21 @@ def test_recall_of_kept_out_findings(spark):
     assert (found[0] >= secret_scan.RECALL or np.isnan(found[0])) and found[1] >= secret_scan.RECALL and found[2] <= 0.02
 
 
+def test_every_document_is_learned_from(spark, monkeypatch):
+    """More documents than any sample would hold, dealt over several shards: the findings of all are seen, and a second fit is the same."""
+    monkeypatch.setattr(secret_scan, "SHARD_WINDOWS", 1_000)
+    monkeypatch.setattr(secret_scan, "MADE_UP", 200)
+    text = F.concat(F.lit("use token = "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 20), F.lit(" or thanedblethaining"), F.col("id"))
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    seen = []
+    monkeypatch.setattr(secret_scan, "stored", lambda df: seen.append(df.cache()) or seen[-1])
+    net = secret_scan.fit(docs)
+    assert seen[0].where("found = 1").count() == 2_000 and seen[0].where("found = 0").count() == 2_000
+    assert net["reached"][0] >= secret_scan.RECALL and net["reached"][1] >= secret_scan.RECALL
+    again = secret_scan.fit(docs)
+    assert all(np.array_equal(net[k], again[k]) for k in net)
+
+
 def test_long_candidate_is_covered_by_windows():
     text = "a" * 500
     shown = secret_scan.windows(text, 0, 500)
