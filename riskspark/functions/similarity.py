@@ -13,14 +13,6 @@ from pyspark.sql import types as T
 # executors need no installed copy of this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Letters in pairs, digits and the rest: coarse enough to repeat across names, fine enough to prune.
-LETTER_CLASSES = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx", "yz"]
-PROFILE = [f"c{i}" for i in range(len(LETTER_CLASSES) + 2)]
-# Each letter and digit by itself: for the pairs that are left. Six bits a letter, ten of them in one long.
-LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
-COUNT_BITS, LETTERS_PER_WORD = 6, 10
-WORDS = [f"w{i}" for i in range(-(-len(LETTERS) // LETTERS_PER_WORD))]
-
 
 def token_set(text: Column) -> Column:
     """Sorted distinct white-space tokens."""
@@ -32,44 +24,6 @@ def joined_length(tokens: Column) -> Column:
     return F.length(F.array_join(tokens, " "))
 
 
-def profile(joined: str) -> Column:
-    """Length and number of characters of each class, as one comparable struct; one SQL text builds faster than its columns."""
-    groups = [pair + pair.upper() for pair in LETTER_CLASSES] + ["0123456789"]
-    counts = [f"length({joined}) - length(translate({joined}, '{group}', ''))" for group in groups]
-    rest = f"length({joined}) - ({' + '.join(f'({c})' for c in counts)})"
-    return F.expr(f"named_struct('len', length({joined}), "
-                  + ", ".join(f"'{name}', {c}" for name, c in zip(PROFILE, [*counts, rest])) + ")")
-
-
-def score_ceiling(left: str, right: str) -> Column:
-    """Upper bound of the character similarity of two strings, from their profiles."""
-    total = F.lit(0)
-    for c in PROFILE:
-        total = total + F.least(F.col(f"{left}.{c}"), F.col(f"{right}.{c}"))
-    return 200.0 * total / (F.col(f"{left}.len") + F.col(f"{right}.len"))
-
-
-def letter_bits(joined: str) -> Column:
-    """How often each letter occurs, in unary: n of a letter are n bits of its place."""
-    words = []
-    for i, name in enumerate(WORDS):
-        letters = LETTERS[i * LETTERS_PER_WORD:(i + 1) * LETTERS_PER_WORD]
-        listed = ", ".join(f"'{letter + letter.upper()}'" for letter in letters)
-        count = f"least(length({joined}) - length(translate({joined}, letter, '')), {COUNT_BITS})"
-        words.append(f"'{name}', aggregate(array({listed}), 0L, (bits, letter) -> "
-                     f"shiftleft(bits, {COUNT_BITS}) | (shiftleft(1L, {count}) - 1L))")
-    return F.expr(f"named_struct('len', length({joined}), {', '.join(words)})")
-
-
-def letter_ceiling(left: str, right: str) -> Column:
-    """Upper bound of the character similarity of two strings, from their letter bits."""
-    shared, over = F.lit(0), {left: F.col(f"{left}.len"), right: F.col(f"{right}.len")}
-    for w in WORDS:
-        shared = shared + F.bit_count(F.col(f"{left}.{w}").bitwiseAND(F.col(f"{right}.{w}")))
-        over = {side: rest - F.bit_count(f"{side}.{w}") for side, rest in over.items()}  # characters without a bit
-    return 200.0 * (shared + F.least(*over.values())) / (F.col(f"{left}.len") + F.col(f"{right}.len"))
-
-
 def _lcs(left: str, right: str) -> int:
     """Longest common subsequence, one bit per character of the left text."""
     where: dict[str, int] = {}

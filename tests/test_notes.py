@@ -240,3 +240,55 @@ def test_no_table_that_grows_is_broadcast_for_its_file_size(spark, monkeypatch,
     joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     # what else may be broadcast has come out of a shuffle of its own and is weighed by its rows at run time
     assert [j for j in joins if "LeftAnti" not in j and "LeftSemi" not in j and "LeftOuter, BuildRight" not in j] == []
+
+
+def joined_rows(plan):
+    """Rows out of the joins of a plan that has run."""
+    rows, name = 0, plan.nodeName()
+    if "Join" in name:
+        rows += plan.metrics().apply("numOutputRows").value()
+    below = [plan.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [plan.plan()] if "QueryStage" in name else [
+        plan.children().apply(i) for i in range(plan.children().size())]
+    return rows + sum(joined_rows(p) for p in below)
+
+
+def test_look_alike_names_do_not_meet_every_header(spark):
+    """The best of many names that differ by their digits is found without a row for each pair."""
+    names = [f"Firm{k:04d} Holding" for k in range(2000)]
+    headers = [f"frm{k * 37 % 2000:04d} holdng" for k in range(200)]
+    found = resolve.similarity_matches(spark.createDataFrame([(h,) for h in headers], "header string"),
+                                       spark.createDataFrame(list(enumerate(names)), ACCOUNT))
+    got = {r["header"]: (round(r["score"], 6), r["account_id"]) for r in found.collect()}
+    some = headers[::40]
+    want = {h: brute_force(h, names, str.lower) for h in some}
+    assert len(got) == 200 and {h: got[h] for h in some} == {h: (round(s, 6), k) for h, (s, k) in want.items()}
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) < 20_000  # of 400,000 pairs
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_best_names_equal_brute_force(monkeypatch, backwards):
+    """Every kind of walk: steps cut in two, one node kept, headers of several words, names that share tokens with the header."""
+    import numpy as np
+    import pandas as pd
+    from riskspark.functions import name_tree
+    rnd = random.Random(5)
+    text = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    monkeypatch.setattr(name_tree, "STEP_ROWS", 50)
+    monkeypatch.setattr(name_tree, "BEAM", 1)
+    for letters, length, most in [("ab ", 5, 12), ("abc é字😀 ", 9, 12), ("0123456789 firm", 9, 12), ("ab ", 70, 150)]:
+        names = list({text(letters, length) for _ in range(60)} | {text(letters, length - 3) + "x y" for _ in range(60)})
+        names = [n[::-1] for n in names] if backwards else names
+        order = rnd.sample(range(500), len(names))
+        heads = [text(letters + "xy", rnd.randint(1, most)) for _ in range(30)]
+        total = [len(h) + length for h in heads]
+        floor = [rnd.choice([20.0, 55.0, round(200 * rnd.randint(1, length) / t, 9)]) for t in total]
+        before = [rnd.choice([1000, 200]) for _ in heads]
+        found = name_tree.best_names(
+            pd.DataFrame({"hid": range(30), "rest": heads, "known": 0, "total": total, "floor": floor, "before": before}),
+            pd.DataFrame({"nid": np.arange(len(names)), "rest": names, "ord": order}))
+        got = {r.hid: (r.shared_length, -r.ord) for r in found.itertuples()}
+        for i, h in enumerate(heads):
+            apart = [(lcs(h, n), -o) for n, o in zip(names, order) if not set(h.split(" ")) & set(n.split(" "))]
+            score = lambda reached: round(200 * reached / total[i], 9)
+            good = [(k, o) for k, o in apart if score(k) > floor[i] or score(k) == floor[i] and -o < before[i]]
+            assert got.get(i) == max(good, default=None), (h, floor[i])
