@@ -292,18 +292,18 @@ def resolve_first_word(notes: DataFrame, accounts: DataFrame, order: str = "acco
     A text is cut at white space and each part into pieces of word characters and of other marks. A first word
     stands between word boundaries exactly where it equals some neighbouring pieces, so those are exploded and
     equi-joined to the distinct first words. Only sequences as long as some first word are built, and only those
-    whose hash bucket holds a first word are shuffled; the bucket table has at most WORD_BUCKETS rows.
+    whose hash some first word has are shuffled.
     """
     word = F.lower(F.element_at(token_words(F.col("account_name")), 1))
     words = (_names(accounts, order).withColumn("word", word).where("word is not null")
              .groupBy("word").agg(F.min(F.struct("ord", "account_id", "account_name")).alias("first")))
     sizes = words.select(F.collect_set(F.size(_pieces(F.col("word"))))).scalar()
     parts = notes.select("note_pos", F.explode(F.array_distinct(token_words(F.lower("raw_text")))).alias("part"))
-    pieces = parts.select("note_pos", _pieces(F.col("part")).alias("pieces"), sizes.alias("sizes"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket")
-    buckets = F.broadcast(words.select(bucket).distinct())
-    likely = (pieces.select("note_pos", F.explode(_spans(F.col("pieces"), F.col("sizes"))).alias("word"))
-              .select("note_pos", "word", bucket).join(buckets, "bucket", "left_semi"))
+    plain = F.col("part").rlike(r"(?U)^\w+$")  # most parts are one piece
+    pieces = parts.select("note_pos", "part", F.when(~plain, _pieces(F.col("part"))).alias("pieces"), sizes.alias("sizes"))
+    spans = F.when(F.col("pieces").isNotNull(), _spans(F.col("pieces"), F.col("sizes"))).when(
+        F.array_contains("sizes", 1), F.array("part"))
+    likely = _in_use(pieces.select("note_pos", F.explode(spans).alias("word")), "word", words)
     return (likely.join(words.hint("merge"), "word")
             .groupBy("note_pos").agg(F.min("first").alias("m"))
             .select("note_pos", "m.account_id", "m.account_name"))

@@ -265,6 +265,22 @@ def test_look_alike_names_do_not_meet_every_header(spark):
     assert joined_rows(found._jdf.queryExecution().executedPlan()) < 20_000  # of 400,000 pairs
 
 
+def test_first_words_of_one_and_of_more_pieces(spark):
+    accounts = spark.createDataFrame([(1, "delta-9 Labs"), (2, "echo Sons"), (3, "o'neil"), (4, "zeta")], ACCOUNT)
+    notes = ["an echo", "delta-9!", "echo, zeta", "(o'neil)", "delta 9", "zetaecho"]
+    got = {r["note_pos"]: r["account_id"] for r in resolve.resolve_first_word(spark.createDataFrame(list(enumerate(notes)), NOTE), accounts).collect()}
+    assert got == {0: 2, 1: 1, 2: 2, 3: 3}
+
+
+def test_other_words_stop_where_first_words_fill_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "WORD_BUCKETS", 64)
+    accounts = spark.createDataFrame([(k, f"firm{k} Labs") for k in range(300)], ACCOUNT)
+    notes = spark.createDataFrame([(k, f"firm{k * 3} " + " ".join(f"w{k}x{i}" for i in range(30))) for k in range(100)], NOTE)
+    found = resolve.resolve_first_word(notes, accounts)
+    assert {r["note_pos"]: r["account_id"] for r in found.collect()} == {k: k * 3 for k in range(100)}
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) < 1000  # of 3,100 words
+
+
 @pytest.mark.parametrize("backwards", [False, True])
 def test_best_names_equal_brute_force(monkeypatch, backwards):
     """Every kind of walk: steps cut in two, one node kept, headers of several words, names that share tokens with the header."""
