@@ -315,11 +315,12 @@ def token_words(text: Column) -> Column:
 
 def resolve_notes(notes: DataFrame, accounts: DataFrame, order: str = "account_id",
                   case_sensitive: bool = False, narrow_slash: bool = False,
-                  default_year: int = DEFAULT_NOTE_YEAR) -> DataFrame:
-    """The cascade: each step only sees the notes the steps before left open."""
+                  default_year: int = DEFAULT_NOTE_YEAR, texts: bool = True) -> DataFrame:
+    """The cascade: each step only sees the notes the steps before left open. Without `texts` they are not read again for the result."""
+    note_date = parse_note_date(note_date_token(F.col("raw_text"), narrow_slash), default_year).alias("note_date")
     # One narrow row per note serves the first steps; texts are read again for words and for the result only.
     slim = stored(notes.select(
-        "note_pos", explicit_id(F.col("raw_text")).alias("explicit_id"), _header_tokens(case_sensitive).alias("joined"))
+        "note_pos", explicit_id(F.col("raw_text")).alias("explicit_id"), _header_tokens(case_sensitive).alias("joined"), note_date)
         .withColumn("joined", F.when(F.col("explicit_id").isNull(), F.col("joined"))))
     by_id = _known_ids(slim, accounts)
     by_name = stored(_fuzzy(slim.where("explicit_id IS NULL"), accounts, order, case_sensitive))
@@ -333,8 +334,7 @@ def resolve_notes(notes: DataFrame, accounts: DataFrame, order: str = "account_i
                                     F.lit(True).alias("id_known")))
         .unionByName(by_word.select("*", F.lit("first_word").alias("match_method"), no_score,
                                     F.lit(True).alias("id_known"))))
-    dated = notes.withColumn(
-        "note_date", parse_note_date(note_date_token(F.col("raw_text"), narrow_slash), default_year))
+    dated = notes.select("note_pos", "raw_text", note_date) if texts else slim
     return dated.join(matches, "note_pos", "left").select(
-        "note_pos", "note_date", "account_id", "account_name", "raw_text",
+        "note_pos", "note_date", "account_id", "account_name", *(["raw_text"] if texts else []),
         "match_method", "match_score", F.coalesce("id_known", F.lit(False)).alias("id_known"))

@@ -360,7 +360,7 @@ def c8_resolve_first_word(spark, sf):
 
 @query
 def c9_resolve_notes(spark, sf):
-    return resolve.resolve_notes(note_texts(spark, sf), standin(spark, sf, "v_accounts")).drop("raw_text")
+    return resolve.resolve_notes(note_texts(spark, sf), standin(spark, sf, "v_accounts"), texts=False)
 
 
 def note_annotations(spark, sf) -> DataFrame:

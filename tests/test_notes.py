@@ -308,3 +308,10 @@ def test_best_names_equal_brute_force(monkeypatch, backwards):
             score = lambda reached: round(200 * reached / total[i], 9)
             good = [(k, o) for k, o in apart if score(k) > floor[i] or score(k) == floor[i] and -o < before[i]]
             assert got.get(i) == max(good, default=None), (h, floor[i])
+
+
+def test_cascade_without_texts(spark, accounts):
+    """The same rows, those of notes that come twice too."""
+    notes = spark.createDataFrame([(0, "3/1 note (acct 1003)"), (2, "3/3 Beacon Health Group\nfine"), (2, "3/5 Beacon Health Group\nfine"), (4, "qqq"), (5, None)], NOTE)
+    known, slim = resolve.resolve_notes(notes, accounts).drop("raw_text"), resolve.resolve_notes(notes, accounts, texts=False)
+    assert known.columns == slim.columns and sorted(map(str, known.collect())) == sorted(map(str, slim.collect()))
